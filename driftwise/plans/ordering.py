@@ -202,3 +202,66 @@ def top_k_filter(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
     k_star = order_statistics(ties, key, [need - 1])[need - 1]
     sc = F.col(score).cast("double")
     return base.where((sc > F.lit(s_star)) | ((sc == F.lit(s_star)) & (F.col(key).cast("double") <= F.lit(k_star))))
+
+
+def _linear_from_sorted(pairs: list[tuple[float, int]], n: int, probs: Sequence[float]) -> list[float]:
+    """Quantiles from sorted (value, count) pairs covering all n values."""
+    out = []
+    for p in probs:
+        h = (n - 1) * float(p)
+        lo, hi = math.floor(h), math.ceil(h)
+        vals = {}
+        cum = 0
+        for v, c in pairs:
+            for r in (lo, hi):
+                if r not in vals and cum <= r < cum + c:
+                    vals[r] = v
+            cum += c
+            if lo in vals and hi in vals:
+                break
+        a, b = vals[lo], vals[hi]
+        out.append(a + (h - lo) * (b - a))
+    return out
+
+
+def exact_quantiles_many(
+    df: DataFrame,
+    cols: Sequence[str],
+    probs: Sequence[float],
+    counts: dict[str, int] | None = None,
+    approx_distinct: dict[str, int] | None = None,
+    max_local: int = MAX_LOCAL_DISTINCT,
+) -> dict[str, list[float | None]]:
+    """Exact linear quantiles for many numeric columns with a fixed number of jobs.
+
+    Columns with few distinct values resolve together from one grouped count
+    of the long form (bounded: at most ``max_local/2`` pairs per column); the
+    others go through ``exact_quantiles`` (histogram refinement).
+    """
+    if not cols:
+        return {}
+    if counts is None or approx_distinct is None:
+        aggs = []
+        for c in cols:
+            x = F.col(c).cast("double")
+            ok = F.when(~F.isnan(x), x)
+            aggs += [F.count(ok).alias(f"{c}__n"), F.approx_count_distinct(ok, 0.05).alias(f"{c}__d")]
+        row = df.agg(*aggs).first()
+        counts = {c: row[f"{c}__n"] for c in cols}
+        approx_distinct = {c: row[f"{c}__d"] for c in cols}
+    result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols if counts[c] == 0}
+    small = [c for c in cols if counts[c] > 0 and approx_distinct[c] <= max_local // 2]
+    big = [c for c in cols if counts[c] > 0 and c not in small]
+    if small:
+        casts = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in small)
+        long = df.selectExpr(f"stack({len(small)}, {casts}) AS (column_name, x)").where("x IS NOT NULL AND NOT isnan(x)")
+        rows = long.groupBy("column_name", "x").agg(F.count(F.lit(1)).alias("c")).collect()
+        per: dict[str, list[tuple[float, int]]] = {c: [] for c in small}
+        for row in rows:
+            per[row["column_name"]].append((row["x"], row["c"]))
+        for c in small:
+            pairs = sorted(per[c])
+            result[c] = _linear_from_sorted(pairs, counts[c], probs)
+    for c in big:
+        result[c] = exact_quantiles(df, c, probs, n=counts[c])
+    return result
