@@ -58,37 +58,56 @@ def global_prefix_sum(
     descending: bool = False,
     n_buckets: int | None = None,
     prefix: str = "cum_",
+    group_cols: Sequence[str] = (),
+    tiebreak: Sequence[str] = (),
 ) -> DataFrame:
-    """Inclusive running sums of ``value_cols`` in the global order of ``order_col``.
+    """Inclusive running sums of ``value_cols`` in the order of ``order_col`` (within ``group_cols``).
 
-    ``order_col`` should be unique (collapse ties with ``groupBy`` first) — ties
-    would get an arbitrary order.  Output keeps every input column and adds
-    ``{prefix}{v}`` per value column.
+    Ties on ``order_col`` are ordered by ``tiebreak`` columns (give a key for a
+    deterministic order; collapse ties with ``groupBy`` first when they should
+    share one value).  Output keeps every input column and adds
+    ``{prefix}{v}`` per value column.  Range buckets come from quantiles of the
+    order column over all rows, so a large group is spread over many window
+    partitions; per-(group, bucket) totals supply the offsets.
     """
     n_buckets = n_buckets or _default_bins(df)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     key = "_pfx_key"
+    groups = list(group_cols)
     work = df.withColumn(key, F.col(order_col).cast("double"))
     if descending:
         work = work.withColumn(key, -F.col(key))
     edges = work.approxQuantile(key, probs, 1.0 / (4 * n_buckets)) if probs else []
     work = bucketize(work, key, edges, "_pfx_b")
-    inner = Window.partitionBy("_pfx_b").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = [F.col(key)] + [F.col(t) for t in tiebreak]
+    inner = Window.partitionBy(*groups, "_pfx_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for v in value_cols:
         work = work.withColumn(f"_pfx_run_{v}", F.sum(v).over(inner))
-    totals = work.groupBy("_pfx_b").agg(*[F.sum(v).alias(f"_pfx_tot_{v}") for v in value_cols])
-    # one row per bucket: a bounded table, so the un-partitioned window is tiny
-    before = Window.orderBy("_pfx_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = work.groupBy(*groups, "_pfx_b").agg(*[F.sum(v).alias(f"_pfx_tot_{v}") for v in value_cols])
+    # one row per (group, bucket): the offset window only sees that small table
+    before = Window.partitionBy(*groups).orderBy("_pfx_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_pfx_b", *[F.coalesce(F.sum(f"_pfx_tot_{v}").over(before), F.lit(0)).alias(f"_pfx_off_{v}") for v in value_cols]
+        *groups, "_pfx_b",
+        *[F.coalesce(F.sum(f"_pfx_tot_{v}").over(before), F.lit(0)).alias(f"_pfx_off_{v}") for v in value_cols],
     )
-    out = work.join(F.broadcast(offsets), "_pfx_b")
+    if not groups:
+        offsets = F.broadcast(offsets)  # at most n_buckets rows
+    out = work.join(offsets, [*groups, "_pfx_b"])
     for v in value_cols:
         out = out.withColumn(f"{prefix}{v}", F.col(f"_pfx_run_{v}") + F.col(f"_pfx_off_{v}"))
     drop = [key, "_pfx_b"] + [c for v in value_cols for c in (f"_pfx_run_{v}", f"_pfx_off_{v}")]
     return out.drop(*drop)
 
 
+def grouped_rank(
+    df: DataFrame, group_cols: Sequence[str], order_col: str, key_col: str, out: str = "rank"
+) -> DataFrame:
+    """0-based rank of each row inside its group by (order_col asc, key asc) — no per-group window."""
+    work = df.withColumn("_gr_one", F.lit(1))
+    ranked = global_prefix_sum(work, order_col, ["_gr_one"], group_cols=group_cols, tiebreak=[key_col], prefix="_gr_cum")
+    return ranked.withColumn(out, (F.col("_gr_cum_gr_one") - 1).cast("long")).drop("_gr_one", "_gr_cum_gr_one")
+
+
 def order_statistics(
     df: DataFrame,
     col: str,
