@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftwise.catalog.base import register, with_bookings
 from driftwise.catalog.profiles import CATEGORY_COLS, CORR_TOP_K, PROFILE_COLS
 from driftwise.catalog.sqlgen import bin_expr, binned_counts_ctes, divergence_select, long_union
-from driftwise.functions.scalar import rnd
+from driftwise.functions.scalar import pround, rnd
 from driftwise.operators import drift as dr
 from driftwise.operators import profile as pf
 from driftwise.sources.tables import bookings
@@ -123,7 +123,7 @@ def correlation_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dr.correlation_drift(cur, reference, 0.20)
 
     def r6(v):
-        return None if v is None else round(v, 6)
+        return None if v is None else pround(v, 6)
 
     out = [(k, r6(a), r6(b), r6(d), bool(f)) for k, a, b, d, f in rows]
     return spark.createDataFrame(out, "pair string, ref_corr double, cur_corr double, delta double, drifted boolean")

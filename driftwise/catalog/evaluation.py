@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from driftwise.catalog.base import register, with_bookings
 from driftwise.catalog.decision import PROXY_SEGMENT_TP
-from driftwise.functions.scalar import rnd
+from driftwise.functions.scalar import pround, rnd
 from driftwise.operators import evaluate as ev
 from driftwise.operators.policy import DEFAULT_ACTION_RATES, CostMatrix, decide_actions, incremental_profit_score
 from driftwise.plans.ordering import exact_quantiles
@@ -80,7 +80,7 @@ def binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = ev.confusion(s, "p", "y", 0.5)
     precision, recall, f1 = ev.prf(F.col("tp"), F.col("fp"), F.col("fn"))
     return c.select(
-        F.round(F.lit(auc).cast("double"), 6).alias("roc_auc"), "tp", "fp", "fn", "tn", "n",
+        rnd(F.lit(auc).cast("double")).alias("roc_auc"), "tp", "fp", "fn", "tn", "n",
         rnd(F.col("positive_rate")).alias("positive_rate"),
         rnd(precision).alias("precision"), rnd(recall).alias("recall"), rnd(f1).alias("f1"),
     )
@@ -209,7 +209,7 @@ def quantile_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = []
     for i, (r, t) in enumerate(zip(rates, qs)):
         profit = row[f"tp{i}"] * COSTS.tp_value + row[f"fp{i}"] * COSTS.fp_value + row[f"fn{i}"] * COSTS.fn_value
-        out.append((r, round(t, 6), row[f"a{i}"], round(row[f"a{i}"] / row["n"], 6), round(float(profit), 6)))
+        out.append((r, pround(t, 6), row[f"a{i}"], pround(row[f"a{i}"] / row["n"], 6), pround(float(profit), 6)))
     return spark.createDataFrame(out, "max_action_rate double, threshold double, n_actions long, action_rate double, profit double")
 
 

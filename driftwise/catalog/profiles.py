@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwise.catalog.base import register, with_bookings
 from driftwise.catalog.sqlgen import bin_expr
-from driftwise.functions.scalar import month_number, rnd
+from driftwise.functions.scalar import month_number, pround, rnd
 from driftwise.operators import profile as pf
 from driftwise.sources.tables import bookings
 
@@ -96,7 +96,7 @@ _CORR_CTES, _CORR_BODY = _corr_sql(PROFILE_COLS, "y", CORR_TOP_K, "ref")
 def reference_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-5 features by |r with y|, all pairs among them plus feature–target pairs."""
     rows = pf.reference_correlations(_ref(spark, sf_dir), PROFILE_COLS, "y", CORR_TOP_K)
-    out = [(k, None if v is None else round(v, 6)) for k, v in rows]
+    out = [(k, None if v is None else pround(v, 6)) for k, v in rows]
     return spark.createDataFrame(out, "pair string, corr double")
 
 

@@ -37,7 +37,7 @@ def scan_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"),
         F.sum("lead_time").cast("long").alias("sum_lead_time"),
         F.count("adr").alias("n_adr"),
-        F.round(F.avg("adr"), 4).alias("avg_adr"),
+        rnd(F.avg("adr"), 4).alias("avg_adr"),
     )
 
 

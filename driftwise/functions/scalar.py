@@ -19,6 +19,14 @@ def map_lookup(mapping: Mapping, key: Column) -> Column:
     return F.try_element_at(F.create_map(*items), key)
 
 
+def pround(v: float | None, digits: int = 6) -> float | None:
+    """Driver-side twin of ``rnd`` for the few report values computed on the driver."""
+    if v is None or math.isnan(v) or math.isinf(v):
+        return v
+    scale = float(10**digits)
+    return math.copysign(math.floor(abs(v) * scale + 0.5), v) / scale
+
+
 def to_double(c: Column) -> Column:
     """numeric parse with coerce; NaN becomes NULL (NaN = missing everywhere)."""
     d = c.try_cast("double")
@@ -45,8 +53,16 @@ def clamp_ratio(a: Column, b: Column, floor: float = 0.001) -> Column:
 
 
 def rnd(c: Column, digits: int = 6) -> Column:
-    """Round floats for stable output (value hashes compare at 6 digits)."""
-    return F.round(c.cast("double"), digits)
+    """Round a DOUBLE to ``digits`` decimals as round-half-away-from-zero on x·10^d.
+
+    Spark's ``round`` rounds the *decimal string* of a double half-up, SQL
+    engines that scale in binary disagree with it exactly on ties such as
+    1032.2150625; scaling in binary on both sides keeps reports identical.
+    """
+    x = c.cast("double")
+    scale = F.lit(float(10**digits))
+    r = F.signum(x) * F.floor(F.abs(x) * scale + F.lit(0.5)) / scale
+    return F.when(x.isNull() | F.isnan(x) | ~(F.abs(x) < F.lit(float("inf"))), x).otherwise(r)
 
 
 def month_number(c: Column) -> Column:

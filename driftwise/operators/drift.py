@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwise.functions.scalar import to_double
+from driftwise.functions.scalar import rnd, to_double
 from driftwise.operators.profile import pair_correlations, uniform_bin
 from driftwise.plans.ordering import global_prefix_sum
 
@@ -118,7 +118,7 @@ def drift_scores(
     if critical:
         block_c = F.when(F.col("column_name").isin(list(critical)), warn_c).otherwise(block_c)
     status = F.when(F.col("score") >= block_c, "drift").when(F.col("score") >= warn_c, "warn").otherwise("stable")
-    return scores.select("column_name", F.round("score", 6).alias("score"), status.alias("status"))
+    return scores.select("column_name", rnd(F.col("score")).alias("score"), status.alias("status"))
 
 
 def categorical_psi(ref: DataFrame, cur: DataFrame, cols: Sequence[str], null_label: str = "<NA>") -> DataFrame:

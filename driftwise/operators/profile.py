@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwise.functions.scalar import to_double
+from driftwise.functions.scalar import pround, to_double
 from driftwise.plans.ordering import exact_quantiles_many
 
 PROFILE_SCHEMA = (
@@ -50,7 +50,7 @@ def numeric_profile(df: DataFrame, cols: Sequence[str], digits: int | None = 6)
     def r(v):
         if v is None or (isinstance(v, float) and math.isnan(v)):
             return None
-        return round(float(v), digits) if digits is not None else float(v)
+        return pround(float(v), digits) if digits is not None else float(v)
 
     rows = []
     for c in live:
