@@ -24,7 +24,7 @@ def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _ref_stats(ref: DataFrame) -> DataFrame:
-    return pf.numeric_profile(ref, DRIFT_COLS, digits=None)
+    return pf.numeric_profile(ref, DRIFT_COLS, digits=None, quantiles=False)
 
 
 _CUR_REF = "ref AS (SELECT * FROM bookings WHERE period = 'ref'),\ncur AS (SELECT * FROM bookings WHERE period = 'cur')"

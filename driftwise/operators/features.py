@@ -132,15 +132,22 @@ def preprocess_basic(
     out = strip_columns(df)
     out = drop_present(out, [*drop_cols, *blocked])
     out = normalise_labels(out, target, label_map)
-    out = drop_all_null(out)
+    # one pass: non-null counts give both the all-NULL columns (P3) and the columns that need a fill
+    cols = out.columns
+    row = out.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)], F.count(F.lit(1)).alias("_n")).first()
+    non_null = {c: row[f"c{i}"] for i, c in enumerate(cols)}
+    out = out.drop(*[c for c in cols if non_null[c] == 0])
     features = [c for c in out.columns if c != target]
     dtypes = {f.name: f.dataType for f in out.schema.fields}
     numeric = [c for c in features if is_numeric(dtypes[c])]
     categorical = [c for c in features if c not in numeric]
-    null_row = out.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in features]).first()
-    with_nulls_num = [c for c in numeric if null_row[c] > 0]
-    with_nulls_cat = [c for c in categorical if null_row[c] > 0]
+    with_nulls_num = [c for c in numeric if non_null[c] < row["_n"]]
+    with_nulls_cat = [c for c in categorical if non_null[c] < row["_n"]]
     fills = fit_imputer(out, with_nulls_num, with_nulls_cat)
+    # V9 gate: every column that holds NULLs has a fill value, and fills are applied with coalesce
+    missing = [c for c in with_nulls_num if fills.get(c) is None]
+    if missing:
+        raise ValueError(f"imputation left NULLs in {missing}")
     return apply_fills(out, fills, with_nulls_num)
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +25,19 @@ PROFILE_SCHEMA = (
 )
 
 
-def numeric_profile(df: DataFrame, cols: Sequence[str], digits: int | None = 6) -> DataFrame:
+def numeric_profile(df: DataFrame, cols: Sequence[str], digits: int | None = 6, quantiles: bool = True) -> DataFrame:
     """A1: per column n, mean, std (sample), min, max, median, q25, q75 of parsed non-null values.
 
     All-NULL columns are skipped.  The result is O(columns) rows built on the driver.
     """
-    parsed = df.select(*[to_double(F.col(c)).alias(c) for c in cols])
+    parsed = df.select(*[to_double(F.col(c)).alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _profile(df, parsed, cols, digits, quantiles)
+    finally:
+        parsed.unpersist()
+
+
+def _profile(df: DataFrame, parsed: DataFrame, cols: Sequence[str], digits: int | None, quantiles: bool) -> DataFrame:
     aggs = []
     for c in cols:
         x = F.col(c)
@@ -43,9 +51,13 @@ def numeric_profile(df: DataFrame, cols: Sequence[str], digits: int | None = 6)
         ]
     row = parsed.agg(*aggs).first()
     live = [c for c in cols if row[f"{c}__n"] > 0]
-    qs = exact_quantiles_many(
-        parsed, live, [0.5, 0.25, 0.75], counts={c: row[f"{c}__n"] for c in live}, approx_distinct={c: row[f"{c}__d"] for c in live}
-    )
+    if quantiles:
+        qs = exact_quantiles_many(
+            parsed, live, [0.5, 0.25, 0.75], counts={c: row[f"{c}__n"] for c in live},
+            approx_distinct={c: row[f"{c}__d"] for c in live},
+        )
+    else:
+        qs = {c: [None, None, None] for c in live}
 
     def r(v):
         if v is None or (isinstance(v, float) and math.isnan(v)):

@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,6 +119,15 @@ def order_statistics(
     """Exact 0-based ascending order statistics of the non-null, non-NaN values of ``col``."""
     n_bins = n_bins or _default_bins(df)
     x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    # several passes read the same single column: keep it (lineage is deterministic, so a lost block is recomputed)
+    x = x.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _refine(x, ranks, n_bins, max_local)
+    finally:
+        x.unpersist()
+
+
+def _refine(x: DataFrame, ranks: Sequence[int], n_bins: int, max_local: int) -> dict[int, float]:
     # state per wanted rank: (lo, hi, rank within [lo, hi))
     pending: dict[int, tuple[float, float, int]] = {int(r): (-math.inf, math.inf, int(r)) for r in ranks}
     result: dict[int, float] = {}
@@ -210,17 +220,28 @@ def top_k_filter(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
     if k <= 0:
         return df.limit(0)
     base = df.where(F.col(score).isNotNull())
+    cand = base.select(score, key).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        s_star, k_star = _cutoff(cand, score, key, k)
+    finally:
+        cand.unpersist()
+    if s_star is None:
+        return base
+    sc = F.col(score).cast("double")
+    return base.where((sc > F.lit(s_star)) | ((sc == F.lit(s_star)) & (F.col(key).cast("double") <= F.lit(k_star))))
+
+
+def _cutoff(base: DataFrame, score: str, key: str, k: int) -> tuple[float | None, float | None]:
     n = base.count()
     if k >= n:
-        return base
+        return None, None
     # k-th largest score = ascending order statistic n-k
     s_star = order_statistics(base, score, [n - k])[n - k]
     above = base.where(F.col(score).cast("double") > F.lit(s_star)).count()
     need = k - above
     ties = base.where(F.col(score).cast("double") == F.lit(s_star))
     k_star = order_statistics(ties, key, [need - 1])[need - 1]
-    sc = F.col(score).cast("double")
-    return base.where((sc > F.lit(s_star)) | ((sc == F.lit(s_star)) & (F.col(key).cast("double") <= F.lit(k_star))))
+    return s_star, k_star
 
 
 def _linear_from_sorted(pairs: list[tuple[float, int]], n: int, probs: Sequence[float]) -> list[float]:
@@ -259,6 +280,14 @@ def exact_quantiles_many(
     """
     if not cols:
         return {}
+    df = df.select(*[F.col(f"`{c}`") for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _quantiles_many(df, cols, probs, counts, approx_distinct, max_local)
+    finally:
+        df.unpersist()
+
+
+def _quantiles_many(df, cols, probs, counts, approx_distinct, max_local):
     if counts is None or approx_distinct is None:
         aggs = []
         for c in cols:
