@@ -1,7 +1,7 @@
 """Named queries (one Spark job each, with a DuckDB oracle where SQL can express it)."""
 
 from driftwise.catalog.base import REGISTRY, Entry, register  # noqa: F401
-from driftwise.catalog import decision, drift, evaluation, features, profiles, validation  # noqa: F401
+from driftwise.catalog import decision, drift, evaluation, features, monitoring, profiles, validation  # noqa: F401
 
 
 def queries():
