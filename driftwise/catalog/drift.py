@@ -286,11 +286,16 @@ def data_drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("column_name").alias("feature"), F.lit("categorical").alias("type"), "psi",
         F.lit(None).cast("double").alias("ref_mean"), F.lit(None).cast("double").alias("cur_mean"),
     )
-    feats = numeric.unionByName(cat)
-    summary = feats.agg(F.max("psi").alias("max_psi"), F.avg("psi").alias("mean_psi")).withColumn("_k", F.lit(1))
-    return feats.withColumn("_k", F.lit(1)).join(summary, "_k").select(
-        "feature", "type", rnd(F.col("psi")).alias("psi"), rnd(F.col("ref_mean")).alias("ref_mean"),
-        rnd(F.col("cur_mean")).alias("cur_mean"), rnd(F.col("max_psi")).alias("max_psi"), rnd(F.col("mean_psi")).alias("mean_psi"),
+    feats = numeric.unionByName(cat).collect()  # one row per feature
+    psis = [r["psi"] for r in feats if r["psi"] is not None]
+    max_psi = max(psis) if psis else 0.0
+    mean_psi = sum(psis) / len(psis) if psis else 0.0
+    rows = [
+        (r["feature"], r["type"], pround(r["psi"]), pround(r["ref_mean"]), pround(r["cur_mean"]), pround(max_psi), pround(mean_psi))
+        for r in feats
+    ]
+    return spark.createDataFrame(
+        rows, "feature string, type string, psi double, ref_mean double, cur_mean double, max_psi double, mean_psi double"
     )
 
 

@@ -191,17 +191,14 @@ def prediction_drift(ref: DataFrame, cur: DataFrame, col: str, n_bins: int = 10)
     edges = [i / n_bins for i in range(n_bins + 1)]
     pr = safe_hist_shares(ref, col, edges).withColumnRenamed("p", "pr")
     pc = safe_hist_shares(cur, col, edges).withColumnRenamed("p", "pc")
-    psi = pr.join(pc, "bin").agg(F.sum((F.col("pc") - F.col("pr")) * F.log(F.col("pc") / F.col("pr"))).alias("psi"))
-    ks = ks_statistic(ref, cur, col)
-    means = (
-        ref.select(to_double(F.col(col)).alias("x")).agg(F.coalesce(F.avg("x"), F.lit(0.0)).alias("ref_mean_proba"))
-    )
-    cmeans = cur.select(to_double(F.col(col)).alias("x")).agg(F.coalesce(F.avg("x"), F.lit(0.0)).alias("cur_mean_proba"))
-    # four one-row frames: joining on a constant key keeps it a plain equi-join of single rows
-    one = F.lit(1).alias("_k")
-    return (
-        psi.select("*", one).join(ks.select("*", one), "_k").join(means.select("*", one), "_k")
-        .join(cmeans.select("*", one), "_k").drop("_k")
+    psi = pr.join(pc, "bin").agg(F.sum((F.col("pc") - F.col("pr")) * F.log(F.col("pc") / F.col("pr"))).alias("psi")).first()[0]
+    ks = ks_statistic(ref, cur, col).first()[0]
+    ref_mean = ref.select(to_double(F.col(col)).alias("x")).agg(F.avg("x")).first()[0]
+    cur_mean = cur.select(to_double(F.col(col)).alias("x")).agg(F.avg("x")).first()[0]
+    # four numbers from four aggregations: the report row is built on the driver
+    return ref.sparkSession.createDataFrame(
+        [(psi, ks, ref_mean if ref_mean is not None else 0.0, cur_mean if cur_mean is not None else 0.0)],
+        "psi double, ks_stat double, ref_mean_proba double, cur_mean_proba double",
     )
 
 
@@ -313,11 +310,8 @@ def importance_drift(current: DataFrame, reference: DataFrame, top_k: int = 10,
     reranked = shared.select((F.rank().over(ws)).cast("double").alias("a"), (F.rank().over(wc)).cast("double").alias("b"))
     stats = reranked.agg(F.count(F.lit(1)).alias("n"), F.covar_samp("a", "b").alias("cv"), F.stddev_samp("a").alias("sa"), F.stddev_samp("b").alias("sb"))
     rho = F.when(F.col("n") >= 3, F.try_divide(F.col("cv"), F.col("sa") * F.col("sb")))
-    spearman = stats.select(rho.alias("rank_correlation"), F.lit(1).alias("_k"))
-    return (
-        j.withColumn("changed", F.abs("rank_change") >= rank_drop)
-        .withColumn("_k", F.lit(1))
-        .join(spearman, "_k")
-        .drop("_k")
+    spearman = stats.select(rho.alias("rank_correlation")).first()[0]
+    return j.withColumn("changed", F.abs("rank_change") >= rank_drop).withColumn(
+        "rank_correlation", F.lit(spearman).cast("double")
     )
 

@@ -44,15 +44,14 @@ def outcome_report(
         F.count_if(F.col("_o") & F.col("_a") & (act == 0) & (y == 1)).alias("fn"),
         F.count_if(F.col("_o") & F.col("_a") & (act == 0) & (y == 0)).alias("tn"),
     )
-    auc = roc_auc(matched, "proba", "y").withColumn("_k", F.lit(1))
+    auc = roc_auc(matched, "proba", "y").first()[0]
     profit = (
         F.col("tp") * F.lit(costs.tp_value) + F.col("fp") * F.lit(costs.fp_value)
         + F.col("fn") * F.lit(costs.fn_value) + F.col("tn") * F.lit(costs.tn_value)
     ).cast("double")
     return (
-        stats.withColumn("_k", F.lit(1)).join(auc, "_k", "left").drop("_k")
+        stats.withColumn("auc", F.lit(auc).cast("double"))
         .withColumn("realized_profit", profit)
-        .withColumnRenamed("roc_auc", "auc")
     )
 
 
