@@ -1,7 +1,17 @@
 """Named queries (one Spark job each, with a DuckDB oracle where SQL can express it)."""
 
 from driftwise.catalog.base import REGISTRY, Entry, register  # noqa: F401
-from driftwise.catalog import decision, drift, evaluation, features, monitoring, profiles, text, validation  # noqa: F401
+from driftwise.catalog import (  # noqa: F401
+    decision,
+    drift,
+    evaluation,
+    features,
+    monitoring,
+    profiles,
+    streaming,
+    text,
+    validation,
+)
 
 
 def queries():

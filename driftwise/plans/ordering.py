@@ -61,6 +61,7 @@ def global_prefix_sum(
     prefix: str = "cum_",
     group_cols: Sequence[str] = (),
     tiebreak: Sequence[str] = (),
+    how: str = "sum",
 ) -> DataFrame:
     """Inclusive running sums of ``value_cols`` in the order of ``order_col`` (within ``group_cols``).
 
@@ -82,20 +83,25 @@ def global_prefix_sum(
     work = bucketize(work, key, edges, "_pfx_b")
     order = [F.col(key)] + [F.col(t) for t in tiebreak]
     inner = Window.partitionBy(*groups, "_pfx_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if how not in ("sum", "max"):
+        raise ValueError(how)
+    agg = F.sum if how == "sum" else F.max
     for v in value_cols:
-        work = work.withColumn(f"_pfx_run_{v}", F.sum(v).over(inner))
-    totals = work.groupBy(*groups, "_pfx_b").agg(*[F.sum(v).alias(f"_pfx_tot_{v}") for v in value_cols])
+        work = work.withColumn(f"_pfx_run_{v}", agg(v).over(inner))
+    totals = work.groupBy(*groups, "_pfx_b").agg(*[agg(v).alias(f"_pfx_tot_{v}") for v in value_cols])
     # one row per (group, bucket): the offset window only sees that small table
     before = Window.partitionBy(*groups).orderBy("_pfx_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *groups, "_pfx_b",
-        *[F.coalesce(F.sum(f"_pfx_tot_{v}").over(before), F.lit(0)).alias(f"_pfx_off_{v}") for v in value_cols],
+        *[(F.coalesce(agg(f"_pfx_tot_{v}").over(before), F.lit(0)) if how == "sum" else agg(f"_pfx_tot_{v}").over(before)).alias(f"_pfx_off_{v}")
+          for v in value_cols],
     )
     if not groups:
         offsets = F.broadcast(offsets)  # at most n_buckets rows
     out = work.join(offsets, [*groups, "_pfx_b"])
     for v in value_cols:
-        out = out.withColumn(f"{prefix}{v}", F.col(f"_pfx_run_{v}") + F.col(f"_pfx_off_{v}"))
+        run, off = F.col(f"_pfx_run_{v}"), F.col(f"_pfx_off_{v}")
+        out = out.withColumn(f"{prefix}{v}", run + off if how == "sum" else F.greatest(run, off))
     drop = [key, "_pfx_b"] + [c for v in value_cols for c in (f"_pfx_run_{v}", f"_pfx_off_{v}")]
     return out.drop(*drop)
 

@@ -22,10 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bookings(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """Booking-shaped proxy over orders ⨝ customer ⨝ nation ⟕ per-order line stats.
 
-    One row per order (``booking_id`` unique).  Orders without lines keep NULL
+    One row per order (``booking_id`` unique).  ``orders`` may be a streaming
+    DataFrame: the other inputs are static, so this becomes a stream–static join.  Orders without lines keep NULL
     ``adults``/``children``/``babies``/``adr``.  The line stats aggregate is a
     partial+final hash aggregate keyed by ``l_orderkey``; the join to orders is on
     the same key, so at scale AQE keeps it a co-partitioned sort-merge join while
@@ -42,7 +43,7 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("n_ret"),
         )
     )
-    orders = table(spark, sf_dir, "orders")
+    orders = orders if orders is not None else table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     ok = F.col("o_orderkey")
