@@ -6,6 +6,7 @@ from driftwise.catalog import (  # noqa: F401
     drift,
     evaluation,
     features,
+    models,
     monitoring,
     profiles,
     streaming,
