@@ -8,6 +8,7 @@ from driftwise.catalog import (  # noqa: F401
     features,
     models,
     monitoring,
+    ops,
     profiles,
     streaming,
     text,
