@@ -157,11 +157,11 @@ def tag_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens of each document, score = overlap × (6 − clamp(priority)), top-3."""
     docs = table(spark, sf_dir, "documents")
     queries = table(spark, sf_dir, "benchmark")
-    qt = queries.select("item_id", F.explode(rt.tokens(F.col("text"))).alias("tag"))
+    qt = queries.select("item_id", F.explode_outer(rt.tokens(F.col("text"))).alias("tag")).where(F.col("tag").isNotNull())
     dt = docs.select(
-        "doc_id", F.explode(rt.tokens(F.col("text"))).alias("tag"),
+        "doc_id", F.explode_outer(rt.tokens(F.col("text"))).alias("tag"),
         F.coalesce(map_lookup(LANG_PRIORITY, F.col("lang")), F.lit(5)).alias("priority"),
-    )
+    ).where(F.col("tag").isNotNull())
     out = rt.tag_overlap_topk(qt, "item_id", dt, "doc_id", "priority", TOP_K)
     return out.select("item_id", "doc_id", F.col("rank").cast("int").alias("rank"), "overlap", "score")
 
