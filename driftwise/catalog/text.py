@@ -129,9 +129,7 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     text retrieves its top-3 documents by cosine (> 0); queries without a hit fall back to priority order."""
     docs = table(spark, sf_dir, "documents")
     queries = table(spark, sf_dir, "benchmark")
-    dw, idf = rt.tfidf_index(docs, "doc_id", "text")
-    qw = rt.tfidf_query(queries, "item_id", "text", idf)
-    hits = rt.sparse_cosine_topk(qw, dw, "item_id", "doc_id", TOP_K).select(
+    hits = rt.tfidf_topk(docs, "doc_id", queries, "item_id", "text", TOP_K).select(
         "item_id", "doc_id", F.col("rank").cast("int").alias("rank"), rnd(F.col("similarity")).alias("similarity")
     )
     prio = docs.select("doc_id", map_lookup(LANG_PRIORITY, F.col("lang")).alias("_p")).select(
