@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -21,12 +22,36 @@ class Entry:
 REGISTRY: dict[str, Entry] = {}
 
 
-def register(name: str, sql: str | None = None):
+# Multi-pass jobs over the bookings view (several Spark jobs each): they read it from a table written once.
+MULTI_PASS = {
+    "score_and_decide", "outcome_report", "build_alerts", "validation_profile", "monitoring_report", "run_snapshot",
+    "distribution_check", "correlation_drift", "serving_skew", "importance_drift", "data_drift_report", "prediction_drift",
+    "label_drift", "ks_stat", "binary_metrics", "roc_auc_exact", "quantile_threshold", "champion_policy", "decide_capacity",
+    "profit_constrained", "best_by_rule", "roc_curve", "pr_curve", "preprocess_basic", "impute_median_mode", "standardise",
+    "one_hot_counts", "frequency_encode", "stratified_split", "three_way_split", "row_count_reconcile", "kfold_assign",
+    "reference_stats", "reference_correlations", "value_counts_topn", "histogram_fixed", "model_health", "rollback_matrix",
+    "lineage_record", "dead_letter", "correlated_alert", "null_ratio_report", "record_constraints",
+}
+
+
+def register(name: str, sql: str | None = None, materialize: bool | None = None):
+    """Register a named query.  ``materialize=True`` marks a multi-pass job: the bookings view is written once
+    to the shared scratch folder and every pass of the job reads that table."""
+
     def deco(fn: QueryFn) -> QueryFn:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Entry(name, fn, sql.strip() if sql else None, (fn.__doc__ or "").strip())
-        return fn
+        run = fn
+        if materialize or (materialize is None and name in MULTI_PASS):
+            from driftwise.sources.tables import materialized_bookings
+
+            @functools.wraps(fn)
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                with materialized_bookings(spark, sf_dir):
+                    return fn(spark, sf_dir)
+
+        REGISTRY[name] = Entry(name, run, sql.strip() if sql else None, (fn.__doc__ or "").strip())
+        return run
 
     return deco
 
