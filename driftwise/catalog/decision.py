@@ -90,3 +90,26 @@ FROM a GROUP BY customer_type
 )
 
 register("score_and_decide", FLAGSHIP_SQL)(flagship)
+
+
+@register(
+    "actions_table",
+    with_bookings(
+        """
+SELECT booking_id, proba, action, CAST(0.35 AS DOUBLE) AS threshold_used, CAST(0.3 AS DOUBLE) AS max_action_rate_used,
+       'score' AS model_used, 'run-cur' AS run_id
+FROM a WHERE period = 'cur'""",
+        _DECIDE_CTES.replace("FROM bookings),", "FROM bookings WHERE period = 'cur'),", 1),
+    ),
+    materialize=True,
+)
+def actions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current-period decisions (proba, action, threshold, capacity, model) with the booking key,
+    written to an actions table partitioned by run id and read back."""
+    from driftwise.sources.files import scratch_path, write_actions
+
+    cur = bookings(spark, sf_dir).where(F.col("period") == "cur")
+    decided = score_and_decide(cur, "score", "booking_id", FLAGSHIP_POLICY)
+    path = scratch_path(spark, "actions")
+    write_actions(decided.select("booking_id", "proba", "action", "threshold_used", "max_action_rate_used", "model_used"), path, "run-cur")
+    return spark.read.parquet(path).select("booking_id", "proba", "action", "threshold_used", "max_action_rate_used", "model_used", "run_id")

@@ -371,3 +371,22 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     diff = j.agg(F.max(F.abs(F.col("p1") - F.col("p2")))).first()[0]
     return spark.createDataFrame([(pround(auc1), pround(auc2), float(diff or 0.0), j.count())],
                                  "auc_fitted double, auc_loaded double, max_abs_diff double, n_scored long")
+
+
+@register("seed_chunks")
+def seed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seed the knowledge store — chunks already stored (the English documents, written first) are
+    skipped by a left-anti join on chunk id, the rest appended; per category before / appended / after counts."""
+    chunks = _chunks(spark, sf_dir)
+    path = fs.scratch_path(spark, "chunk-store")
+    chunks.where(F.col("category") == "en").write.mode("overwrite").parquet(path)
+    store = spark.read.parquet(path)
+    before = store.groupBy("category").agg(F.count(F.lit(1)).alias("n_before"))
+    new = chunks.join(store.select("chunk_id"), "chunk_id", "left_anti")
+    new.write.mode("append").parquet(path)
+    after = spark.read.parquet(path).where("is_active")
+    appended = new.groupBy("category").agg(F.count(F.lit(1)).alias("n_appended"))
+    total = after.groupBy("category").agg(F.count(F.lit(1)).alias("n_after"))
+    return total.join(before, "category", "left").join(appended, "category", "left").select(
+        "category", F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("n_appended", F.lit(0)).alias("n_appended"), "n_after"
+    )

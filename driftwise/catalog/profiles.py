@@ -161,3 +161,27 @@ binned AS (SELECT """
 def histogram_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """30 equal-width bins of lead_time over its [min, max], last bin closed, empty bins kept."""
     return pf.fixed_histogram(bookings(spark, sf_dir), "lead_time", 30)
+
+
+def _describe_sql(cols):
+    parts = []
+    for c in cols:
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(
+            f"SELECT '{c}' AS column_name, count({x}) AS n, count(*) - count({x}) AS n_missing, round(avg({x}), 6) AS mean, "
+            f"round(stddev_samp({x}), 6) AS std, round(min({x}), 6) AS min, round(quantile_cont({x}, 0.25), 6) AS q25, "
+            f"round(quantile_cont({x}, 0.5), 6) AS median, round(quantile_cont({x}, 0.75), 6) AS q75, round(max({x}), 6) AS max FROM bookings"
+        )
+    return "\nUNION ALL ".join(parts)
+
+
+@register("describe_summary", with_bookings(_describe_sql(PROFILE_COLS)), materialize=True)
+def describe_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: EDA describe of every numeric bookings column over both periods — count, missing, mean, std, min,
+    exact quartiles, max."""
+    b = bookings(spark, sf_dir)
+    prof = pf.numeric_profile(b, PROFILE_COLS)
+    total = b.count()
+    return prof.select(
+        "column_name", "n", (F.lit(total) - F.col("n")).alias("n_missing"), "mean", "std", "min", "q25", "median", "q75", "max"
+    )

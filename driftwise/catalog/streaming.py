@@ -290,3 +290,30 @@ def score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = enriched.writeStream.foreachBatch(decide).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(out_path).select("booking_id", "proba", "action")
+
+
+@register("throttle_audit_redis")
+def throttle_audit_redis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: the same limiter with the atomic-script eviction edge — stamps exactly one window old are evicted."""
+    ev = _events(spark, sf_dir).select("event_id", "event_type", F.unix_micros("ts").alias("t_us"))
+    out = st.throttle_audit(ev, "event_type", "t_us", "event_id", THROTTLE_LIMIT, THROTTLE_WINDOW_US, inclusive=False)
+    return out.join(ev, "event_id").select("event_id", "event_type", "allowed")
+
+
+@register(
+    "retrieval_counters",
+    f"""SELECT {_FMT.format(x="time_bucket(INTERVAL '1 hour', " + _TS + ")")} AS window_start, event_type AS method,
+       CASE WHEN value / 100.0 < 0.55 THEN 'low' WHEN value / 100.0 >= 0.80 THEN 'high' ELSE 'medium' END AS bucket,
+       count(*) AS n
+FROM events GROUP BY ALL""",
+)
+def retrieval_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly retrieval counters by method and quality bucket (events as the retrieval log, similarity =
+    value / 100, buckets at 0.55 / 0.80)."""
+    ev = _events(spark, sf_dir)
+    sim = F.col("value") / F.lit(100.0)
+    bucket = F.when(sim < 0.55, "low").when(sim >= 0.80, "high").otherwise("medium")
+    out = ev.groupBy(F.window("ts", "1 hour").alias("w"), F.col("event_type").alias("method"), bucket.alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return out.select(wn.fmt(F.col("w.start")).alias("window_start"), "method", "bucket", "n")

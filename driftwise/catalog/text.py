@@ -387,3 +387,53 @@ def hybrid_query_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval tags and the hybrid query text built from each booking's attributes and score."""
     b = bookings(spark, sf_dir)
     return b.select("booking_id", rt.customer_query_text(b.columns, F.col("score")).alias("query_text"))
+
+
+@register(
+    "retrieval_eval_file",
+    f"""WITH {_EMB_CTES.strip()},
+fh AS (SELECT query_id, min(CASE WHEN vec_label = query_id THEN rank END) AS first_hit FROM res GROUP BY query_id)
+SELECT count(*) AS sample_count, round(avg(CASE WHEN first_hit IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS hit_rate_at_k,
+       round(avg(coalesce(1.0 / first_hit, 0.0)), 6) AS mrr_at_k
+FROM fh""",
+)
+def retrieval_eval_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation set is written as JSONL (query, expected_chunk_ids list + one
+    expected_chunk_id) from the embeddings table, read back through the eval-set reader (array / object /
+    JSONL), and hit-rate@5 / MRR@5 are computed by array membership of the retrieved ids."""
+    from driftwise.sources.files import read_eval_set, scratch_path
+
+    emb, res, _ = _emb_results(spark, sf_dir)
+    ids = emb.groupBy("label").agg(F.sort_array(F.collect_list(F.col("vec_id").cast("string"))).alias("ids"))
+    samples = ids.select(
+        F.concat(F.lit("label-"), F.col("label").cast("string")).alias("query"),
+        F.slice("ids", 2, 1_000_000).alias("expected_chunk_ids"), F.element_at("ids", 1).alias("expected_chunk_id"),
+    )
+    path = scratch_path(spark, "eval-set")
+    samples.write.mode("overwrite").json(path)
+    evalset = read_eval_set(spark, path).select(
+        F.regexp_extract("query", r"^label-(\d+)$", 1).cast("int").alias("query_id"), "expected_ids"
+    )
+    j = res.join(evalset, "query_id").withColumn("hit", F.array_contains("expected_ids", F.col("vec_id").cast("string")))
+    out = rt.retrieval_eval(j, "query_id", F.col("hit"), EMB_K)
+    return out.select("sample_count", rnd(F.col("hit_rate_at_k")).alias("hit_rate_at_k"), rnd(F.col("mrr_at_k")).alias("mrr_at_k"))
+
+
+@register(
+    "chunk_text_sql",
+    f"""WITH {_CHUNK_CTES.strip()}
+SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(n_chunks AS INTEGER) AS n_chunks, CAST(c.start AS INTEGER) AS start,
+       CAST(length(c.chunk) AS INTEGER) AS chunk_len, md5(c.chunk) AS chunk_md5
+FROM ch""",
+)
+def chunk_text_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunker as a Python UDTF registered for SQL users (LATERAL table function over whole texts);
+    the DataFrame path (``chunk_text``) stays in the JVM."""
+    from driftwise.functions.udtf import register_chunk_udtf
+
+    register_chunk_udtf(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents_for_chunking")
+    return spark.sql(
+        """SELECT d.doc_id, c.chunk_index, c.n_chunks, c.start, length(c.chunk) AS chunk_len, md5(c.chunk) AS chunk_md5
+           FROM documents_for_chunking d, LATERAL chunk_text_udtf(d.text, 900, 100) c"""
+    )

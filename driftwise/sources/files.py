@@ -97,18 +97,11 @@ def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
     Returns (query string, expected_ids array<string>) where ``expected_ids``
     merges a list field ``expected_chunk_ids`` with a single ``expected_chunk_id`` (U5).
     """
-    text = spark.read.text(path, wholetext=False)
-    first = text.where(F.length(F.trim("value")) > 0).select(F.ltrim("value").substr(1, 1).alias("c")).first()
-    if first is not None and first["c"] in ("[", "{"):
-        multi = spark.read.option("multiLine", True).json(path)
-        if "samples" in multi.columns:
-            rows = multi.select(F.explode("samples").alias("s")).select("s.*")
-        elif first["c"] == "[" or "query" in multi.columns:
-            rows = multi
-        else:
-            rows = spark.read.json(path)
-    else:
-        rows = spark.read.json(path)
+    rows = spark.read.json(path)  # JSONL (one object per line) or single-line documents
+    if not rows.columns or "_corrupt_record" in rows.columns:
+        rows = spark.read.option("multiLine", True).json(path)  # pretty-printed array or object
+    if "samples" in rows.columns:
+        rows = rows.select(F.explode("samples").alias("s")).select("s.*")
     if "query" not in rows.columns:
         return spark.createDataFrame([], "query string, expected_ids array<string>")
     many = F.col("expected_chunk_ids").cast("array<string>") if "expected_chunk_ids" in rows.columns else F.array()
