@@ -236,9 +236,11 @@ def champion_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, col in MODELS.items():
         sw = ev.profit_sweep(s.withColumn("p", col()), "p", "y", COSTS).withColumn("model", F.lit(name))
         sweeps = sw if sweeps is None else sweeps.unionByName(sw)
-    rates = spark.createDataFrame([(float(r),) for r in DEFAULT_ACTION_RATES], "max_action_rate double")
-    # sweeps: models × grid rows, rates: 5 rows — a bounded theta join on feasibility
-    feas = sweeps.join(F.broadcast(rates), F.col("action_rate") <= F.col("max_action_rate"))
+    # feasible rows per capacity rate: one filtered copy of the (models × grid)-row sweep per rate, no join
+    feas = None
+    for r in DEFAULT_ACTION_RATES:
+        part = sweeps.where(F.col("action_rate") <= F.lit(float(r))).withColumn("max_action_rate", F.lit(float(r)))
+        feas = part if feas is None else feas.unionByName(part)
     w1 = Window.partitionBy("model", "max_action_rate").orderBy(F.desc("profit"), "threshold")
     per_rate = feas.withColumn("rr", F.row_number().over(w1)).where("rr = 1")
     w2 = Window.partitionBy("model").orderBy(F.desc("profit"), "max_action_rate", "threshold")

@@ -42,8 +42,18 @@ def test_entry_smoke(spark):
     assert df.columns == ent.entry(spark).columns
 
 
-def test_no_cartesian_products(spark):
-    for name in ("score_and_decide", "profit_sweep", "psi_multi", "roc_auc_exact", "decide_capacity"):
-        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-        assert "CartesianProduct" not in plan, name
-        assert "BroadcastNestedLoopJoin" not in plan, name
+@pytest.mark.parametrize("name", ["score_and_decide", "profit_sweep", "psi_multi", "roc_auc_exact", "decide_capacity",
+                                  "champion_policy", "tfidf_topk", "tag_overlap", "embedding_topk", "login_guard",
+                                  "rolling_hit_ratio", "trim_history", "stratified_split", "ks_stat"])
+def test_no_cartesian_products(spark, name):
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan, name
+    assert "BroadcastNestedLoopJoin" not in plan, name
+
+
+@pytest.mark.parametrize("name", ["embedding_topk", "tfidf_topk", "tag_overlap"])
+def test_top_k_limit_runs_before_the_shuffle(spark, name):
+    df = QUERIES[name](spark, SMALL)
+    df.count()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan, name
