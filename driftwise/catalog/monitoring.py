@@ -215,3 +215,27 @@ def run_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("threshold").cast("double").alias("test_threshold"), F.col("n_test").cast("long").alias("n_test"),
         rnd(F.col("positive_rate_test")).alias("positive_rate_test"),
     ).orderBy(F.desc_nulls_last("test_roc_auc"))
+
+
+@register("validation_chain")
+def validation_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's timed validation chain on the bookings table: processed contract (V2), row anomalies (V7),
+    reference stats (A1), training-serving skew (D5) and multi-column PSI (D9); one row per check."""
+    from driftwise.catalog.validation import CATEGORICAL as V_CAT
+    from driftwise.catalog.validation import NUMERIC as V_NUM
+    from driftwise.operators import checks as ck
+    from driftwise.operators.profile import numeric_profile
+    from driftwise.sources.tables import materialized_bookings
+
+    with materialized_bookings(spark, sf_dir) as b:
+        ref, cur = b.where(F.col("period") == "ref"), b.where(F.col("period") == "cur")
+        contract = ck.violation_counts(b, ck.processed_contract("y", V_NUM, V_CAT)).agg(F.sum("n_failed")).first()[0]
+        anomalies = an.row_anomaly_counts(b).first()["n_anomalies"]
+        stats = numeric_profile(ref, DRIFT_COLS, digits=None)
+        n_stats = stats.count()
+        skewed = dr.serving_skew(cur, stats, DRIFT_COLS, 2.0).count()
+        psi = dr.drift_scores(ref, cur, DRIFT_COLS, 10, "psi", 0.10, 0.25, THRESHOLD_OVERRIDES, CRITICAL)
+        drifted = psi.where(F.col("status") == "drift").count()
+    rows = [("processed_contract_failures", int(contract)), ("row_anomalies", int(anomalies)), ("profiled_columns", int(n_stats)),
+            ("skewed_features", int(skewed)), ("psi_drifted_columns", int(drifted))]
+    return spark.createDataFrame(rows, "check_name string, value long")
