@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from driftwise.catalog.base import register, with_bookings
 from driftwise.catalog.drift import _CAT_PSI_CTES, CATEGORY_COLS, DRIFT_COLS
 from driftwise.catalog.sqlgen import binned_counts_ctes, divergence_select, long_union
+from driftwise.catalog.text import INGEST_CTES
 from driftwise.functions.scalar import pround, rnd, to_double
 from driftwise.operators import anomaly as an
 from driftwise.operators import checks as ck
@@ -257,7 +258,19 @@ def _merged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("is_active", F.coalesce("_new_active", "is_active")).drop("_new_active")
 
 
-@register("knowledge_stats")
+_MERGED_SQL = f"""WITH {INGEST_CTES},
+h AS (SELECT chunk_id, md5(content) AS hsh FROM chunks),
+f AS (SELECT hsh, min(chunk_id) AS first_id FROM h GROUP BY hsh),
+m AS (SELECT c.*, c.chunk_id = f.first_id AS is_active FROM chunks c JOIN h USING (chunk_id) JOIN f USING (hsh))"""
+
+
+@register(
+    "knowledge_stats",
+    _MERGED_SQL
+    + """
+SELECT coalesce(category, 'uncategorized') AS category, count(*) AS total_chunks, count_if(is_active) AS active_chunks,
+       count_if(NOT is_active) AS inactive_chunks, CAST(0 AS BIGINT) AS embedded_chunks FROM m GROUP BY 1""",
+)
 def knowledge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Knowledge chunks after the duplicate soft-delete merge — per category total, active,
     inactive and embedded counts."""
@@ -268,7 +281,13 @@ def knowledge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("embed_missing")
+@register(
+    "embed_missing",
+    _MERGED_SQL
+    + """
+SELECT chunk_id, category, CAST(length(title || '. ' || content) AS INTEGER) AS text_len, md5(title || '. ' || content) AS text_md5
+FROM m WHERE is_active""",
+)
 def embed_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active chunks without an embedding and the text to embed ('title. content'); an embedding
     ``pandas_udf`` plugs in here."""
@@ -373,7 +392,12 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  "auc_fitted double, auc_loaded double, max_abs_diff double, n_scored long")
 
 
-@register("seed_chunks")
+@register(
+    "seed_chunks",
+    f"""WITH {INGEST_CTES}
+SELECT category, CAST(count_if(category = 'en') AS BIGINT) AS n_before, CAST(count_if(category <> 'en') AS BIGINT) AS n_appended,
+       count(*) AS n_after FROM chunks GROUP BY category""",
+)
 def seed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seed the knowledge store — chunks already stored (the English documents, written first) are
     skipped by a left-anti join on chunk id, the rest appended; per category before / appended / after counts."""

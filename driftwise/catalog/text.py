@@ -51,11 +51,10 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register(
-    "ingest_chunks",
-    r"""WITH base AS (SELECT doc_id, source || '-' || CAST(doc_id AS VARCHAR) AS source_name,
+INGEST_CTES = r"""base AS (SELECT doc_id, lang, source || '-' || CAST(doc_id AS VARCHAR) AS source_name,
                      regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents),
-nt AS (SELECT doc_id, source_name, length(s) AS n, regexp_replace(regexp_replace(s, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM base),
+nt AS (SELECT doc_id, lang, source_name, length(s) AS n,
+              regexp_replace(regexp_replace(s, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM base),
 st AS (SELECT *, CASE WHEN length(t) = 0 THEN CAST([] AS BIGINT[])
          ELSE range(0, (CASE WHEN length(t) <= 900 THEN 0 ELSE CAST(ceil((length(t) - 900) / 800.0) AS BIGINT) END) * 800 + 1, 800)
        END AS starts FROM nt),
@@ -63,12 +62,18 @@ ar AS (SELECT *, list_filter(list_transform(starts, lambda s: regexp_replace(sub
                              lambda c: length(c) > 0) AS arr FROM st),
 g AS (SELECT *, CASE WHEN n > 200000 THEN 'too_long' WHEN n < 20 THEN 'too_short' WHEN len(arr) = 0 THEN 'no_chunks'
                      WHEN len(arr) > 200 THEN 'too_many_chunks' END AS reason FROM ar),
-ok AS (SELECT doc_id, source_name, len(arr) AS n_chunks, unnest(range(1, len(arr) + 1)) AS idx FROM g WHERE reason IS NULL),
-slugged AS (SELECT *, coalesce(nullif(substring(regexp_replace(regexp_replace(lower(source_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 24), ''), 'kb') AS slug FROM ok)
-SELECT doc_id, slug || '-' || lpad(CAST(idx AS VARCHAR), 3, '0') || '-' || substring(sha1(source_name || ':' || CAST(idx AS VARCHAR)), 1, 8) AS chunk_id,
-       source_name || ' [' || CAST(idx AS VARCHAR) || '/' || CAST(n_chunks AS VARCHAR) || ']' AS title,
-       CAST(idx AS INTEGER) AS chunk_index, CAST(NULL AS VARCHAR) AS reason
-FROM slugged
+ok AS (SELECT doc_id, lang, source_name, len(arr) AS n_chunks, unnest(arr) AS content, unnest(range(1, len(arr) + 1)) AS idx
+       FROM g WHERE reason IS NULL),
+slugged AS (SELECT *, coalesce(nullif(substring(regexp_replace(regexp_replace(lower(source_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 24), ''), 'kb') AS slug FROM ok),
+chunks AS (SELECT doc_id, lang AS category, content, CAST(idx AS INTEGER) AS chunk_index,
+                  slug || '-' || lpad(CAST(idx AS VARCHAR), 3, '0') || '-' || substring(sha1(source_name || ':' || CAST(idx AS VARCHAR)), 1, 8) AS chunk_id,
+                  source_name || ' [' || CAST(idx AS VARCHAR) || '/' || CAST(n_chunks AS VARCHAR) || ']' AS title FROM slugged)"""
+
+
+@register(
+    "ingest_chunks",
+    f"""WITH {INGEST_CTES}
+SELECT doc_id, chunk_id, title, chunk_index, CAST(NULL AS VARCHAR) AS reason FROM chunks
 UNION ALL SELECT doc_id, NULL, NULL, NULL, reason FROM g WHERE reason IS NOT NULL""",
 )
 def ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -177,13 +176,6 @@ def row_count_reconcile(counts: DataFrame, expected: Mapping[str, int], toleranc
     )
 
 
-@dataclass
-class StalenessResult:
-    path: str
-    age_days: float | None
-    is_stale: bool
-
-
 def staleness(df: DataFrame, max_age_days: float, as_of_col: Column) -> DataFrame:
     """Age in days of the newest file behind ``df`` (``_metadata``) vs a limit."""
     newest = df.select(F.col("_metadata.file_modification_time").alias("mt")).agg(F.max("mt").alias("newest"))
