@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwise.catalog.base import register, with_bookings
-from driftwise.catalog.drift import CATEGORY_COLS, CRITICAL, DRIFT_COLS, THRESHOLD_OVERRIDES
+from driftwise.catalog.sqlgen import binned_counts_ctes, divergence_select, long_union
+from driftwise.catalog.drift import _STATS_CTES, CATEGORY_COLS, CRITICAL, DRIFT_COLS, THRESHOLD_OVERRIDES
 from driftwise.functions.scalar import pround, rnd
 from driftwise.operators import anomaly as an
 from driftwise.operators import drift as dr
@@ -101,7 +102,41 @@ def build_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("validation_profile")
+_BOOKING_COLS = (
+    "booking_id, booked_on, period, is_canceled, y, hotel, arrival_date_year, arrival_date_month, arrival_date_day_of_month, "
+    "lead_time, adults, children, babies, stays_in_week_nights, stays_in_weekend_nights, adr, country, market_segment, "
+    "customer_type, score"
+)
+_PROFILE_SQL = with_bookings(
+    f"""
+SELECT * FROM (
+  SELECT 'duplicate' AS check_name, 'warn' AS severity,
+         (SELECT sum(c) - count(*) FROM (SELECT count(*) AS c FROM cur GROUP BY {_BOOKING_COLS})) / CAST((SELECT count(*) FROM cur) AS DOUBLE) > 0.02 AS violated
+  UNION ALL SELECT 'volume', 'hard_fail', vol_bad FROM vol
+  UNION ALL SELECT 'row_anomaly', 'warn', count_if(coalesce(adults, 0) = 0 AND coalesce(children, 0) = 0 AND coalesce(babies, 0) = 0
+         OR adr < -10 OR coalesce(stays_in_weekend_nights, 0) + coalesce(stays_in_week_nights, 0) > 365 OR lead_time > 800 OR adults > 50) > 0 FROM cur
+  UNION ALL SELECT 'distribution_drift', 'warn', (SELECT count(*) FROM j WHERE
+         (c_n > 0 AND r_std > 0 AND abs(c_mean - r_mean) > 3.0 * r_std) OR c_n = 0
+         OR (c_n > 0 AND c_min < r_min * 0.5 - abs(r_min)) OR (c_n > 0 AND c_max > r_max * 2.0 + abs(r_max))) > 0
+  UNION ALL SELECT 'psi_warn:' || column_name, 'warn', true FROM st WHERE status = 'warn'
+  UNION ALL SELECT 'psi_drift', 'soft_fail', count_if(status = 'drift') > 0 FROM st
+  UNION ALL SELECT 'label_drift', 'soft_fail', abs(coalesce((SELECT avg(CAST(y AS DOUBLE)) FROM cur), 0.0) - (SELECT avg(CAST(y AS DOUBLE)) FROM ref)) > 0.10
+  UNION ALL SELECT 'passed', 'summary', NOT vol_bad FROM vol)""",
+    _STATS_CTES
+    + ",\n"
+    + binned_counts_ctes(long_union(DRIFT_COLS)).strip()
+    + ","
+    + divergence_select("psi")
+    + """,
+st AS (SELECT column_name, CASE WHEN score >= (CASE WHEN column_name = 'lead_time' THEN 0.15 WHEN column_name = 'adr' THEN 0.10 ELSE 0.25 END) THEN 'drift'
+            WHEN score >= (CASE WHEN column_name = 'lead_time' THEN 0.15 ELSE 0.10 END) THEN 'warn' ELSE 'stable' END AS status
+       FROM scores WHERE n_ref >= 5 AND n_cur >= 5),
+vol AS (SELECT n_cur < greatest(1, CAST(floor(n_ref * 0.5) AS BIGINT)) OR n_cur > CAST(floor(n_ref * 1.5) AS BIGINT) AS vol_bad
+        FROM (SELECT (SELECT count(*) FROM cur) AS n_cur, (SELECT count(*) FROM ref) AS n_ref))""",
+)
+
+
+@register("validation_profile", _PROFILE_SQL)
 def validation_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate, volume, row-anomaly, distribution, PSI (lead_time override, adr critical) and label
     checks of the current period against the reference profile, with severities; 'passed' = no hard failure."""
