@@ -299,14 +299,7 @@ def data_drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PRED_SQL = with_bookings(
-    """
-SELECT round(p.psi, 6) AS psi, round(k.ks_stat, 6) AS ks_stat, round(m.ref_mean_proba, 6) AS ref_mean_proba,
-       round(m.cur_mean_proba, 6) AS cur_mean_proba
-FROM (SELECT sum((c.p - r.p) * ln(c.p / r.p)) AS psi FROM sh r JOIN sh c ON r.bin = c.bin AND r.side = 'ref' AND c.side = 'cur') p,
-     (SELECT coalesce(max(abs(ca / na - cb / nb)), 0.0) AS ks_stat FROM cum, tot) k,
-     (SELECT coalesce(avg(CASE WHEN period = 'ref' THEN score END), 0.0) AS ref_mean_proba,
-             coalesce(avg(CASE WHEN period = 'cur' THEN score END), 0.0) AS cur_mean_proba FROM bookings) m""",
+_PRED_CTES = (
     """
 pts AS (SELECT period AS side, CAST(score AS DOUBLE) AS x FROM bookings WHERE score IS NOT NULL),
 hb AS (SELECT side, """
@@ -319,7 +312,17 @@ sh0 AS (SELECT side, bin, greatest(CASE WHEN sum(n) OVER (PARTITION BY side) <=
 sh AS (SELECT side, bin, p / sum(p) OVER (PARTITION BY side) AS p FROM sh0),
 g2 AS (SELECT x, count_if(side = 'ref') AS a, count_if(side = 'cur') AS b FROM pts GROUP BY x),
 cum AS (SELECT sum(a) OVER (ORDER BY x) AS ca, sum(b) OVER (ORDER BY x) AS cb FROM g2),
-tot AS (SELECT greatest(count_if(side = 'ref'), 1) AS na, greatest(count_if(side = 'cur'), 1) AS nb FROM pts)""",
+tot AS (SELECT greatest(count_if(side = 'ref'), 1) AS na, greatest(count_if(side = 'cur'), 1) AS nb FROM pts)"""
+)
+_PRED_SQL = with_bookings(
+    """
+SELECT round(p.psi, 6) AS psi, round(k.ks_stat, 6) AS ks_stat, round(m.ref_mean_proba, 6) AS ref_mean_proba,
+       round(m.cur_mean_proba, 6) AS cur_mean_proba
+FROM (SELECT sum((c.p - r.p) * ln(c.p / r.p)) AS psi FROM sh r JOIN sh c ON r.bin = c.bin AND r.side = 'ref' AND c.side = 'cur') p,
+     (SELECT coalesce(max(abs(ca / na - cb / nb)), 0.0) AS ks_stat FROM cum, tot) k,
+     (SELECT coalesce(avg(CASE WHEN period = 'ref' THEN score END), 0.0) AS ref_mean_proba,
+             coalesce(avg(CASE WHEN period = 'cur' THEN score END), 0.0) AS cur_mean_proba FROM bookings) m""",
+    _PRED_CTES,
 )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,7 +86,37 @@ def _alerts(spark: SparkSession, sf_dir: str) -> dict[str, object]:
     return alerts
 
 
-@register("build_alerts")
+def _alerts_sql() -> str:
+    from driftwise.catalog.drift import _CAT_PSI_CTES, _PRED_CTES
+
+    pred_ctes = _PRED_CTES.strip()
+    for name in ("pts", "hb", "grid", "hc", "sh0", "sh", "g2", "cum", "tot"):
+        pred_ctes = re.sub(rf"\b{name}\b", f"pd_{name}", pred_ctes)
+    return with_bookings(
+        """
+SELECT max_psi >= 0.2 AS data_drift, pred_psi >= 0.2 AS prediction_drift, drop_ratio >= 0.2 AS profit_drop,
+       abs(ar_delta) >= 0.05 AS action_rate_deviation, vol_bad AS data_volume_anomaly,
+       max_psi >= 0.2 OR pred_psi >= 0.2 OR drop_ratio >= 0.2 OR abs(ar_delta) >= 0.05 OR vol_bad AS any_alert,
+       round(max_psi, 6) AS max_psi, round(pred_psi, 6) AS prediction_psi, round(drop_ratio, 6) AS profit_drop_ratio,
+       round(ar_delta, 6) AS action_rate_delta
+FROM (SELECT (SELECT max(v) FROM (SELECT score AS v FROM scores UNION ALL SELECT psi FROM cpsi)) AS max_psi,
+             (SELECT sum((c.p - r.p) * ln(c.p / r.p)) FROM pd_sh r JOIN pd_sh c ON r.bin = c.bin AND r.side = 'ref' AND c.side = 'cur') AS pred_psi,
+             CASE WHEN oe.expected <> 0 THEN 1.0 - oc.realized / oe.expected ELSE 0.0 END AS drop_ratio,
+             oc.ar - oe.ar AS ar_delta,
+             (SELECT n_cur < greatest(1, CAST(floor(n_ref * 0.5) AS BIGINT)) OR n_cur > CAST(floor(n_ref * 1.5) AS BIGINT)
+              FROM (SELECT count_if(period = 'cur') AS n_cur, count_if(period = 'ref') AS n_ref FROM bookings)) AS vol_bad
+      FROM oc, oe)""",
+        binned_counts_ctes(long_union(DRIFT_COLS)).strip() + "," + divergence_select("psi") + "," + _CAT_PSI_CTES + ",\n" + pred_ctes + """,
+oc AS (SELECT CAST(sum(CASE WHEN score >= 0.5 AND y = 1 THEN 180.0 WHEN score >= 0.5 AND y = 0 THEN -20.0
+                            WHEN score < 0.5 AND y = 1 THEN -200.0 ELSE 0.0 END) AS DOUBLE) AS realized,
+              avg(CASE WHEN score >= 0.5 THEN 1.0 ELSE 0.0 END) AS ar, count(*) AS n FROM bookings WHERE period = 'cur'),
+oe AS (SELECT CAST(sum(CASE WHEN score >= 0.5 AND y = 1 THEN 180.0 WHEN score >= 0.5 AND y = 0 THEN -20.0
+                            WHEN score < 0.5 AND y = 1 THEN -200.0 ELSE 0.0 END) AS DOUBLE) / count(*) * (SELECT n FROM oc) AS expected,
+              avg(CASE WHEN score >= 0.5 THEN 1.0 ELSE 0.0 END) AS ar FROM bookings WHERE period = 'ref')""",
+    )
+
+
+@register("build_alerts", _alerts_sql())
 def build_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O2: data drift (max PSI ≥ 0.2), prediction drift (PSI ≥ 0.2), profit drop (≥ 20 % below the
     reference-period expectation), action-rate deviation (≥ 0.05), volume anomaly, any_alert."""
