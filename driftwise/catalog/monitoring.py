@@ -284,7 +284,26 @@ def run_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).orderBy(F.desc_nulls_last("test_roc_auc"))
 
 
-@register("validation_chain")
+_CHAIN_SQL = with_bookings(
+    """
+SELECT * FROM (
+  SELECT 'processed_contract_failures' AS check_name,
+         CAST(count_if(y IS NULL) + count_if(y NOT IN (0, 1)) + count_if(lead_time IS NULL) + count_if(adults IS NULL)
+              + count_if(children IS NULL) + count_if(babies IS NULL) + count_if(adr IS NULL OR isnan(adr))
+              + count_if(stays_in_week_nights IS NULL) + count_if(stays_in_weekend_nights IS NULL)
+              + count_if(arrival_date_year IS NULL) + count_if(arrival_date_day_of_month IS NULL) AS BIGINT) AS value FROM bookings
+  UNION ALL SELECT 'row_anomalies', count_if(coalesce(adults, 0) = 0 AND coalesce(children, 0) = 0 AND coalesce(babies, 0) = 0
+         OR adr < -10 OR coalesce(stays_in_weekend_nights, 0) + coalesce(stays_in_week_nights, 0) > 365 OR lead_time > 800 OR adults > 50)
+         FROM bookings
+  UNION ALL SELECT 'profiled_columns', count(*) FROM j
+  UNION ALL SELECT 'skewed_features', count(*) FROM j WHERE c_n > 0 AND r_std > 0 AND abs(c_mean - r_mean) > 2.0 * r_std
+  UNION ALL SELECT 'psi_drifted_columns', count(*) FROM scores WHERE n_ref >= 5 AND n_cur >= 5 AND score >=
+         (CASE WHEN column_name = 'lead_time' THEN 0.15 WHEN column_name = 'adr' THEN 0.10 ELSE 0.25 END))""",
+    _STATS_CTES + ",\n" + binned_counts_ctes(long_union(DRIFT_COLS)).strip() + "," + divergence_select("psi"),
+)
+
+
+@register("validation_chain", _CHAIN_SQL)
 def validation_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference's timed validation chain on the bookings table: processed contract (V2), row anomalies (V7),
     reference stats (A1), training-serving skew (D5) and multi-column PSI (D9); one row per check."""

@@ -221,7 +221,33 @@ def alert_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wn.alert_dedup(alerts, DEDUP_HOURS)
 
 
-@register("throttle_audit")
+_THROTTLE_SQL = f"""WITH RECURSIVE ev AS (SELECT event_type AS k, epoch_us(CAST(ts AS TIMESTAMP)) AS t, event_id,
+                                row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(CAST(ts AS TIMESTAMP)), event_id) AS rn FROM events),
+r(k, rn, event_id, t, acc, allowed) AS (
+  SELECT k, rn, event_id, t, [t], true FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.k, e.rn, e.event_id, e.t,
+         CASE WHEN len(list_filter(r.acc, lambda x: x >= e.t - {THROTTLE_WINDOW_US})) < {THROTTLE_LIMIT}
+              THEN list_append(list_filter(r.acc, lambda x: x >= e.t - {THROTTLE_WINDOW_US}), e.t)
+              ELSE list_filter(r.acc, lambda x: x >= e.t - {THROTTLE_WINDOW_US}) END,
+         len(list_filter(r.acc, lambda x: x >= e.t - {THROTTLE_WINDOW_US})) < {THROTTLE_LIMIT}
+  FROM r JOIN ev e ON e.k = r.k AND e.rn = r.rn + 1)
+SELECT event_id, k AS event_type, allowed FROM r"""
+_THROTTLE_REDIS_SQL = f"""WITH RECURSIVE ev AS (SELECT event_type AS k, epoch_us(CAST(ts AS TIMESTAMP)) AS t, event_id,
+                                row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(CAST(ts AS TIMESTAMP)), event_id) AS rn FROM events),
+r(k, rn, event_id, t, acc, allowed) AS (
+  SELECT k, rn, event_id, t, [t], true FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.k, e.rn, e.event_id, e.t,
+         CASE WHEN len(list_filter(r.acc, lambda x: x > e.t - {THROTTLE_WINDOW_US})) < {THROTTLE_LIMIT}
+              THEN list_append(list_filter(r.acc, lambda x: x > e.t - {THROTTLE_WINDOW_US}), e.t)
+              ELSE list_filter(r.acc, lambda x: x > e.t - {THROTTLE_WINDOW_US}) END,
+         len(list_filter(r.acc, lambda x: x > e.t - {THROTTLE_WINDOW_US})) < {THROTTLE_LIMIT}
+  FROM r JOIN ev e ON e.k = r.k AND e.rn = r.rn + 1)
+SELECT event_id, k AS event_type, allowed FROM r"""
+
+
+@register("throttle_audit", _THROTTLE_SQL)
 def throttle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sliding-window limiter audit — per event type at most 2 accepted events in any trailing hour
     (stamps exactly one hour old still count; refused events do not count)."""
@@ -292,7 +318,7 @@ def score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out_path).select("booking_id", "proba", "action")
 
 
-@register("throttle_audit_redis")
+@register("throttle_audit_redis", _THROTTLE_REDIS_SQL)
 def throttle_audit_redis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2: the same limiter with the atomic-script eviction edge — stamps exactly one window old are evicted."""
     ev = _events(spark, sf_dir).select("event_id", "event_type", F.unix_micros("ts").alias("t_us"))
