@@ -401,7 +401,9 @@ SELECT category, CAST(count_if(category = 'en') AS BIGINT) AS n_before, CAST(cou
 def seed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seed the knowledge store — chunks already stored (the English documents, written first) are
     skipped by a left-anti join on chunk id, the rest appended; per category before / appended / after counts."""
-    chunks = _chunks(spark, sf_dir)
+    staged = fs.scratch_path(spark, "chunk-batch")
+    _chunks(spark, sf_dir).write.mode("overwrite").parquet(staged)  # the incoming batch, chunked once
+    chunks = spark.read.parquet(staged)
     path = fs.scratch_path(spark, "chunk-store")
     chunks.where(F.col("category") == "en").write.mode("overwrite").parquet(path)
     store = spark.read.parquet(path)
