@@ -50,12 +50,35 @@ def register(name: str, sql: str | None = None, materialize: bool | None = None)
                 with materialized_bookings(spark, sf_dir):
                     return fn(spark, sf_dir)
 
-        REGISTRY[name] = Entry(name, run, sql.strip() if sql else None, (fn.__doc__ or "").strip())
+        REGISTRY[name] = Entry(name, run, bigint_counts(sql.strip()) if sql else None, (fn.__doc__ or "").strip())
         return run
 
     return deco
 
 
+def bigint_counts(sql: str) -> str:
+    """Rewrite ``count_if(x)`` as ``count(*) FILTER (WHERE x)`` so the SQL twin returns BIGINT counts
+    (DuckDB's ``count_if`` is a 128-bit integer, which changes the result's column type)."""
+    out = []
+    i = 0
+    token = "count_if("
+    while True:
+        j = sql.find(token, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        depth, k = 1, j + len(token)
+        while depth:
+            ch = sql[k]
+            depth += ch == "("
+            depth -= ch == ")"
+            k += 1
+        inner = bigint_counts(sql[j + len(token):k - 1])
+        out.append(f"count(*) FILTER (WHERE {inner})")
+        i = k
+
+
 # The bookings proxy view as a DuckDB CTE (same text runs in Spark SQL).
 BOOKINGS_CTE = """
 bookings AS (

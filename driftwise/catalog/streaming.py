@@ -264,11 +264,11 @@ u AS (SELECT *, sum(CASE WHEN f THEN 1 ELSE 0 END) OVER (PARTITION BY user_id OR
 u2 AS (SELECT *, coalesce(max(CASE WHEN s THEN cumf END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING), 0) AS last_s,
               coalesce(sum(CASE WHEN f THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND {LOGIN_WINDOW_US + 1} PRECEDING), 0) AS before_w
        FROM u),
-uf AS (SELECT event_id, cumf - greatest(last_s, before_w) AS user_failures FROM u2 WHERE f),
+uf AS (SELECT event_id, CAST(cumf - greatest(last_s, before_w) AS BIGINT) AS user_failures FROM u2 WHERE f),
 i AS (SELECT event_id, ip, t, sum(1) OVER (PARTITION BY ip ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS cumf,
              coalesce(count(*) OVER (PARTITION BY ip ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND {LOGIN_WINDOW_US + 1} PRECEDING), 0) AS before_w
       FROM e WHERE f),
-ipf AS (SELECT event_id, cumf - before_w AS ip_failures FROM i),
+ipf AS (SELECT event_id, CAST(cumf - before_w AS BIGINT) AS ip_failures FROM i),
 j AS (SELECT uf.event_id, user_failures, ip_failures FROM uf JOIN ipf USING (event_id)),
 p AS (SELECT *, CASE WHEN user_failures >= 8 THEN 'lockout' WHEN user_failures >= 3 THEN 'backoff' ELSE 'none' END AS us,
              CASE WHEN user_failures >= 8 THEN 900 WHEN user_failures >= 3 THEN least(120, 2 * CAST(pow(2, user_failures - 3) AS BIGINT)) ELSE 0 END AS uw,

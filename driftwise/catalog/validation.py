@@ -259,7 +259,7 @@ def row_anomaly_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "duplicates_full",
     """
-SELECT sum(c) - count(*) AS n_duplicates, sum(c) AS n_total,
+SELECT CAST(sum(c) - count(*) AS BIGINT) AS n_duplicates, CAST(sum(c) AS BIGINT) AS n_total,
        round(CAST(sum(c) - count(*) AS DOUBLE) / sum(c), 6) AS duplicate_ratio
 FROM (SELECT count(*) AS c FROM documents GROUP BY text, lang, source, n_chars)""",
 )
@@ -272,7 +272,7 @@ def duplicates_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "duplicates_subset",
     """
-SELECT sum(c) - count(*) AS n_duplicates, sum(c) AS n_total,
+SELECT CAST(sum(c) - count(*) AS BIGINT) AS n_duplicates, CAST(sum(c) AS BIGINT) AS n_total,
        round(CAST(sum(c) - count(*) AS DOUBLE) / sum(c), 6) AS duplicate_ratio
 FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber)""",
 )
