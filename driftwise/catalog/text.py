@@ -74,7 +74,7 @@ chunks AS (SELECT doc_id, lang AS category, content, CAST(idx AS INTEGER) AS chu
     "ingest_chunks",
     f"""WITH {INGEST_CTES}
 SELECT doc_id, chunk_id, title, chunk_index, CAST(NULL AS VARCHAR) AS reason FROM chunks
-UNION ALL SELECT doc_id, NULL, NULL, NULL, reason FROM g WHERE reason IS NOT NULL""",
+UNION ALL SELECT doc_id, NULL, NULL, 0, reason FROM g WHERE reason IS NOT NULL""",
 )
 def ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length gates (20…200 000 chars), chunking, ≤ 200 chunks, ids slug-NNN-sha1 salt, titles
@@ -84,7 +84,7 @@ def ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = ok.select("doc_id", "chunk_id", "title", F.col("chunk_index").cast("int").alias("chunk_index"), F.lit(None).cast("string").alias("reason"))
     r = rejects.select(
         "doc_id", F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("string").alias("title"),
-        F.lit(None).cast("int").alias("chunk_index"), "reason",
+        F.lit(0).cast("int").alias("chunk_index"), "reason",
     )
     return a.unionByName(r)
 
