@@ -152,17 +152,7 @@ def _importance_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
-@register(
-    "importance_drift",
-    with_bookings(
-        """
-SELECT t.feature, t.ref_rank, t.cur_rank, t.rank_change, round(t.ref_importance, 6) AS ref_importance,
-       round(t.cur_importance, 6) AS cur_importance, abs(t.rank_change) >= 5 AS changed, round(s.rho, 6) AS rank_correlation
-FROM (SELECT r.feature, r.rk AS ref_rank, c.rk AS cur_rank, c.rk - r.rk AS rank_change,
-             r.imp AS ref_importance, c.imp AS cur_importance
-      FROM ri r JOIN ci c USING (feature) WHERE r.rk < 10) t,
-     (SELECT CASE WHEN count(*) >= 3 THEN corr(CAST(r.rk AS DOUBLE), CAST(c.rk AS DOUBLE)) END AS rho
-      FROM ri r JOIN ci c USING (feature)) s""",
+_IMP_CTES = (
         _CUR_REF
         + ",\n"
         + "ri0 AS ("
@@ -174,7 +164,22 @@ FROM (SELECT r.feature, r.rk AS ref_rank, c.rk AS cur_rank, c.rk - r.rk AS rank_
             f"SELECT '{c}' AS feature, coalesce(abs(corr(CAST({c} AS DOUBLE), CAST(y AS DOUBLE))), 0.0) AS imp FROM cur" for c in DRIFT_COLS
         )
         + "),\nri AS (SELECT feature, imp, row_number() OVER (ORDER BY imp DESC, feature) - 1 AS rk FROM ri0),"
-        + "\nci AS (SELECT feature, imp, row_number() OVER (ORDER BY imp DESC, feature) - 1 AS rk FROM ci0)",
+        + "\nci AS (SELECT feature, imp, row_number() OVER (ORDER BY imp DESC, feature) - 1 AS rk FROM ci0)"
+)
+
+
+@register(
+    "importance_drift",
+    with_bookings(
+        """
+SELECT t.feature, t.ref_rank, t.cur_rank, t.rank_change, round(t.ref_importance, 6) AS ref_importance,
+       round(t.cur_importance, 6) AS cur_importance, abs(t.rank_change) >= 5 AS changed, round(s.rho, 6) AS rank_correlation
+FROM (SELECT r.feature, r.rk AS ref_rank, c.rk AS cur_rank, c.rk - r.rk AS rank_change,
+             r.imp AS ref_importance, c.imp AS cur_importance
+      FROM ri r JOIN ci c USING (feature) WHERE r.rk < 10) t,
+     (SELECT CASE WHEN count(*) >= 3 THEN corr(CAST(r.rk AS DOUBLE), CAST(c.rk AS DOUBLE)) END AS rho
+      FROM ri r JOIN ci c USING (feature)) s""",
+        _IMP_CTES,
     ),
 )
 def importance_drift(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,7 +178,54 @@ def validation_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "check_name string, severity string, violated boolean")
 
 
-@register("monitoring_report")
+def _report_sql() -> str:
+    """O3 twin: the report row from the drift, outcome and alert CTEs (shared names renamed apart)."""
+    from driftwise.catalog.drift import _CAT_PSI_CTES, _CUR_REF, _IMP_CTES, _PRED_CTES, _TRACKED
+
+    tracked = _TRACKED.replace(_CUR_REF + ",", "", 1)
+    for name in ("cc_p", "cc"):
+        tracked = re.sub(rf"\b{name}\b", f"t_{name}", tracked)
+    imp = _IMP_CTES.replace(_CUR_REF + ",", "", 1)
+    pred = _PRED_CTES.strip()
+    for name in ("pts", "hb", "grid", "hc", "sh0", "sh", "g2", "cum", "tot"):
+        pred = re.sub(rf"\b{name}\b", f"pd_{name}", pred)
+    ctes = ",\n".join([
+        _STATS_CTES, tracked.strip(), imp.strip(), binned_counts_ctes(long_union(DRIFT_COLS)).strip(),
+        divergence_select("psi").strip(), _CAT_PSI_CTES.strip(), pred,
+        _OUTCOME_PAIR_CTES.strip(),
+    ])
+    body = """
+SELECT n_distribution_violations, label_drift, label_drift_magnitude, n_corr_drifted, n_importance_changed,
+       round(max_psi, 6) AS max_psi, round(pred_psi, 6) AS prediction_psi, round(ks, 6) AS ks_stat, vol_bad AS volume_anomaly,
+       max_psi >= 0.2 OR pred_psi >= 0.2 OR drop_ratio >= 0.2 OR abs(ar_delta) >= 0.05 OR vol_bad AS any_alert
+FROM (SELECT
+  CAST((SELECT count(*) FROM j WHERE (c_n > 0 AND r_std > 0 AND abs(c_mean - r_mean) > 3.0 * r_std) OR c_n = 0
+        OR (c_n > 0 AND c_min < r_min * 0.5 - abs(r_min)) OR (c_n > 0 AND c_max > r_max * 2.0 + abs(r_max))) AS INTEGER) AS n_distribution_violations,
+  abs(coalesce((SELECT avg(CAST(y AS DOUBLE)) FROM cur), 0.0) - (SELECT avg(CAST(y AS DOUBLE)) FROM ref)) > 0.10 AS label_drift,
+  round(abs(coalesce((SELECT avg(CAST(y AS DOUBLE)) FROM cur), 0.0) - (SELECT avg(CAST(y AS DOUBLE)) FROM ref)), 6) AS label_drift_magnitude,
+  CAST((SELECT count(*) FROM tracked tr JOIN rc r1 ON r1.a = tr.a AND r1.b = tr.b JOIN t_cc r2 ON r2.a = tr.a AND r2.b = tr.b
+        WHERE abs(r2.r - r1.r) > 0.20) AS INTEGER) AS n_corr_drifted,
+  CAST((SELECT count(*) FROM ri r JOIN ci c USING (feature) WHERE r.rk < 10 AND abs(c.rk - r.rk) >= 5) AS INTEGER) AS n_importance_changed,
+  (SELECT max(v) FROM (SELECT score AS v FROM scores UNION ALL SELECT psi FROM cpsi)) AS max_psi,
+  (SELECT sum((c.p - r.p) * ln(c.p / r.p)) FROM pd_sh r JOIN pd_sh c ON r.bin = c.bin AND r.side = 'ref' AND c.side = 'cur') AS pred_psi,
+  (SELECT coalesce(max(abs(ca / na - cb / nb)), 0.0) FROM pd_cum, pd_tot) AS ks,
+  (SELECT CASE WHEN oe.expected <> 0 THEN 1.0 - oc.realized / oe.expected ELSE 0.0 END FROM oc, oe) AS drop_ratio,
+  (SELECT oc.ar - oe.ar FROM oc, oe) AS ar_delta,
+  (SELECT n_cur < greatest(1, CAST(floor(n_ref * 0.5) AS BIGINT)) OR n_cur > CAST(floor(n_ref * 1.5) AS BIGINT)
+   FROM (SELECT count_if(period = 'cur') AS n_cur, count_if(period = 'ref') AS n_ref FROM bookings)) AS vol_bad)"""
+    return with_bookings(body, ctes)
+
+
+_OUTCOME_PAIR_CTES = """
+oc AS (SELECT CAST(sum(CASE WHEN score >= 0.5 AND y = 1 THEN 180.0 WHEN score >= 0.5 AND y = 0 THEN -20.0
+                            WHEN score < 0.5 AND y = 1 THEN -200.0 ELSE 0.0 END) AS DOUBLE) AS realized,
+              avg(CASE WHEN score >= 0.5 THEN 1.0 ELSE 0.0 END) AS ar, count(*) AS n FROM bookings WHERE period = 'cur'),
+oe AS (SELECT CAST(sum(CASE WHEN score >= 0.5 AND y = 1 THEN 180.0 WHEN score >= 0.5 AND y = 0 THEN -20.0
+                            WHEN score < 0.5 AND y = 1 THEN -200.0 ELSE 0.0 END) AS DOUBLE) / count(*) * (SELECT n FROM oc) AS expected,
+              avg(CASE WHEN score >= 0.5 THEN 1.0 ELSE 0.0 END) AS ar FROM bookings WHERE period = 'ref')"""
+
+
+@register("monitoring_report", _report_sql())
 def monitoring_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O3: one report row — D1 violations, D2 label drift, D4 drifted pairs, D6 changed ranks, V12 volume,
     D12 max/mean PSI, D13 prediction PSI/KS, O1 outcome and O2 alerts."""
