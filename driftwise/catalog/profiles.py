@@ -185,3 +185,36 @@ def describe_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prof.select(
         "column_name", "n", (F.lit(total) - F.col("n")).alias("n_missing"), "mean", "std", "min", "q25", "median", "q75", "max"
     )
+
+
+@register(
+    "reference_profiles",
+    with_bookings(
+        f"""
+SELECT 'reference_stats' AS artefact, count(*) AS n_rows FROM (SELECT DISTINCT 1 FROM ref) x, (SELECT unnest({PROFILE_COLS!r}) AS c) cols
+UNION ALL SELECT 'reference_categories', count(*) FROM (
+  SELECT DISTINCT column_name, value FROM (
+    SELECT 'hotel' AS column_name, CAST(hotel AS VARCHAR) AS value FROM ref UNION ALL
+    SELECT 'country', CAST(country AS VARCHAR) FROM ref UNION ALL
+    SELECT 'market_segment', CAST(market_segment AS VARCHAR) FROM ref UNION ALL
+    SELECT 'customer_type', CAST(customer_type AS VARCHAR) FROM ref UNION ALL
+    SELECT 'arrival_date_month', CAST(arrival_date_month AS VARCHAR) FROM ref) WHERE value IS NOT NULL)
+UNION ALL SELECT 'reference_correlations', count(*) FROM (SELECT x.f FROM top x JOIN top y ON x.k < y.k UNION ALL SELECT f FROM top)""",
+        "ref AS (SELECT * FROM bookings WHERE period = 'ref'),\n" + _CORR_CTES.strip(),
+    ),
+    materialize=True,
+)
+def reference_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference artefacts saved at training time — numeric profile (A1), categories (A6) and tracked
+    correlations (D3) — written as tables to the shared scratch folder and read back (row count per artefact)."""
+    from driftwise.sources.files import scratch_path
+
+    ref = _ref(spark, sf_dir)
+    base = scratch_path(spark, "reference-profiles")
+    pf.numeric_profile(ref, PROFILE_COLS).write.mode("overwrite").parquet(f"{base}/reference_stats")
+    pf.distinct_categories(ref, CATEGORY_COLS).write.mode("overwrite").parquet(f"{base}/reference_categories")
+    corr = pf.reference_correlations(ref, PROFILE_COLS, "y", CORR_TOP_K)
+    spark.createDataFrame([(k, v) for k, v in corr], "pair string, corr double").write.mode("overwrite").parquet(f"{base}/reference_correlations")
+    parts = [spark.read.parquet(f"{base}/{name}").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("artefact"), "n_rows")
+             for name in ("reference_stats", "reference_categories", "reference_correlations")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

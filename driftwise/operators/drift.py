@@ -212,9 +212,7 @@ def label_drift(cur: DataFrame, target: str, ref_rate: float, tolerance: float =
     ).withColumn("is_drifted", F.col("drift_magnitude") > F.lit(float(tolerance)))
 
 
-def mean_shift(
-    cur: DataFrame, ref_stats: DataFrame, cols: Sequence[str], tolerance: float
-) -> DataFrame:
+def mean_shift(cur: DataFrame, ref_stats: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Shared core of D1/D5: current mean/min/max joined to reference stats (long form, one pass)."""
     present = [c for c in cols if c in cur.columns]
     aggs = []
@@ -232,7 +230,7 @@ def mean_shift(
 def distribution_violations(cur: DataFrame, ref_stats: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """(column_name, check) violations vs reference stats (mean ± tol·σ, generous min/max bounds)."""
     cols = [r["column_name"] for r in ref_stats.select("column_name").collect()]  # O(columns)
-    j = mean_shift(cur, ref_stats, cols, tolerance)
+    j = mean_shift(cur, ref_stats, cols)
     checks = F.array(
         F.when(F.col("cur_n").isNull(), F.lit("existence")),
         F.when(F.col("cur_n") == 0, F.lit("non_empty")),
@@ -257,7 +255,7 @@ def distribution_violations(cur: DataFrame, ref_stats: DataFrame, tolerance: flo
 
 def serving_skew(cur: DataFrame, ref_stats: DataFrame, cols: Sequence[str], tolerance: float = 2.0) -> DataFrame:
     """Features whose current mean moved more than tol·σ_ref; z = |Δmean| / σ_ref."""
-    j = mean_shift(cur, ref_stats, cols, tolerance).where(F.col("cur_n") > 0)
+    j = mean_shift(cur, ref_stats, cols).where(F.col("cur_n") > 0)
     z = F.abs(F.col("cur_mean") - F.col("mean")) / F.col("std")
     return j.where((F.col("std") > 0) & (F.abs(F.col("cur_mean") - F.col("mean")) > F.lit(float(tolerance)) * F.col("std"))).select(
         "column_name", F.col("mean").alias("ref_mean"), "cur_mean", z.alias("z_score")
