@@ -78,3 +78,24 @@ def test_prefix_sum_groups(spark):
     out = global_prefix_sum(df, "x", ["one"], group_cols=["g"], n_buckets=3)
     assert out.where(F.col("cum_one") != F.col("x") + 1).count() == 0
     assert not math.isnan(0.0)
+
+
+def test_hot_value_and_hot_group(spark):
+    """One value / one group holding a third of all rows: exact answers, refinement path forced."""
+    n = 3000
+    rows = [(i, 0 if i % 3 == 0 else 1 + (i % 17), float(7.0 if i % 3 == 0 else (i * 37) % 1009)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, g long, x double")
+    xs = sorted(r[2] for r in rows)
+    ranks = [0, n // 3, n // 2, n - 1]
+    got = order_statistics(df, "x", ranks, n_bins=8, max_local=16)
+    assert [got[r] for r in ranks] == [xs[r] for r in ranks]
+    ranked = grouped_rank(df, ["g"], "x", "k").collect()
+    by_g = {}
+    for r in ranked:
+        by_g.setdefault(r["g"], []).append((r["x"], r["k"], r["rank"]))
+    for items in by_g.values():
+        items.sort()
+        assert [it[2] for it in items] == list(range(len(items)))
+    kept = sorted(r["k"] for r in top_k_filter(df, "x", "k", 1500).collect())
+    want = sorted(r[0] for r in sorted(rows, key=lambda r: (-r[2], r[0]))[:1500])
+    assert kept == want
