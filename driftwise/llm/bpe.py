@@ -30,9 +30,9 @@ from driftwise.llm.common import text_bytes
 PIECE = 1 << 16
 LONG = 1 << 12
 #: Pre-tokens kept with their ids in a worker; the cache starts anew when full.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Token pairs whose fit is kept.
-CACHE_PAIRS = 500_000
+CACHE_PAIRS = 300_000
 _NO_RANK = 1 << 60
 
 
@@ -49,11 +49,14 @@ def _patterns() -> tuple[re.Pattern, dict[str, re.Pattern], re.Pattern, frozense
     ``re`` counts letter-like and other numbers (categories Nl, No) as word characters and some control characters as
     white space, so the exact classes spell them out.  Texts without such characters take the plain classes.
     """
-    every = [chr(i) for i in range(0x110000)]
-    other = {c for c in every if unicodedata.category(c) in ("Nl", "No")}
-    mark = {c for c in every if c.isalnum() and unicodedata.category(c)[0] not in "LN"}
+    def chars(test) -> set[str]:
+        return {c for c in map(chr, range(0x110000)) if test(c)}
+
+    other = chars(lambda c: unicodedata.category(c) in ("Nl", "No"))
+    mark = chars(lambda c: c.isalnum() and unicodedata.category(c)[0] not in "LN")
     blank = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-    odd = frozenset(other | mark | {c for c in every if c.isspace() != bool(re.match(f"[{blank}]", c))})
+    space = re.compile(f"[{blank}]")
+    odd = frozenset(other | mark | chars(lambda c: c.isspace() and not space.match(c)))
     spelt = ["".join(map(re.escape, sorted(x))) for x in (other, mark)]
 
     def build(letter: str, number: str, sign: str, space: str, filled: str):
@@ -94,6 +97,12 @@ class Vocabulary:
             self.bytes_of[i] = b"".join(back[c] for c in token)
         for token, i in self.specials.items():
             self.bytes_of[i] = token.encode()
+        self.ready = False
+
+    def for_encoding(self) -> Vocabulary:
+        """Make what only encoding needs, once."""
+        if self.ready:
+            return self
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.pattern, self.runs, self.plain, self.odd = _patterns()
         self.lookahead = sufficient_lookahead(self)
@@ -103,6 +112,8 @@ class Vocabulary:
             self.longest[b[:4]] = max(len(b), self.longest.get(b[:4], 0))
         self.pairs: dict[int, bool] = {}
         self.words = _Words(self)
+        self.ready = True
+        return self
 
     def follows(self, a: int, b: int) -> bool:
         """Whether token b can stand right of token a: no merge across their border came before their own merges.
@@ -255,7 +266,7 @@ class Transducer:
     """Bytes of one pre-token in, packed ids out as soon as they are stable."""
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab = vocab
+        self.vocab = vocab.for_encoding()
         self.held = bytearray()
 
     def feed(self, data: bytes) -> bytes:
@@ -286,7 +297,7 @@ class StreamEncoder:
     """Text pieces in, packed ids out; the same ids however the text is cut into pieces."""
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.tail, self.run, self.kind = vocab, "", None, ""
+        self.vocab, self.tail, self.run, self.kind = vocab.for_encoding(), "", None, ""
 
     def feed(self, piece: str) -> bytes:
         return self._take(self.tail + piece, False)

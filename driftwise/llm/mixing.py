@@ -114,7 +114,7 @@ def _land(rest: list[list]) -> None:
         x[0] = float(take)
 
 
-_UNITS = "__group string, __id long, __tie long, __dup long, size long, p double"
+_UNITS = "__group string, __id long, __tie long, __dup long, size long, p double, __n long"
 
 
 def _fly(seed: int, level: int):
@@ -123,32 +123,30 @@ def _fly(seed: int, level: int):
         cells = [[p, s] for p, s in zip(units["p"].to_pylist(), units["size"].to_pylist())]
         flight(cells, random.Random(f"{seed}:{level}:{key[0].as_py()}:{key[1].as_py()}"), units["__land"][0].as_py())
         out = units.set_column(units.schema.get_field_index("p"), "p", pa.array([x[0] for x in cells], pa.float64()))
-        return out.select(["__group", "__id", "__tie", "__dup", "size", "p"])
+        return out.select(["__group", "__id", "__tie", "__dup", "size", "p", "__n"])
 
     return run
 
 
 def balanced_sample(units: DataFrame, seed: int = 0) -> DataFrame:
-    """Cube sample of ``(__group, __id, __tie, __dup, size, p)`` balanced on words and documents of each group.
+    """Cube sample of ``(__group, __id, __tie, __dup, size, p, __n)`` balanced on words and documents of each group.
 
-    Returns the same rows with p 0 or 1.  Blocks are cut by a hash of the row's key, so reruns agree however the rows
-    are partitioned.  A group of any size is a number of blocks that its row count sets; each level leaves two units
-    of a block at most, so the next one has 10 000 times fewer rows.
+    ``__n`` is the number of rows of the group (or more).  Returns the same rows with p 0 or 1.  Blocks are cut by a
+    hash of the row's key, so reruns agree however the rows are partitioned, and rows are dealt by group and block.
+    Each level leaves two units of a block at most, so the next one has 10 000 times fewer rows.
     """
     order = F.xxhash64("__id", "__tie", "__dup", F.lit(seed)).alias("__order")
+    blocks = F.ceil(F.col("__n") / BLOCK_UNITS).cast("long")
     done, left, level = None, units, 0
     while True:
-        counts = left.groupBy("__group").agg(F.count(F.lit(1)).alias("__n"))
-        last = (counts.agg(F.max("__n")).first()[0] or 0) <= BLOCK_UNITS
-        blocks = F.ceil(F.col("__n") / BLOCK_UNITS).cast("long")
-        keyed = left.select("*", order).join(counts, "__group").withColumns({
-            "__block": F.pmod(F.xxhash64("__order", F.lit("block")), blocks), "__land": F.col("__n") <= BLOCK_UNITS}).drop("__n")
+        keyed = left.select("*", order).withColumns({
+            "__block": F.pmod(F.xxhash64("__order", F.lit("block")), blocks), "__land": F.col("__n") <= BLOCK_UNITS})
         flown = stored(keyed.groupBy("__group", "__block").applyInArrow(_fly(seed, level), _UNITS), "flight")
-        fixed = flown if last else flown.filter("p = 0 or p = 1")
+        fixed = flown.filter("p = 0 or p = 1")
         done = fixed if done is None else done.unionByName(fixed)
-        if last:
-            return done
-        left, level = flown.filter("p > 0 and p < 1"), level + 1
+        left, level = flown.filter("p > 0 and p < 1").withColumn("__n", 2 * blocks), level + 1
+        if left.isEmpty():
+            return done.drop("__n")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -162,14 +160,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     counted = stored(sizes(docs, id_col, text_col, source_col), "sizes")
     again = Window.partitionBy("__id", "__tie", "__source").orderBy("size")
     rows = counted.withColumn("__dup", F.row_number().over(again).cast("long"))
-    per = source_targets(counted, weights).select("__source", "source_size", "target",
+    per = source_targets(counted, weights).select("__source", "source_size", "target", F.col("n").alias("__n"),
                          F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("ratio"))
     both = rows.join(per, rows["__source"].eqNullSafe(per["__source"])).drop(per["__source"])
     whole = F.least(F.floor("ratio"), F.lit(MAX_COPIES)).cast("long")
     both = both.withColumns({"whole": whole, "p": F.greatest(F.lit(0.0), F.least(F.col("ratio") - whole, F.lit(1.0))),
                              "__group": F.coalesce(F.concat(F.lit("s"), F.col("__source")), F.lit("n"))})
     both = stored(both, "units")
-    open_ = both.filter("p > 0").select("__group", "__id", "__tie", "__dup", "size", "p")
+    open_ = both.filter("p > 0").select("__group", "__id", "__tie", "__dup", "size", "p", "__n")
     drawn = balanced_sample(open_, seed).select(
         F.col("__id").alias("i"), F.col("__tie").alias("t"), F.col("__dup").alias("d"), F.col("p").cast("long").alias("extra"))
     out = both.join(drawn, both["__id"].eqNullSafe(drawn["i"]) & (both["__tie"] == drawn["t"]) & (both["__dup"] == drawn["d"]), "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwise.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from driftwise.llm import bpe, exact_dedup, langid, mixing, simhash, toxicity
 from driftwise.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents by bit-sliced n-gram filters, learnt outside the held-out third."""
+    return langid.language_predictions(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents by maximum-scoring segments, learnt from the labels outside the held-out third."""
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -34,7 +39,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_exact_dedup, op6_simhash, op9_toxicity, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_exact_dedup, op6_simhash, op8_langid, op9_toxicity, op10_bpe)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
