@@ -30,7 +30,8 @@ MAX_TERMS = 50_000
 #: Weight of the parent's share in a word's or stem's share, in documents.
 PRIOR = 10.0
 LEAST_DOCS = 4
-LEAST_Z = 2.5
+#: Log-odds that a term must have at least, either way, to score.
+LEAST_ODDS = 1.0
 DRIFT = 0.25
 THRESHOLD = 0.7
 
@@ -116,13 +117,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """``(label, text)`` of at most ``rows`` labelled documents outside the held-out third.
 
     The chosen ids and labels (16 bytes each) are broadcast; their number is bounded by ``rows``.  Several labels of an
-    id: the largest counts.  Null ids and labels are no training rows.
+    id: the largest counts.  Null ids and labels are no training rows.  Of equal texts one is used (with the largest
+    label), so that copies do not count as evidence again and again.
     """
     own = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("label"))
     own = own.filter("__id is not null and label is not null").groupBy("__id").agg(F.max("label").alias("label"))
     own = own.filter(~held_out(F.col("__id"))).orderBy(F.xxhash64("__id"), "__id").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), text_bytes(text_col).alias("text"))
-    return texts.join(F.broadcast(own), "__id").select("label", "text")
+    once = texts.join(F.broadcast(own), "__id").select("__id", "label", F.xxhash64("text").alias("h")).groupBy("h").agg(
+        F.min("__id").alias("__id"), F.max("label").alias("label"))
+    return texts.join(F.broadcast(stored(once, "train").select("__id", "label")), "__id").select("label", "text")
 
 
 def held_out(id_: Column) -> Column:
@@ -150,8 +154,14 @@ def _odds(share: Column, base: float) -> Column:
     return F.log(share / (1 - share)) - math.log(base / (1 - base))
 
 
-def _z(odds: Column, share: Column, n: Column) -> Column:
-    return F.abs(odds) * F.sqrt((n + PRIOR) * share * (1 - share))
+def _z(a: str, b: str, base: float) -> Column:
+    """Signed-root deviance of a toxic and b clean documents from the overall share: about standard normal if equal."""
+    n, x = F.col(a) + F.col(b), F.col(a) / (F.col(a) + F.col(b))
+
+    def part(share: Column, null: float) -> Column:
+        return F.when(share > 0, share * F.log(share / null)).otherwise(0.0)
+
+    return F.coalesce(F.sqrt(F.greatest(F.lit(0.0), 2 * n * (part(x, base) + part(1 - x, 1 - base)))), F.lit(0.0))
 
 
 def lexicon(train: DataFrame) -> tuple[Model, dict]:
@@ -172,20 +182,20 @@ def lexicon(train: DataFrame) -> tuple[Model, dict]:
     full = long_.withColumn("p", _share("a", "b", F.coalesce(F.col("p5"), F.lit(base))))
 
     def entry(kind: str, key: str, share: str, a: str, b: str):
-        odds, n = _odds(F.col(share), base), F.col(a) + F.col(b)
-        return [F.lit(kind).alias("kind"), F.col(key).alias("key"), odds.alias("odds"), _z(odds, F.col(share), n).alias("z"), n.alias("n"), F.col(b).alias("clean")]
+        return [F.lit(kind).alias("kind"), F.col(key).alias("key"), _odds(F.col(share), base).alias("odds"), _z(a, b, base).alias("z"),
+                (F.col(a) + F.col(b)).alias("n"), F.col(b).alias("clean")]
 
-    stem_z = F.coalesce(_z(_odds(F.col("p5"), base), F.col("p5"), F.col("a5") + F.col("b5")), F.lit(0.0))
-    stem4_z = F.coalesce(_z(_odds(F.col("p4"), base), F.col("p4"), F.col("a4") + F.col("b4")), F.lit(0.0))
-    parts = full.select(*entry("w", "word", "p", "a", "b"), F.greatest(stem_z, stem4_z).alias("up")).unionByName(
-        five.select(*entry("s", "s5", "p5", "a5", "b5"), _z(_odds(F.col("p4"), base), F.col("p4"), F.col("a4") + F.col("b4")).alias("up"))).unionByName(
+    parts = full.select(*entry("w", "word", "p", "a", "b"), F.greatest(_z("a5", "b5", base), _z("a4", "b4", base)).alias("up")).unionByName(
+        five.select(*entry("s", "s5", "p5", "a5", "b5"), _z("a4", "b4", base).alias("up"))).unionByName(
         four.select(*entry("s", "s4", "p4", "a4", "b4"), F.lit(0.0).alias("up")))
-    best = parts.filter((F.col("n") >= LEAST_DOCS) & (F.greatest("z", "up") >= LEAST_Z)).orderBy(
-        F.desc("z"), "kind", "key").limit(MAX_TERMS).collect()
-    model = Model({r.key: r.odds if r.z >= LEAST_Z else 0.0 for r in best if r.kind == "w"},
-                  {r.key: r.odds if r.z >= LEAST_Z else 0.0 for r in best if r.kind == "s"})
-    mass = words.agg(F.sum("b")).first()[0]
-    return model, {"toxic": toxic, "clean": clean, "mass": [(r.odds, r.clean) for r in best if r.kind == "w" and r.clean and r.z >= LEAST_Z], "words": mass}
+    parts = stored(parts.filter(F.col("n") >= LEAST_DOCS), "terms")
+    least_z = math.sqrt(2 * math.log(max(20, parts.count())))  # about the largest of so many standard normals
+    # a term under a significant stem is kept too: its share holds the stem's, or its own documents speak against it
+    best = parts.filter(F.greatest("z", "up") >= least_z).orderBy(F.greatest("z", "up").desc(), "kind", "key").limit(MAX_TERMS).collect()
+    kept = {(r.kind, r.key): r.odds if abs(r.odds) >= LEAST_ODDS else 0.0 for r in best}
+    model = Model({k: x for (kind, k), x in kept.items() if kind == "w"}, {k: x for (kind, k), x in kept.items() if kind == "s"})
+    mass = [(model.words[r.key], r.clean) for r in best if r.kind == "w" and r.clean and model.words[r.key]]
+    return model, {"toxic": toxic, "clean": clean, "mass": mass, "words": words.agg(F.sum("b")).first()[0]}
 
 
 def _lambda(mass: list[tuple[float, int]], words: int) -> float:
