@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwise.llm import bpe, exact_dedup, langid, mixing, simhash, toxicity
+from driftwise.llm import ann, bpe, exact_dedup, langid, mixing, simhash, toxicity
 from driftwise.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 nearest embeddings by inner product for every vec_id divisible by 20, from NN-descent and greedy search."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies over all documents through the cuckoo-filter index; the largest doc_id of a group stays."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -39,7 +44,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_exact_dedup, op6_simhash, op8_langid, op9_toxicity, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_nearest, op4_exact_dedup, op6_simhash, op8_langid, op9_toxicity, op10_bpe)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
