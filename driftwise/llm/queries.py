@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwise.llm import ann, bpe, exact_dedup, langid, mixing, simhash, toxicity
+from driftwise.llm import ann, bpe, exact_dedup, html_extract, langid, mixing, simhash, substring, toxicity
 from driftwise.llm.common import table
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages by wrapper induction per host."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cube-method mix of all documents: source targets by weights 1, 2, 3, stopped at three times the source."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -29,6 +34,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents that share near-duplicate passages of 50 words or more, by compact windows."""
+    return substring.passage_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents by bit-sliced n-gram filters, learnt outside the held-out third."""
     return langid.language_predictions(table(spark, sf_dir, "documents"))
@@ -44,7 +54,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_nearest, op4_exact_dedup, op6_simhash, op8_langid, op9_toxicity, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_mixing, op3_nearest, op4_exact_dedup, op6_simhash, op7_substring, op8_langid, op9_toxicity, op10_bpe)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
