@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwise.llm import ann, bpe, exact_dedup, html_extract, langid, mixing, simhash, substring, toxicity
+from driftwise.llm import ann, bpe, exact_dedup, html_extract, langid, mixing, secret_scan, simhash, substring, toxicity
 from driftwise.llm.common import table
 
 
@@ -29,6 +29,30 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in for a review log: values in documents outside the held-out third whose kind is plain from their form.
+
+    Label 1: key ids of a public cloud (AKIA...), values assigned to a password or token.  Label 0: telephone numbers,
+    dates, digits only, and identifiers in e-mail or web addresses.
+    """
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").filter(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1, F.lit(False)))
+    secret = F.concat(F.regexp_extract_all(text, F.lit("\\b(AKIA[0-9A-Z]{16})\\b"), F.lit(1)),
+                      F.regexp_extract_all(text, F.lit("(?i)\\b(?:password|passwd|secret|token|api_?key)\\s*[=:]\\s*[\"']?([A-Za-z0-9_+/-]{8,})"), F.lit(1)))
+    other = F.concat(F.regexp_extract_all(text, F.lit("(?<![A-Za-z0-9_+/-])([0-9]{1,4}(?:-[0-9]{2,4})+)(?![A-Za-z0-9_+/-])"), F.lit(1)),
+                     F.regexp_extract_all(text, F.lit("(?<![A-Za-z0-9_+/-])([0-9]{8,})(?![A-Za-z0-9_+/-])"), F.lit(1)),
+                     F.regexp_extract_all(text, F.lit("(?:@|://|www\\.)[^\\s]*?([A-Za-z0-9_+/-]{8,})"), F.lit(1)))
+    rows = docs.filter(text.rlike("[0-9]")).select("doc_id", secret.alias("s"), other.alias("o"))
+    each = F.concat(F.transform("s", lambda v: F.struct(v.alias("value"), F.lit(1).alias("label"))),
+                    F.transform("o", lambda v: F.struct(v.alias("value"), F.lit(0).alias("label"))))
+    return rows.select("doc_id", F.explode_outer(each).alias("f")).filter("f is not null").select("doc_id", "f.value", "f.label")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret candidates in all documents, scored by a random forest trained on labelled findings."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"), _findings(spark, sf_dir))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of 3-word shingles over all documents and components of links at 2 or fewer bits."""
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
@@ -54,7 +78,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_mixing, op3_nearest, op4_exact_dedup, op6_simhash, op7_substring, op8_langid, op9_toxicity, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_mixing, op3_nearest, op4_exact_dedup, op5_secrets, op6_simhash, op7_substring, op8_langid, op9_toxicity, op10_bpe)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
