@@ -136,6 +136,18 @@ def _lists(owner, other, score) -> tuple[np.ndarray, pa.Array, pa.Array]:
     return ids, _pack(other.astype("<i8"), n), _pack(score.astype("<f4"), n)
 
 
+def _offers(owner, other, score, buckets: int) -> pa.Table:
+    """Offers as one row for each bucket that holds owners: ``(b, owner, nbr, sc)`` of equal length."""
+    b = bucket_of(owner, buckets)
+    order = np.argsort(b, kind="stable")
+    b, n = np.unique(b, return_counts=True)
+    return pa.table({"b": _ints(b), "owner": _pack(owner[order].astype("<i8"), n), "nbr": _pack(other[order].astype("<i8"), n),
+                     "sc": _pack(score[order].astype("<f4"), n)})
+
+
+_OFFER = "b long, owner binary, nbr binary, sc binary"
+
+
 def _tree_codes(dim: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((TREES, dim, bits)).astype(np.float32)
 
@@ -145,8 +157,8 @@ def _codes(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return (x @ planes > 0) @ power
 
 
-def first_graph(nodes: DataFrame, total: int, dim: int, seed: int) -> DataFrame:
-    """``(b, id, nbr, sc)`` candidate lists from the cells of random hyperplane trees.
+def first_graph(nodes: DataFrame, total: int, buckets: int, dim: int, seed: int) -> DataFrame:
+    """Offers from the cells of random hyperplane trees.
 
     Cells are cut further by a hash of the id when they hold far more rows than planned.
     """
@@ -155,47 +167,44 @@ def first_graph(nodes: DataFrame, total: int, dim: int, seed: int) -> DataFrame:
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, n = _cells(batch.column(2), "<f4")
+            flat, n = _cells(batch.column(1), "<f4")
             x = flat.reshape(len(n), dim)
             for t in range(TREES):
-                yield pa.RecordBatch.from_arrays([_ints(np.full(len(n), t)), _ints(_codes(x, planes[t])), *batch.columns], names=["tree", "cell", "b", "id", "vec"])
+                yield pa.RecordBatch.from_arrays([_ints(np.full(len(n), t)), _ints(_codes(x, planes[t])), *batch.columns], names=["tree", "cell", "id", "vec"])
 
-    dealt = nodes.select("b", "id", "vec").mapInArrow(cells, "tree long, cell long, b long, id long, vec binary")
+    dealt = nodes.select("id", "vec").mapInArrow(cells, "tree long, cell long, id long, vec binary")
     large = stored(dealt.groupBy("tree", "cell").count().filter(F.col("count") > 4 * CELL_ROWS), "cells")
     salt = F.lit(0).cast("long")
     if not large.isEmpty():
         dealt = dealt.join(large, ["tree", "cell"], "left")
         salt = F.pmod(F.xxhash64("id", "tree"), F.coalesce(F.ceil(F.col("count") / (2 * CELL_ROWS)), F.lit(1)).cast("long"))
-    dealt = dealt.withColumn("salt", salt).select("tree", "cell", "salt", "b", "id", "vec")
+    dealt = dealt.withColumn("salt", salt).select("tree", "cell", "salt", "id", "vec")
 
     def near(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        ids, b = t["id"].to_numpy(), t["b"].to_numpy()
+        ids = t["id"].to_numpy()
         flat, n = _cells(t["vec"], "<f4")
         x = flat.reshape(len(n), dim)
         k = min(FROM_CELL, len(ids) - 1)
         if k < 1:
-            return pa.table({"b": _ints(b[:0]), "id": _ints(ids[:0]), "nbr": pa.array([], pa.binary()), "sc": pa.array([], pa.binary())})
+            return _offers(ids[:0], ids[:0], np.empty(0, np.float32), buckets)
         s = x @ x.T
         np.fill_diagonal(s, -np.inf)
         j = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        return pa.table({"b": _ints(b), "id": _ints(ids), "nbr": _pack(ids[j].ravel().astype("<i8"), np.full(len(ids), k)),
-                         "sc": _pack(np.take_along_axis(s, j, 1).ravel().astype("<f4"), np.full(len(ids), k))})
+        return _offers(np.repeat(ids, k), ids[j].ravel(), np.take_along_axis(s, j, 1).ravel(), buckets)
 
-    return dealt.groupBy("tree", "cell", "salt").applyInArrow(near, "b long, id long, nbr binary, sc binary")
+    return dealt.groupBy("tree", "cell", "salt").applyInArrow(near, _OFFER)
 
 
 def _merge(nodes: DataFrame, offers: DataFrame) -> DataFrame:
-    """Nodes with their lists renewed from packed offers ``(b, id, nbr, sc)``."""
+    """Nodes with their lists renewed from offers."""
     def renew(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left["id"].to_numpy()
         if not len(ids):
             return left.select(["b", "id", "vec", "nbr", "sc"])
-        parts = []
-        for t in (left, right):
-            other, n = _cells(t["nbr"], "<i8")
-            score, _ = _cells(t["sc"], "<f4")
-            parts.append((np.repeat(t["id"].to_numpy(), n), other, score))
-        owner, other, score = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        had, n = _cells(left["nbr"], "<i8")
+        old = (np.repeat(ids, n), had, _cells(left["sc"], "<f4")[0])
+        new = (_cells(right["owner"], "<i8")[0], _cells(right["nbr"], "<i8")[0], _cells(right["sc"], "<f4")[0])
+        owner, other, score = (np.concatenate(x) for x in zip(old, new))
         owner, other, score = _best(owner, other, score, NEIGHBOURS)
         got, nbr, sc = _lists(owner, other, score)
         at = np.searchsorted(got, ids)
@@ -263,10 +272,9 @@ def descend(nodes: DataFrame, buckets: int, dim: int) -> DataFrame:
                 other.append(u[lo + j[r, c]])
                 score.append(top[r, c])
         owner, other, score = (np.concatenate(y) if y else np.empty(0, d) for y, d in ((own, np.int64), (other, np.int64), (score, np.float32)))
-        ids, nbr, sc = _lists(*_best(owner, other, score, NEIGHBOURS))
-        return pa.table({"b": _ints(bucket_of(ids, buckets)), "id": _ints(ids), "nbr": nbr, "sc": sc})
+        return _offers(*_best(owner, other, score, NEIGHBOURS), buckets)
 
-    offers = joined.groupBy("g").applyInArrow(local_join, "b long, id long, nbr binary, sc binary")
+    offers = joined.groupBy("g").applyInArrow(local_join, _OFFER)
     return _merge(nodes, offers)
 
 
@@ -278,7 +286,7 @@ def build_graph(distinct: DataFrame, seed: int = 7) -> tuple[DataFrame, int, int
     buckets = max(1, -(-total // BUCKET_ROWS))
     bare = stored(_nodes(distinct, buckets), "vectors")
     empty = F.lit(b"")
-    nodes = stored(_merge(bare.withColumns({"nbr": empty, "sc": empty}), first_graph(bare, total, dim, seed)), "graph")
+    nodes = stored(_merge(bare.withColumns({"nbr": empty, "sc": empty}), first_graph(bare, total, buckets, dim, seed)), "graph")
     for _ in range(DESCENTS):
         nodes = stored(descend(nodes, buckets, dim), "graph")
     return nodes, buckets, dim
