@@ -93,12 +93,10 @@ def compact_windows(h: np.ndarray, least: int) -> np.ndarray:
 
 def _side(blocks: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
     """Eight block hashes from word ``at`` on in steps, nearest in the highest byte; 0 beyond the text."""
-    out = np.zeros(len(at), np.uint64)
-    for j in range(SIDE):
-        p = at + j * step
-        inside = (p >= 0) & (p < len(blocks))
-        out = out << np.uint64(8) | np.where(inside, blocks[np.clip(p, 0, max(0, len(blocks) - 1))], 0).astype(np.uint64)
-    return out
+    pad = SIDE * BLOCK + SHINGLE
+    padded = np.zeros(len(blocks) + 3 * pad, np.uint8)
+    padded[pad:pad + len(blocks)] = blocks
+    return padded[at[:, None] + pad + step * np.arange(SIDE)].view(">u8").ravel().astype(np.uint64)
 
 
 def text_windows(text: bytes) -> tuple[np.ndarray, ...]:
@@ -112,10 +110,11 @@ def text_windows(text: bytes) -> tuple[np.ndarray, ...]:
         own = Words(piece)
         shingles = own.runs(SHINGLE)
         blocks = (own.runs(BLOCK) >> np.uint64(40)) % np.uint64(255) + np.uint64(1)
-        for f in range(FUNCTIONS):
-            h = _mix(shingles ^ _SEEDS[f])
-            c = compact_windows(h, LEAST)
-            got.append((h[c], c + start, _side(blocks, c + SHINGLE, BLOCK), _side(blocks, c - BLOCK, -BLOCK)))
+        hashes = _mix(shingles ^ _SEEDS[:FUNCTIONS, None])
+        minima = [compact_windows(h, LEAST) for h in hashes]
+        c = np.concatenate(minima)
+        sig = np.concatenate([h[m] for h, m in zip(hashes, minima)])
+        got.append((sig, c + start, _side(blocks, c + SHINGLE, BLOCK), _side(blocks, c - BLOCK, -BLOCK)))
     if not got:
         return tuple(np.empty(0, d) for d in (np.uint64, np.int64, np.uint64, np.uint64))
     return tuple(np.concatenate([g[i] for g in got]) for i in range(4))
@@ -130,9 +129,15 @@ def _batch(*columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    done: set[int] = set()
     for batch in batches:
         rows, size = [], 0
         for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if node in done:  # a copy in the same task; copies in other tasks fall together later
+                continue
+            if len(done) >= 500_000:
+                done.clear()
+            done.add(node)
             sig, at, right, left = text_windows(text.as_py())
             rows.append((sig, np.full(len(sig), node), at, right, left))
             size += len(sig)
@@ -253,32 +258,44 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle hashes around each requested word of a text."""
+    """Shingle hashes around each requested word of a text; 0 beyond the text."""
+    pad = LEAST - 1
     for batch in batches:
         nodes, ats, out = [], [], []
         for node, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             words = text.as_py().lower().split()
-            for at in wanted:
-                lo = max(0, at - LEAST + 1)
-                own = Words(words[lo:at + LEAST + SHINGLE])
-                h = np.zeros(2 * LEAST - 1, np.uint64)
-                got = own.runs(SHINGLE)[:2 * LEAST - 1 - (lo - (at - LEAST + 1))]
-                h[lo - (at - LEAST + 1):][:len(got)] = got
-                nodes.append(node)
-                ats.append(at)
-                out.append(h.tobytes())
+            for lo in range(0, len(words), PIECE):  # long texts in pieces with a margin on both sides
+                own = [at for at in wanted if lo <= at < lo + PIECE]
+                if not own:
+                    continue
+                first = max(0, lo - pad)
+                h = Words(words[first:lo + PIECE + pad + SHINGLE]).runs(SHINGLE)
+                padded = np.zeros(len(h) + 2 * pad, np.uint64)
+                padded[pad:pad + len(h)] = h
+                for at in own:
+                    nodes.append(node)
+                    ats.append(at)
+                    out.append(padded[at - first:at - first + 2 * pad + 1].tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(ats, pa.int64()), pa.array(out, pa.binary())], names=["node", "at", "h"])
 
 
 def alike(x: bytes, y: bytes) -> bool:
     """Whether passages of PASSAGE words around the shared shingle, at equal offsets, reach the Jaccard similarity."""
     p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    u, v = p.tolist(), q.tolist()
+    both = (p == q) & (p != 0)
+    if np.convolve(both, np.ones(LEAST, np.int64), "valid").max() == LEAST:
+        return True  # the same words
+    common = set(u) & set(v)
+    shared_p, shared_q = (np.cumsum([0, *(k in common for k in w)]) for w in (u, v))
     for s in range(LEAST):
-        a, b = p[s:s + LEAST], q[s:s + LEAST]
-        if not (a[0] and a[-1] and b[0] and b[-1]):  # beyond a text
+        if not (u[s] and u[s + LEAST - 1] and v[s] and v[s + LEAST - 1]):  # beyond a text
+            continue
+        if shared_p[s + LEAST] - shared_p[s] < LEAST // 2 and shared_q[s + LEAST] - shared_q[s] < LEAST // 2 and \
+                len(set(u[s:s + LEAST])) == LEAST:  # without repeats, too few can be common
             continue
-        u, v = set(a.tolist()), set(b.tolist())
-        if len(u & v) >= SIMILARITY * len(u | v):
+        a, b = set(u[s:s + LEAST]), set(v[s:s + LEAST])
+        if len(a & b) >= SIMILARITY * len(a | b):
             return True
     return False
 
