@@ -27,6 +27,8 @@ TREES, NEIGHBOURS, FROM_CELL, DESCENTS, OFFERS = 10, 32, 16, 2, 4
 JOIN_ROWS = 256
 #: Search: best nodes kept, opened in a round, and rounds at most.
 WIDTH, OPENED, ROUNDS = 160, 64, 6
+#: Common start nodes of all queries: so many of largest norm, and so many in hash order.
+ENTRIES = 128
 
 _NODE = "b long, id long, vec binary, nbr binary, sc binary"
 
@@ -382,6 +384,19 @@ def _advance(state: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table({"g": state["g"], "q": state["q"], "vec": state["vec"], **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
 
 
+def entry_points(nodes: DataFrame, dim: int) -> np.ndarray:
+    """Ids of 2 x ENTRIES nodes at most.  Large vectors win inner products, whatever lies near the query's own node."""
+    def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, n = _cells(batch.column(1), "<f4")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat.reshape(len(n), dim)[:, -1].astype(np.float64))], names=["id", "extra"])
+
+    rows = nodes.select("id", "vec").mapInArrow(norms, "id long, extra double")
+    large = rows.orderBy("extra", F.xxhash64("id")).limit(ENTRIES).collect()
+    spread = rows.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(ENTRIES).collect()
+    return np.unique(np.array([r.id for r in [*large, *spread]], np.int64))
+
+
 def search(nodes: DataFrame, buckets: int, dim: int, queries: DataFrame) -> DataFrame:
     """``queries(q, vec, cands)``: id, 32-bit vector with a zero extra component, packed start nodes ->
     ``(g, q, vec, ids, sc)`` with the best WIDTH nodes found of each query, best first."""
@@ -413,8 +428,10 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
     asked = rows.filter(F.col("id") % every == 0).join(distinct.withColumnRenamed("id", "rep"), "key").select("id", "rep")
     asked = stored(asked, "asked")
 
+    entries = entry_points(nodes, dim)
+
     def starts(left: pa.Table, right: pa.Table) -> pa.Table:
-        """A query starts from its own node and that node's neighbours."""
+        """A query starts from its own node, that node's neighbours and the entry points."""
         ids = right["id"].to_numpy()
         want = np.unique(left["rep"].to_numpy())
         at = np.flatnonzero(np.isin(ids, want))
@@ -422,7 +439,7 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
         vec, n = _cells(own["vec"], "<f4")
         x = vec.reshape(len(n), dim).copy()
         x[:, -1] = 0
-        cands = [np.r_[np.frombuffer(b, "<i8"), i].astype("<i8").tobytes() for b, i in zip(own["nbr"].to_pylist(), own["id"].to_pylist())]
+        cands = [np.union1d(np.r_[np.frombuffer(b, "<i8"), i], entries).astype("<i8").tobytes() for b, i in zip(own["nbr"].to_pylist(), own["id"].to_pylist())]
         return pa.table({"q": own["id"], "vec": _pack(x.ravel(), np.full(len(n), dim)), "cands": pa.array(cands, pa.binary())})
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,15 +55,21 @@ def keep_rows(docs: DataFrame, winners: DataFrame, id_col: str, text_col: str) -
 
     Rows that repeat both id and text come out once.  All columns of ``docs`` pass unchanged.
     """
-    marked = docs.withColumns({"__id": F.col(id_col).cast("long"), "__sha": sha_bytes(text_col)})
-    cond = marked["__id"].eqNullSafe(winners["__id"]) & (marked["__sha"] == winners["__sha"])
+    marked = packed(docs).select("__row", F.col(f"__row.`{id_col}`").cast("long").alias("__id"), sha_bytes(f"__row.`{text_col}`").alias("__sha"))
+
+    def kept(by: DataFrame) -> DataFrame:
+        by = by.select(F.col("__id").alias("__own"), F.col("__sha").alias("__text"))
+        return marked.join(by, marked["__id"].eqNullSafe(by["__own"]) & (marked["__sha"] == by["__text"]), "left_semi")
+
     if winners.filter("__n > 1").isEmpty():
-        return marked.join(winners, cond, "left_semi").drop("__id", "__sha")
-    again = winners.filter("__n > 1").select("__id", "__sha")
-    once = winners.filter("__n = 1").select("__id", "__sha")
-    a = marked.join(once, (marked["__id"].eqNullSafe(once["__id"])) & (marked["__sha"] == once["__sha"]), "left_semi")
-    b = marked.join(again, (marked["__id"].eqNullSafe(again["__id"])) & (marked["__sha"] == again["__sha"]), "left_semi")
-    return a.unionByName(b.dropDuplicates(["__id", "__sha"])).drop("__id", "__sha")
+        return kept(winners).select("__row.*")
+    again = kept(winners.filter("__n > 1")).dropDuplicates(["__id", "__sha"])
+    return kept(winners.filter("__n = 1")).unionByName(again).select("__row.*")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` in one struct ``__row``, so that no helper column can clash with them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
 
 
 def sha_bytes(text_col: str) -> Column:

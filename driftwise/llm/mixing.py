@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwise.llm.common import stored, text_bytes
+from driftwise.llm.common import packed, stored, text_bytes
 
 #: Units that one flight block is planned for.
 BLOCK_UNITS = 20_000
@@ -179,17 +179,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                     weights: tuple[float, ...] = (1, 2, 3), seed: int = 0) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with all their columns."""
-    keys = {"__i": F.col(id_col).cast("long"), "__t": F.xxhash64(text_bytes(text_col)), "__s": F.col(source_col).cast("string")}
     plan = mix(docs, id_col, text_col, source_col, weights, seed).groupBy(
         F.col("doc_id").alias("i"), F.col("__tie").alias("t"), F.col("source").alias("s")).agg(
-        F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    plan = stored(plan.filter("__copies > 0"), "plan")
-    marked = docs.withColumns(keys)
-    both = marked.join(plan, marked["__t"].eqNullSafe(plan["t"]) & marked["__i"].eqNullSafe(plan["i"])
-                       & marked["__s"].eqNullSafe(plan["s"])).drop("i", "t", "s")
-    if not plan.filter("__rows > 1").isEmpty():  # repeated rows share their copies
-        rank = F.row_number().over(Window.partitionBy("__i", "__t", "__s").orderBy("__t"))
-        share = F.floor(F.col("__copies") / F.col("__rows")) + (rank <= F.col("__copies") % F.col("__rows")).cast("long")
-        both = both.withColumn("__copies", share).filter("__copies > 0")
-    times = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))
-    return both.withColumn("__copy", times).select(*[both[c] for c in docs.columns])
+        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    plan = stored(plan.filter("copies > 0"), "plan")
+    marked = packed(docs).select("__row", F.col(f"__row.`{id_col}`").cast("long").alias("__i"), F.xxhash64(text_bytes(f"__row.`{text_col}`")).alias("__t"),
+                                 F.col(f"__row.`{source_col}`").cast("string").alias("__s"))
+    both = marked.join(plan, marked["__t"].eqNullSafe(plan["t"]) & marked["__i"].eqNullSafe(plan["i"]) & marked["__s"].eqNullSafe(plan["s"]))
+    if not plan.filter("rows > 1").isEmpty():  # repeated rows share their copies
+        rank = F.row_number().over(Window.partitionBy("i", "t", "s").orderBy("t"))
+        share = F.floor(F.col("copies") / F.col("rows")) + (rank <= F.col("copies") % F.col("rows")).cast("long")
+        both = both.withColumn("copies", share).filter("copies > 0")
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
+    return both.select("__row", times).select("__row.*")

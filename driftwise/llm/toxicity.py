@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwise.llm.common import stored, text_bytes
+from driftwise.llm.common import packed, stored, text_bytes
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the classifier is fitted on at most, taken in hash order of the id.
@@ -317,4 +317,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
-    return score_documents(docs, fit(docs, labels, id_col, text_col), text_col).filter("__toxic.predicted = 0").drop("__toxic")
+    rows = packed(docs).select("__row", F.col(f"__row.`{text_col}`").alias("text"))
+    return score_documents(rows, fit(docs, labels, id_col, text_col)).filter("__toxic.predicted = 0").select("__row.*")
