@@ -30,7 +30,7 @@ from driftwise.llm.common import text_bytes
 PIECE = 1 << 16
 LONG = 1 << 12
 #: Pre-tokens kept with their ids in a worker; the cache starts anew when full.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 300_000
 #: Token pairs whose fit is kept.
 CACHE_PAIRS = 300_000
 _NO_RANK = 1 << 60
@@ -393,29 +393,50 @@ def decode_ids(vocab: Vocabulary, packed: bytes) -> str:
     return "".join([*out, dec.finish()])
 
 
-def _apply(df: DataFrame, path: str, source: str, name: str, kind: pa.DataType, spark_kind: str, fn) -> DataFrame:
+#: Bytes of results after which a task hands on a batch.
+BATCH_BYTES = 4 << 20
+_IDS, _TEXT = ("binary", pa.binary()), ("string", pa.string())
+
+
+def _apply(df: DataFrame, path: str, source: str, outputs: dict[str, tuple[str, pa.DataType]], fn) -> DataFrame:
+    """Replace ``source`` by the output columns ``fn(vocabulary, value)`` gives; other columns pass."""
     spec = df.sparkSession.sparkContext.broadcast(Path(path).read_bytes())  # one vocabulary file: a few MB
     rest = [c for c in df.columns if c != source]
+    names = [*rest, *outputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = load(spec.value)
         for batch in batches:
-            done = pa.array((fn(vocab, x.as_py()) for x in batch.column(source)), kind)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), done], names=[*rest, name])
+            column, start, size, done = batch.column(source), 0, 0, []
+            for i, x in enumerate(column):
+                done.append(fn(vocab, x.as_py()))
+                size += sum(map(len, done[-1]))
+                if size >= BATCH_BYTES or i + 1 == len(column):
+                    own = [pa.array([d[k] for d in done], kind) for k, (_, kind) in enumerate(outputs.values())]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, len(done)) for c in rest), *own], names=names)
+                    start, size, done = i + 1, 0, []
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != source), f"`{name}` {spark_kind}"])
-    return df.mapInArrow(run, schema)
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != source]
+    return df.mapInArrow(run, ", ".join([*kept, *(f"`{name}` {kind}" for name, (kind, _) in outputs.items())]))
 
 
 def encode(df: DataFrame, path: str, text_col: str = "__text", ids_col: str = "__ids") -> DataFrame:
     """Replace the UTF-8 ``text_col`` (binary, not null) by ``ids_col``: ids as packed little-endian unsigned 32-bit integers."""
-    return _apply(df, path, text_col, ids_col, pa.binary(), "binary", lambda v, x: encode_text(v, x.decode()))
+    return _apply(df, path, text_col, {ids_col: _IDS}, lambda v, x: (encode_text(v, x.decode()),))
+
+
+def decode(df: DataFrame, path: str, ids_col: str = "__ids", text_col: str = "__decoded") -> DataFrame:
+    """Replace the packed ids in ``ids_col`` by the decoded ``text_col``; incomplete UTF-8 becomes U+FFFD."""
+    return _apply(df, path, ids_col, {text_col: _TEXT}, lambda v, x: (decode_ids(v, x),))
+
 
+def round_trip(df: DataFrame, path: str, text_col: str = "__text", ids_col: str = "__ids", decoded_col: str = "__decoded") -> DataFrame:
+    """Replace ``text_col`` by its ids and the text decoded from those ids, in one worker instead of two in a row."""
+    def both(vocab: Vocabulary, x: bytes) -> tuple[bytes, str]:
+        ids = encode_text(vocab, x.decode())
+        return ids, decode_ids(vocab, ids)
 
-def decode(df: DataFrame, path: str, ids_col: str = "__ids", text_col: str = "__text") -> DataFrame:
-    """Add ``text_col`` (string) decoded from the packed ids in ``ids_col``; incomplete UTF-8 becomes U+FFFD."""
-    twice = df.withColumn("__packed", F.col(ids_col))
-    return _apply(twice, path, "__packed", text_col, pa.string(), "string", decode_ids)
+    return _apply(df, path, text_col, {ids_col: _IDS, decoded_col: _TEXT}, both)
 
 
 def unpack(packed: bytes) -> list[int]:
@@ -436,6 +457,6 @@ def token_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     """
     path = path or default_path()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("__text"))
-    both = decode(encode(rows, path), path)
+    both = round_trip(rows, path)
     return both.select("doc_id", (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"),
-                       F.sha2("__ids", 256).alias("ids_sha256"), F.sha2(F.col("__text").cast("binary"), 256).alias("decoded_sha256"))
+                       F.sha2("__ids", 256).alias("ids_sha256"), F.sha2(F.col("__decoded").cast("binary"), 256).alias("decoded_sha256"))

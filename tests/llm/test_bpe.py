@@ -92,6 +92,10 @@ def test_token_digests(spark, pair):
     docs = table(spark, SMALL, "documents")
     want = {r.doc_id: digests(pair[1], r.text or "") for r in docs.collect()}
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.token_digests(docs).collect()} == want
+    path = bpe.default_path()
+    packed = docs.selectExpr("doc_id", "cast(text as binary) as __text")
+    apart = {r.doc_id: r["__decoded"] for r in bpe.decode(bpe.encode(packed, path), path).collect()}
+    assert apart == {r.doc_id: r.text for r in docs.collect()}
     rows = sorted((r[0] or 0, *digests(pair[1], r[1] or "")) for r in edge.rows())
     assert sorted((r[0] or 0, *r[1:]) for r in bpe.token_digests(edge.documents(spark)).collect()) == rows
     assert bpe.token_digests(edge.none(spark)).collect() == []
