@@ -60,8 +60,7 @@ st AS (SELECT *, CASE WHEN length(t) = 0 THEN CAST([] AS BIGINT[])
        END AS starts FROM nt),
 ar AS (SELECT *, list_filter(list_transform(starts, lambda s: regexp_replace(substring(t, s + 1, 900), '^\s+|\s+$', '', 'g')),
                              lambda c: length(c) > 0) AS arr FROM st),
-g AS (SELECT *, CASE WHEN n > 200000 THEN 'too_long' WHEN n < 20 THEN 'too_short' WHEN len(arr) = 0 THEN 'no_chunks'
-                     WHEN len(arr) > 200 THEN 'too_many_chunks' END AS reason FROM ar),
+g AS (SELECT *, CASE WHEN n < 20 THEN 'too_short' WHEN len(arr) = 0 THEN 'no_chunks' END AS reason FROM ar),
 ok AS (SELECT doc_id, lang, source_name, len(arr) AS n_chunks, unnest(arr) AS content, unnest(range(1, len(arr) + 1)) AS idx
        FROM g WHERE reason IS NULL),
 slugged AS (SELECT *, coalesce(nullif(substring(regexp_replace(regexp_replace(lower(source_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 24), ''), 'kb') AS slug FROM ok),
@@ -77,7 +76,7 @@ SELECT doc_id, chunk_id, title, chunk_index, CAST(NULL AS VARCHAR) AS reason FRO
 UNION ALL SELECT doc_id, NULL, NULL, 0, reason FROM g WHERE reason IS NOT NULL""",
 )
 def ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length gates (20…200 000 chars), chunking, ≤ 200 chunks, ids slug-NNN-sha1 salt, titles
+    """Least length (20 chars), chunking, ids slug-NNN-sha1 salt, titles
     'name [i/n]'; accepted chunk rows and rejected documents with their reason."""
     docs = table(spark, sf_dir, "documents")
     ok, rejects = tx.ingest_chunks(docs, "doc_id", "source", "text")
@@ -232,7 +231,8 @@ def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "retrieval_eval",
     f"""WITH {_EMB_CTES.strip()},
-fh AS (SELECT query_id, min(CASE WHEN vec_label = query_id THEN rank END) AS first_hit FROM res GROUP BY query_id)
+fh AS (SELECT q.query_id, min(CASE WHEN vec_label = q.query_id THEN rank END) AS first_hit
+       FROM (SELECT DISTINCT label AS query_id FROM embeddings) q LEFT JOIN res ON res.query_id = q.query_id GROUP BY q.query_id)
 SELECT count(*) AS sample_count, round(avg(CASE WHEN first_hit IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS hit_rate_at_k,
        round(avg(coalesce(1.0 / first_hit, 0.0)), 6) AS mrr_at_k
 FROM fh""",
@@ -241,7 +241,7 @@ def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit-rate@5 and MRR@5 of the centroid queries; relevant = same label as the query."""
     emb, res, _ = _emb_results(spark, sf_dir)
     labelled = res.join(emb.select("vec_id", F.col("label").alias("vec_label")), "vec_id")
-    out = rt.retrieval_eval(labelled, "query_id", F.col("vec_label") == F.col("query_id"), EMB_K)
+    out = rt.retrieval_eval(labelled, "query_id", F.col("vec_label") == F.col("query_id"), EMB_K, emb.select(F.col("label").alias("query_id")))
     return out.select("sample_count", rnd(F.col("hit_rate_at_k")).alias("hit_rate_at_k"), rnd(F.col("mrr_at_k")).alias("mrr_at_k"))
 
 
@@ -397,30 +397,29 @@ def hybrid_query_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "retrieval_eval_file",
     f"""WITH {_EMB_CTES.strip()},
-fh AS (SELECT query_id, min(CASE WHEN vec_label = query_id THEN rank END) AS first_hit FROM res GROUP BY query_id)
+fh AS (SELECT q.query_id, min(CASE WHEN vec_label = q.query_id THEN rank END) AS first_hit
+       FROM (SELECT DISTINCT label AS query_id FROM embeddings) q LEFT JOIN res ON res.query_id = q.query_id GROUP BY q.query_id)
 SELECT count(*) AS sample_count, round(avg(CASE WHEN first_hit IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS hit_rate_at_k,
        round(avg(coalesce(1.0 / first_hit, 0.0)), 6) AS mrr_at_k
 FROM fh""",
 )
 def retrieval_eval_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The evaluation set is written as JSONL (query, expected_chunk_ids list + one
-    expected_chunk_id) from the embeddings table, read back through the eval-set reader (array / object /
-    JSONL), and hit-rate@5 / MRR@5 are computed by array membership of the retrieved ids."""
+    """The evaluation set is written as JSONL from the embeddings table (one line per label and
+    expected id, as a list and as a single id), read back through the eval-set reader (array / object / JSONL), and
+    hit-rate@5 / MRR@5 are computed by joining the retrieved with the expected ids."""
     from driftwise.sources.files import read_eval_set, scratch_path
 
     emb, res, _ = _emb_results(spark, sf_dir)
-    ids = emb.groupBy("label").agg(F.sort_array(F.collect_list(F.col("vec_id").cast("string"))).alias("ids"))
-    samples = ids.select(
-        F.concat(F.lit("label-"), F.col("label").cast("string")).alias("query"),
-        F.slice("ids", 2, 1_000_000).alias("expected_chunk_ids"), F.element_at("ids", 1).alias("expected_chunk_id"),
-    )
+    one = F.col("vec_id").cast("string")
+    samples = emb.select(F.concat(F.lit("label-"), F.col("label").cast("string")).alias("query"),
+                         F.array(one).alias("expected_chunk_ids"), one.alias("expected_chunk_id"))
     path = scratch_path(spark, "eval-set")
     samples.write.mode("overwrite").json(path)
-    evalset = read_eval_set(spark, path).select(
-        F.regexp_extract("query", r"^label-(\d+)$", 1).cast("int").alias("query_id"), "expected_ids"
-    )
-    j = res.join(evalset, "query_id").withColumn("hit", F.array_contains("expected_ids", F.col("vec_id").cast("string")))
-    out = rt.retrieval_eval(j, "query_id", F.col("hit"), EMB_K)
+    expected = read_eval_set(spark, path).select(
+        F.regexp_extract("query", r"^label-(\d+)$", 1).cast("int").alias("query_id"), F.explode("expected_ids").alias("vec"))
+    wanted = expected.select("query_id", F.col("vec").cast("long").alias("vec_id"), F.lit(True).alias("hit")).distinct()
+    j = res.join(wanted, ["query_id", "vec_id"], "left")
+    out = rt.retrieval_eval(j, "query_id", F.coalesce("hit", F.lit(False)), EMB_K, expected)
     return out.select("sample_count", rnd(F.col("hit_rate_at_k")).alias("hit_rate_at_k"), rnd(F.col("mrr_at_k")).alias("mrr_at_k"))
 
 
@@ -432,13 +431,7 @@ SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(n_chunks AS INT
 FROM ch""",
 )
 def chunk_text_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunker as a Python UDTF registered for SQL users (LATERAL table function over whole texts);
-    the DataFrame path (``chunk_text``) stays in the JVM."""
-    from driftwise.functions.udtf import register_chunk_udtf
-
-    register_chunk_udtf(spark)
+    """The chunker for SQL users, as a SQL table expression over whole texts (built-in functions only)."""
     table(spark, sf_dir, "documents").createOrReplaceTempView("documents_for_chunking")
-    return spark.sql(
-        """SELECT d.doc_id, c.chunk_index, c.n_chunks, c.start, length(c.chunk) AS chunk_len, md5(c.chunk) AS chunk_md5
-           FROM documents_for_chunking d, LATERAL chunk_text_udtf(d.text, 900, 100) c"""
-    )
+    tx.normalised_view(spark, "documents_for_chunking", "doc_id", "text", "normalised_for_chunking")
+    return spark.sql(tx.chunk_sql("normalised_for_chunking", "doc_id", "t"))

@@ -221,33 +221,66 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], n: int | No
     return out
 
 
-def top_k_filter(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
-    """Rows ranked 1..k by (score desc, key asc), as a pure filter on ``df``."""
+def element_at_rank(df: DataFrame, col: str, rank: int, n_parts: int = 32, max_local: int = MAX_LOCAL_DISTINCT):
+    """The value of 0-based ascending ``rank`` among the non-null values of ``col``, in the column's own type.
+
+    Each round deals the open range by value over ``n_parts`` partitions and keeps the one that holds the rank; only
+    (minimum, maximum, count) of each partition reach the driver.  A range that its sample cannot split gives up its
+    smallest value, however often that occurs.
+    """
+    x = df.select(F.col(col).alias("x")).where(F.col("x").isNotNull())
+    while True:
+        ranged = x.repartitionByRange(n_parts, "x").groupBy(F.spark_partition_id().alias("p")).agg(
+            F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
+        spans = sorted(ranged.collect(), key=lambda r: r["lo"])
+        for r in spans:
+            if rank < r["n"]:
+                break
+            rank -= r["n"]
+        else:
+            raise ValueError(f"rank lies {rank + 1} values beyond the data")
+        if r["lo"] == r["hi"]:
+            return r["lo"]
+        x = x.where((F.col("x") >= F.lit(r["lo"])) & (F.col("x") <= F.lit(r["hi"])))
+        if r["n"] <= max_local:
+            return sorted(v["x"] for v in x.collect())[rank]
+        if len(spans) == 1:
+            least = x.where(F.col("x") == F.lit(r["lo"])).count()
+            if rank < least:
+                return r["lo"]
+            rank -= least
+            x = x.where(F.col("x") > F.lit(r["lo"]))
+
+
+def top_k_predicate(df: DataFrame, score: str, key: str, k: int):
+    """Condition that the k rows of ``df`` with the largest (score, then smallest key; null keys first) meet.
+
+    NULL and NaN scores never do.  Rows equal in score and key stand or fall together.
+    """
+    sc = F.col(score).cast("double")
+    ranked = sc.isNotNull() & ~F.isnan(sc)
     if k <= 0:
-        return df.limit(0)
-    base = df.where(F.col(score).isNotNull())
-    cand = base.select(score, key).persist(StorageLevel.MEMORY_AND_DISK)
+        return F.lit(False)
+    cand = df.where(ranked).select(score, key).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        s_star, k_star = _cutoff(cand, score, key, k)
+        n = cand.count()
+        if k >= n:
+            return ranked
+        s_star = order_statistics(cand, score, [n - k])[n - k]
+        need = k - cand.where(sc > F.lit(s_star)).count()
+        ties = cand.where(sc == F.lit(s_star))
+        nulls = ties.where(F.col(key).isNull()).count()
+        among = F.col(key).isNull() if nulls else F.lit(False)
+        if need > nulls:
+            among = among | (F.col(key) <= F.lit(element_at_rank(ties, key, need - nulls - 1)))
     finally:
         cand.unpersist()
-    if s_star is None:
-        return base
-    sc = F.col(score).cast("double")
-    return base.where((sc > F.lit(s_star)) | ((sc == F.lit(s_star)) & (F.col(key).cast("double") <= F.lit(k_star))))
-
-
-def _cutoff(base: DataFrame, score: str, key: str, k: int) -> tuple[float | None, float | None]:
-    n = base.count()
-    if k >= n:
-        return None, None
-    # k-th largest score = ascending order statistic n-k
-    s_star = order_statistics(base, score, [n - k])[n - k]
-    above = base.where(F.col(score).cast("double") > F.lit(s_star)).count()
-    need = k - above
-    ties = base.where(F.col(score).cast("double") == F.lit(s_star))
-    k_star = order_statistics(ties, key, [need - 1])[need - 1]
-    return s_star, k_star
+    return F.coalesce(ranked & ((sc > F.lit(s_star)) | ((sc == F.lit(s_star)) & among)), F.lit(False))
+
+
+def top_k_filter(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
+    """Rows ranked 1..k by (score desc, key asc), as a pure filter on ``df``."""
+    return df.where(top_k_predicate(df, score, key, k))
 
 
 def _linear_from_sorted(pairs: list[tuple[float, int]], n: int, probs: Sequence[float]) -> list[float]:

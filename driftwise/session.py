@@ -10,6 +10,7 @@ when it is unset, as in tests.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -30,7 +31,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", os.environ.get("DRIFTWISE_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("DRIFTWISE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
     )
     for k, v in BASE_CONF.items():
@@ -52,6 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="driftwise-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(path)

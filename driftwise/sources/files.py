@@ -6,6 +6,7 @@ writers never go through the driver: every sink is a ``DataFrameWriter``.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
 from pathlib import PurePosixPath
@@ -42,19 +43,15 @@ BOOKING_CSV_HINTS: dict[str, T.DataType] = {
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Header CSV, PERMISSIVE (malformed fields → NULL).
 
-    Without an explicit schema the header is read once (first line only) and the
-    booking hints are applied by column name when the file name says bookings;
-    remaining columns are inferred as LONG/DOUBLE/STRING by Spark.
+    Without a schema Spark infers the types, which reads the input once more.  When the file name says bookings, the
+    hinted columns get their hinted type in the reader's schema, so codes like ``007`` are never parsed as numbers.
     """
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    if schema is not None:
-        return reader.schema(schema).csv(path)
-    df = reader.option("inferSchema", True).csv(path)
-    if "hotel_bookings" in PurePosixPath(path).stem:
-        for name, dtype in BOOKING_CSV_HINTS.items():
-            if name in df.columns:
-                df = df.withColumn(name, F.col(name).cast(dtype))
-    return df
+    if schema is None:
+        schema = reader.option("inferSchema", True).csv(path).schema
+        if "hotel_bookings" in PurePosixPath(path).stem:
+            schema = T.StructType([T.StructField(f.name, BOOKING_CSV_HINTS.get(f.name, f.dataType)) for f in schema])
+    return reader.option("inferSchema", False).schema(schema).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -91,15 +88,34 @@ def read_json_report(spark: SparkSession, path: str, schema: T.StructType | None
     return (r.schema(schema) if schema is not None else r).json(path)
 
 
+_EVAL_LINE = "query string, expected_chunk_ids array<string>, expected_chunk_id string, _corrupt_record string"
+
+
+def _eval_lines(spark: SparkSession, path: str) -> DataFrame | None:
+    """The lines of a JSONL evaluation set, or None if the file is one JSON document (array or ``samples`` object)."""
+    head = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+    first = head[0]["value"].strip() if head else ""
+    try:
+        one = json.loads(first)
+    except ValueError:
+        one = {} if first.endswith("}") else None  # a broken line of its own, or the start of a document
+    if not isinstance(one, dict) or "samples" in one:
+        return None
+    return spark.read.schema(_EVAL_LINE).json(path)
+
+
 def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation samples from a JSON array, a ``{"samples": [...]}`` object or JSONL.
 
     Returns (query string, expected_ids array<string>) where ``expected_ids``
     merges a list field ``expected_chunk_ids`` with a single ``expected_chunk_id`` (U5).
+    A JSONL line that is no JSON is left out (``count_bad_eval_lines`` tells how many) and harms no other line.
     """
-    rows = spark.read.json(path)  # JSONL (one object per line) or single-line documents
-    if not rows.columns or "_corrupt_record" in rows.columns:
-        rows = spark.read.option("multiLine", True).json(path)  # pretty-printed array or object
+    rows = _eval_lines(spark, path)
+    if rows is not None:
+        rows = rows.where(F.col("_corrupt_record").isNull())
+    else:
+        rows = spark.read.option("multiLine", True).json(path)
     if "samples" in rows.columns:
         rows = rows.select(F.explode("samples").alias("s")).select("s.*")
     if "query" not in rows.columns:
@@ -110,6 +126,12 @@ def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("query").cast("string").alias("query"), F.array_sort(ids).alias("expected_ids"))
 
 
+def count_bad_eval_lines(spark: SparkSession, path: str) -> int:
+    """Lines of a JSONL evaluation set that are no JSON (0 for one JSON document)."""
+    rows = _eval_lines(spark, path)
+    return 0 if rows is None else rows.agg(F.count("_corrupt_record"), F.max("query")).first()[0]
+
+
 def upsert_snapshot(df: DataFrame, path: str, key: str = "run_id") -> None:
     """Replace the partitions of the run ids present in ``df``; keep the others.
 
