@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from driftwise.llm.common import packed, stored, text_bytes
 
 #: Units that one flight block is planned for.
-BLOCK_UNITS = 20_000
+BLOCK_UNITS = 2_000
 #: Units that the landing phase decides together, beside the two that the flight leaves.
 LANDING_UNITS = 12
 MAX_COPIES = 3
@@ -133,7 +133,7 @@ def balanced_sample(units: DataFrame, seed: int = 0) -> DataFrame:
 
     ``__n`` is the number of rows of the group (or more).  Returns the same rows with p 0 or 1.  Blocks are cut by a
     hash of the row's key, so reruns agree however the rows are partitioned, and rows are dealt by group and block.
-    Each level leaves two units of a block at most, so the next one has 10 000 times fewer rows.
+    Each level leaves two units of a block at most, so the next one has 1000 times fewer rows.
     """
     order = F.xxhash64("__id", "__tie", "__dup", F.lit(seed)).alias("__order")
     blocks = F.ceil(F.col("__n") / BLOCK_UNITS).cast("long")
