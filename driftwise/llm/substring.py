@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwise.llm.common import lookup, shuffle_partitions, stored, text_bytes
+from driftwise.llm.common import HOT_SHARE, lookup, shuffle_partitions, stored, text_bytes
 from driftwise.llm.components import components
 
 SHINGLE, PASSAGE, SIMILARITY = 5, 50, 0.8
@@ -33,6 +33,8 @@ NEAR = 3
 PIECE = 1 << 15
 #: Bytes of requests for text up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Share of the rows that are read to find the keys worth splitting, and the least rows of such a key among them.
+PROBE, PROBE_ROWS = 1 / 64, 100
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
@@ -149,20 +151,20 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by sig and node: those whose sig occurs in more than one text, without repeats.
+    """Rows sorted by sig and node: those whose sig occurs in more than one text, or is split over tasks (``hot``), without repeats.
 
     A run that reaches over batches is known by its first row, which waits until a second text comes or the run ends.
     """
     last = None  # (first row of the open run, whether it has gone out, last (node, at) of it)
     for batch in batches:
-        cols = [c.to_numpy() for c in batch.columns]
+        *cols, hot = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         sig, node, at = cols[:3]
         n = len(sig)
         if not n:
             continue
         starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         sizes = np.diff(np.r_[starts, n])
-        many = np.minimum.reduceat(node, starts) != np.maximum.reduceat(node, starts)
+        many = (np.minimum.reduceat(node, starts) != np.maximum.reduceat(node, starts)) | hot[starts]
         extra = []
         if last is not None:
             row, held = last
@@ -220,13 +222,64 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tail is not None:
             cols = [np.r_[t, c] for t, c in zip(tail, cols)]
         tail = [c[-1:] for c in cols]
-        g, node, at, right, left = cols
-        i = np.flatnonzero((g[1:] == g[:-1]) & (node[1:] != node[:-1]))
-        m = _blocks_alike(right[i], right[i + 1]) + _blocks_alike(left[i], left[i + 1])
-        i, m = i[m >= MAYBE], m[m >= MAYBE]
-        swap = node[i] > node[i + 1]
-        p, q = np.where(swap, i + 1, i), np.where(swap, i, i + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (node[p], at[p], node[q], at[q], m)], names=["a", "at_a", "b", "at_b", "m"])
+        yield _links(cols)
+
+
+def _links(cols: list[np.ndarray]) -> pa.RecordBatch:
+    g, node, at, right, left = cols
+    i = np.flatnonzero((g[1:] == g[:-1]) & (node[1:] != node[:-1]))
+    m = _blocks_alike(right[i], right[i + 1]) + _blocks_alike(left[i], left[i + 1])
+    i, m = i[m >= MAYBE], m[m >= MAYBE]
+    swap = node[i] > node[i + 1]
+    p, q = np.where(swap, i + 1, i), np.where(swap, i, i + 1)
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (node[p], at[p], node[q], at[q], m)], names=["a", "at_a", "b", "at_b", "m"])
+
+
+_ROW = "g long, node long, at long, right long, left long"
+
+
+def _with_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_neighbours`` of one range of a split group; its first and last row follow, without a link, in ``_ROW``."""
+    first, last = None, None
+
+    def seen() -> Iterator[pa.RecordBatch]:
+        nonlocal first, last
+        for batch in batches:
+            if batch.num_rows:
+                first = first or batch.slice(0, 1).to_pylist()
+                last = batch.slice(batch.num_rows - 1).to_pylist()
+                yield batch
+
+    schema = pa.schema([(n, pa.int64()) for n in ("a", "at_a", "b", "at_b", "m", "g", "node", "at", "right", "left")])
+    for links in _neighbours(seen()):
+        none = pa.nulls(links.num_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([*links.columns, *[none] * 5], schema=schema)
+    if first:
+        yield pa.RecordBatch.from_pylist(first + last, schema=schema)
+
+
+def neighbour_links(keyed: DataFrame, hot: DataFrame | None, order: list[str | Column]) -> DataFrame:
+    """Links between neighbours of the groups ``g`` of ``keyed`` (``_ROW``) in ``order``, whose last columns are unique.
+
+    ``hot`` groups are cut into ranges of the order; the ends of the ranges are compared after that (two rows a
+    partition), so a split group gives the links of an unsplit one.
+    """
+    parts = shuffle_partitions(keyed.sparkSession)
+    if hot is None:
+        return keyed.repartition(parts, "g").sortWithinPartitions("g", *order).mapInArrow(_neighbours, _LINK)
+    rest = keyed.join(F.broadcast(hot), "g", "left_anti").repartition(parts, "g").sortWithinPartitions("g", *order)
+    split = keyed.join(F.broadcast(hot), "g", "left_semi").repartitionByRange(parts, "g", *order).sortWithinPartitions("g", *order)
+    found = stored(split.mapInArrow(_with_ends, f"{_LINK}, {_ROW}"), "ranges")
+    ends = found.filter("a is null").select("g", "node", "at", "right", "left").repartition(1).sortWithinPartitions("g", *order)
+    inner = found.filter("a is not null").select("a", "at_a", "b", "at_b", "m")
+    return rest.mapInArrow(_neighbours, _LINK).unionByName(inner).unionByName(ends.mapInArrow(_neighbours, _LINK))
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """Keys with a HOT_SHARE of ``rows``: at most 1 / HOT_SHARE of them, so they can be broadcast."""
+    counts = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.filter(F.col("n") >= max(PROBE_ROWS, total * HOT_SHARE)).select(key)
 
 
 def node_of(text_col: str) -> Column:
@@ -238,22 +291,29 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(a, at_a, b, at_b, m)``: neighbouring windows of different texts that share m >= MAYBE blocks beside their shingle."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    windows = docs.select(node_of(text_col).alias("node"), text_bytes(text_col).alias("text")).mapInArrow(_windows, _WINDOW)
-    alive = windows.repartition(parts, "sig").sortWithinPartitions("sig", "node", "at").mapInArrow(_shared, _WINDOW)
-    alive = stored(alive, "windows")
+    texts = docs.select(node_of(text_col).alias("node"), text_bytes(text_col).alias("text"))
+    windows = texts.mapInArrow(_windows, _WINDOW)
+    # a probe names the signatures of very common passages; their rows are dealt by text, so no task gets them all
+    hot = hot_keys(texts.sample(PROBE, seed=7).mapInArrow(_windows, _WINDOW), "sig").withColumn("hot", F.lit(True))
+    dealt = windows.join(F.broadcast(hot), "sig", "left").select("sig", "node", "at", "right", "left", F.coalesce("hot", F.lit(False)).alias("hot"))
+    dealt = dealt.repartition(parts, "sig", F.when(F.col("hot"), F.col("node")))
+    alive = stored(dealt.sortWithinPartitions("sig", "node", "at").mapInArrow(_shared, _WINDOW), "windows")
     # windows of equal context link to one of them; so a passage in very many texts is one row from here on
-    one = stored(alive.groupBy("sig", "right", "left").agg(F.min(F.struct("node", "at")).alias("rep"), F.count(F.lit(1)).alias("n")), "contexts")
-    star = alive.join(one.filter("n > 1").select("sig", "right", "left", "rep"), ["sig", "right", "left"]).filter("node <> rep.node")
+    context = ["sig", "right", "left"]
+    one = stored(alive.groupBy(*context).agg(F.min(F.struct("node", "at")).alias("rep"), F.count(F.lit(1)).alias("n")), "contexts")
+    star = lookup(alive, one.filter("n > 1").select(*context, "rep", "n"), context, "n", alive.count()).filter("node <> rep.node")
     blocks = sum(((F.shiftrightunsigned(F.col(side), 8 * j).bitwiseAND(F.lit(255)) != 0).cast("long") for side in ("right", "left") for j in range(SIDE)), F.lit(0).cast("long"))
     links = star.select(F.col("rep.node").alias("a"), F.col("rep.at").alias("at_a"), F.col("node").alias("b"), F.col("at").alias("at_b"), blocks.alias("m")).filter(F.col("m") >= MAYBE)
     rows = one.select("sig", F.col("rep.node").alias("node"), F.col("rep.at").alias("at"), "right", "left")
     for near, far in (("right", "left"), ("left", "right")):
         top = F.shiftrightunsigned(F.col(near), 8 * (SIDE - NEAR))
-        keyed = rows.withColumn("g", F.xxhash64("sig", top, F.lit(near))).select("g", "node", "at", "right", "left").repartition(parts, "g")
+        keyed = rows.withColumn("g", F.xxhash64("sig", top, F.lit(near))).select("g", "node", "at", "right", "left")
+        hot = hot_keys(keyed.sample(PROBE, seed=7), "g")
+        hot = None if hot.isEmpty() else hot
         # unsigned order of the blocks: flip the sign bit
         order = {s: F.col(s).bitwiseXOR(F.lit(-(2**63)).cast("long")) for s in (near, far)}
         for first, second in ((near, far), (far, near)):
-            links = links.unionByName(keyed.sortWithinPartitions("g", order[first], order[second], "node", "at").mapInArrow(_neighbours, _LINK))
+            links = links.unionByName(neighbour_links(keyed, hot, [order[first], order[second], "node", "at"]))
     return links
 
 

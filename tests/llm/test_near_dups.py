@@ -95,7 +95,16 @@ def passages(rng, n):
     return [f"w{rng.randrange(10**6)}" for _ in range(n)]
 
 
-def test_passage_classes(spark):
+@pytest.fixture(params=["whole", "split"])
+def groups(request, monkeypatch):
+    """As they are, and with every signature and context group of two rows or more split over the tasks."""
+    if request.param == "split":
+        monkeypatch.setattr(substring, "PROBE", 1.0)
+        monkeypatch.setattr(substring, "PROBE_ROWS", 2)
+        monkeypatch.setattr(substring, "HOT_SHARE", 0.0)
+
+
+def test_passage_classes(spark, groups):
     rng = random.Random(4)
     shared, edited = passages(rng, 52), passages(rng, 70)
     other = list(edited)
@@ -113,7 +122,7 @@ def test_passage_classes(spark):
     assert got[6].n_links == 0 and got[1].n_links > 0 and got[8].n_copies == 1 and got[21].n_copies == 0
 
 
-def test_passages_of_the_table(spark):
+def test_passages_of_the_table(spark, groups):
     """Every exact passage of 50 words that recurs is found; what is found beyond has 0.8 similar passages."""
     docs = table(spark, MEDIUM, "documents").filter("doc_id < 400")
     texts = {r.doc_id: (r.text or "").lower().encode().split() for r in docs.collect()}
