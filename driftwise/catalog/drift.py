@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwise.catalog.base import register, with_bookings
-from driftwise.catalog.profiles import CATEGORY_COLS, CORR_TOP_K, PROFILE_COLS
+from driftwise.catalog.profiles import CATEGORY_COLS, CORR_TOP_K, PROFILE_COLS, corr_list_sql
 from driftwise.catalog.sqlgen import bin_expr, binned_counts_ctes, divergence_select, long_union
 from driftwise.functions.scalar import pround, rnd
 from driftwise.operators import drift as dr
@@ -87,12 +87,7 @@ def label_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pair_corr_ctes(cols, source, name):
-    parts = []
-    for i, a in enumerate(cols):
-        for b in cols[i + 1 :]:
-            parts.append(f"SELECT '{a}' AS a, '{b}' AS b, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r FROM {source}")
-    parts += [f"SELECT '{c}' AS a, 'y' AS b, corr(CAST({c} AS DOUBLE), CAST(y AS DOUBLE)) AS r FROM {source}" for c in cols]
-    body = "\n  UNION ALL ".join(parts)
+    body = corr_list_sql([(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]] + [(c, "y") for c in cols], source)
     return f"{name}_p AS ({body}),\n{name} AS (SELECT a, b, r FROM {name}_p UNION ALL SELECT b AS a, a AS b, r FROM {name}_p)"
 
 
@@ -117,7 +112,7 @@ FROM tracked t JOIN rc r1 ON r1.a = t.a AND r1.b = t.b JOIN cc r2 ON r2.a = t.a
     ),
 )
 def correlation_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracked reference pairs (top-5 by |r with y|) re-measured on the current period; |Δr| > 0.20 drifts."""
+    """Tracked reference pairs (top-20 by |r with y|) re-measured on the current period; |Δr| > 0.20 drifts."""
     ref, cur = _split(spark, sf_dir)
     reference = pf.reference_correlations(ref, DRIFT_COLS, "y", CORR_TOP_K)
     rows = dr.correlation_drift(cur, reference, 0.20)

@@ -16,7 +16,7 @@ PROFILE_COLS = [
     "stays_in_weekend_nights", "arrival_date_day_of_month", "score",
 ]
 CATEGORY_COLS = ["hotel", "country", "market_segment", "customer_type", "arrival_date_month"]
-CORR_TOP_K = 5
+CORR_TOP_K = 20
 
 
 def _ref(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,19 +62,19 @@ def reference_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pf.distinct_categories(_ref(spark, sf_dir), CATEGORY_COLS)
 
 
+def corr_list_sql(pairs, source):
+    """Oracle rows ``(a, b, r)`` of all column pairs from one aggregation of ``source``."""
+    each = ",\n    ".join(f"{{'a': '{a}', 'b': '{b}', 'r': corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))}}" for a, b in pairs)
+    return f"SELECT unnest(l, recursive := true) FROM (SELECT [{each}] AS l FROM {source}) one_row"
+
+
 def _corr_sql(cols, target, top_k, source):
     """Oracle for D3: rank features by |r with target| in DuckDB, then name pairs in rank order."""
-    tc = "\n  UNION ALL ".join(
-        f"SELECT '{c}' AS f, {i} AS ord, corr(CAST({c} AS DOUBLE), CAST({target} AS DOUBLE)) AS r FROM {source}"
-        for i, c in enumerate(cols)
-    )
-    pairs = []
-    for i, a in enumerate(cols):
-        for b in cols[i + 1 :]:
-            pairs.append(f"SELECT '{a}' AS a, '{b}' AS b, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r FROM {source}")
-    pr = "\n  UNION ALL ".join(pairs)
+    tc = corr_list_sql([(c, target) for c in cols], source)
+    pr = corr_list_sql([(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]], source)
+    order = f"(SELECT unnest({list(cols)!r}) AS f, generate_subscripts({list(cols)!r}, 1) AS ord)"
     return f"""
-tc AS ({tc}),
+tc AS (SELECT p.a AS f, o.ord, p.r FROM ({tc}) p JOIN {order} o ON o.f = p.a),
 rk AS (SELECT f, r, row_number() OVER (ORDER BY abs(r) DESC, ord) AS k FROM tc WHERE r IS NOT NULL AND NOT isnan(r)),
 top AS (SELECT * FROM rk WHERE k <= {top_k}),
 allp AS ({pr}),
@@ -94,7 +94,7 @@ _CORR_CTES, _CORR_BODY = _corr_sql(PROFILE_COLS, "y", CORR_TOP_K, "ref")
     with_bookings(_CORR_BODY, "ref AS (SELECT * FROM bookings WHERE period = 'ref'),\n" + _CORR_CTES.strip()),
 )
 def reference_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top-5 features by |r with y|, all pairs among them plus feature–target pairs."""
+    """Top-20 features by |r with y|, all pairs among them plus feature–target pairs."""
     rows = pf.reference_correlations(_ref(spark, sf_dir), PROFILE_COLS, "y", CORR_TOP_K)
     out = [(k, None if v is None else pround(v, 6)) for k, v in rows]
     return spark.createDataFrame(out, "pair string, corr double")
