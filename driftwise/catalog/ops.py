@@ -91,6 +91,26 @@ def snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("run_id", "customer_type", "n_rows", "mean_score", "n_positive")
 
 
+@register(
+    "recent_runs",
+    """
+SELECT strftime(o_orderdate, '%Y-%m') AS run_id, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS updated_at, count(*) AS n_rows,
+       round(sum(o_totalprice), 2) AS total_price
+FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""",
+)
+def recent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly runs over the orders, stored as run snapshots; the 20 that were updated last."""
+    orders = table(spark, sf_dir, "orders").where(F.col("o_orderdate").isNotNull())
+    runs = orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("run_id")).agg(
+        F.date_format(F.max("o_orderdate"), "yyyy-MM-dd HH:mm:ss").alias("updated_at"), F.count(F.lit(1)).alias("n_rows"),
+        F.round(F.sum("o_totalprice"), 2).alias("total_price"),
+    )
+    path = fs.scratch_path(spark, "runs")
+    fs.upsert_snapshot(runs, path)
+    stored = spark.read.schema(runs.schema).parquet(path).select("run_id", "updated_at", "n_rows", "total_price")
+    return fs.recent_runs(stored)
+
+
 @register(
     "dead_letter",
     with_bookings(

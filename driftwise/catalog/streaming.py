@@ -105,6 +105,18 @@ def error_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
                       rnd(F.col("error_rate_per_sec")).alias("error_rate_per_sec"))
 
 
+@register(
+    "error_spike",
+    f"""SELECT {_FMT.format(x='ws')} AS window_start, n_errors, round(n_errors / 300.0, 6) AS errors_per_sec,
+       n_errors / 300.0 > {wn.SPIKE_PER_SECOND} AS spike
+FROM (SELECT time_bucket(INTERVAL '5 minutes', {_TS}) AS ws, count_if(event_type = 'error') AS n_errors FROM events GROUP BY 1) w""",
+)
+def error_spike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors per second on 5-minute windows; a spike above 0.2 per second."""
+    out = wn.error_spike(_log(spark, sf_dir))
+    return out.select("window_start", "n_errors", rnd(F.col("errors_per_sec")).alias("errors_per_sec"), "spike")
+
+
 @register(
     "burn_rate",
     f"""WITH b AS (SELECT time_bucket(INTERVAL '1 hour', {_TS}) AS hb, event_type = 'error' AS e FROM events),

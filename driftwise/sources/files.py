@@ -146,6 +146,11 @@ def upsert_snapshot(df: DataFrame, path: str, key: str = "run_id") -> None:
     )
 
 
+def recent_runs(runs: DataFrame, limit: int = 20) -> DataFrame:
+    """The ``limit`` runs updated last, newest first; ties by run id."""
+    return runs.orderBy(F.col("updated_at").desc_nulls_last(), "run_id").limit(limit)
+
+
 def append_dead_letter(df: DataFrame, path: str, created_at: str | None = None) -> None:
     """(created_at, payload JSON) rows appended to a dead-letter folder."""
     ts = F.lit(created_at).cast("timestamp") if created_at else F.current_timestamp()

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 # Latency histogram buckets of the reference (seconds), then +Inf.
 LATENCY_BUCKETS = (0.001, 0.005, 0.010, 0.025, 0.050, 0.100, 0.250, 0.500, 1.0, 2.5, 5.0, 10.0, 30.0)
 ERROR_BUDGET = 0.001
+SPIKE_PER_SECOND = 0.2
 FAST_BURN = 14.4
 SLOW_BURN = 6.0
 P95_SLO_SECONDS = 0.3
@@ -114,6 +115,13 @@ def error_ratio(log: DataFrame, size: str = "1 hour") -> DataFrame:
     )
 
 
+def error_spike(log: DataFrame, size: str = "5 minutes", limit: float = SPIKE_PER_SECOND) -> DataFrame:
+    """Errors per window and second; a spike above ``limit``."""
+    agg = log.groupBy(F.window("ts", size).alias("w")).agg(F.count_if("is_5xx").alias("n_errors"))
+    rate = F.col("n_errors") / F.lit(float(_seconds(size)))
+    return agg.select(fmt(F.col("w.start")).alias("window_start"), "n_errors", rate.alias("errors_per_sec"), (rate > F.lit(limit)).alias("spike"))
+
+
 def burn_rate(log: DataFrame, fast: str = "1 hour", slow: str = "6 hours", slide: str = "1 hour") -> DataFrame:
     """Fast (14.4×) and slow (6×) error-budget burn on two sliding windows joined on their end."""
 
