@@ -5,7 +5,8 @@ nodes of the Cartesian tree over the shingle hashes.  Windows shorter than a pas
 words has about 2 n / 50 windows per function.  Windows of equal minimum meet in a shuffle; each carries hashed blocks
 of the words to its left and right, so the interval that two windows share can be read off by comparing neighbours in
 sorted order.  Long shared intervals are links; short ones are verified on the texts by Jaccard similarity of 5-word
-shingles.  Links join texts into classes.
+shingles.  Windows of equal minimum in texts that are still apart meet again by the word pairs beside it, whatever
+their blocks, and are verified in the same way.  Links join texts into classes.
 """
 
 from __future__ import annotations
@@ -25,10 +26,18 @@ SHINGLE, PASSAGE, SIMILARITY = 5, 50, 0.8
 LEAST, FUNCTIONS = PASSAGE - SHINGLE + 1, 4
 #: Words in a context block; eight blocks of 8 bits on each side of a window's minimum.
 BLOCK, SIDE = 6, 8
-#: Shared blocks (beside the shingle itself) that make a link, and that are worth a look at the texts.
+#: Shared blocks (beside the shingle itself) that make a link, and that neighbours in sorted order need for a look at the
+#: texts; pairs with fewer meet by their word pairs.
 SURE, MAYBE = 8, 4
-#: Blocks next to the shingle that windows of a comparison group share on one side; a passage has them on one side at least.
+#: Blocks next to the shingle that windows of a sorted group share on one side.
 NEAR = 3
+#: Words beside the minimum that a shortest passage has on its longer side; those too far from its end for an edit that
+#: costs fewer than 5 shingles; least word pairs of these that are keys: an edit breaks two, so similar passages share one.
+REACH, CLOSE, KEYS = (LEAST + 1) // 2, (LEAST + 1) // 2 - 4, 3
+#: Bits of a word pair's hash in a key; parts that the rows of a very common key are dealt to.
+KEY_BITS, SALTS = 21, 16
+#: Shingles that similar shortest passages without repeats have in common at least.
+COMMON = int(np.ceil(2 * LEAST * SIMILARITY / (1 + SIMILARITY)))
 #: Words of a long text handled at once; pieces overlap by a passage.
 PIECE = 1 << 15
 #: Bytes of requests for text up to which they are broadcast.
@@ -80,17 +89,22 @@ class Words:
 
 
 def compact_windows(h: np.ndarray, least: int) -> np.ndarray:
-    """Positions of the minima of all compact windows of at least ``least`` elements (Cartesian tree, top down)."""
+    """Positions of the minima of all compact windows of at least ``least`` elements."""
+    return bounded_windows(h, least)[:, 0]
+
+
+def bounded_windows(h: np.ndarray, least: int) -> np.ndarray:
+    """``minimum, start, end`` of all compact windows of at least ``least`` elements (Cartesian tree, top down)."""
     out, stack = [], [(0, len(h))]
     while stack:
         a, z = stack.pop()
         if z - a < least:
             continue
         c = a + int(h[a:z].argmin())
-        out.append(c)
+        out.append((c, a, z))
         stack.append((a, c))
         stack.append((c + 1, z))
-    return np.array(out, np.int64)
+    return np.array(out, np.int64).reshape(-1, 3)
 
 
 def _side(blocks: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
@@ -101,8 +115,25 @@ def _side(blocks: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
     return padded[at[:, None] + pad + step * np.arange(SIDE)].view(">u8").ravel().astype(np.uint64)
 
 
+def _pair_keys(pairs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word pairs among the CLOSE words from word ``at`` on: the KEYS least different hashes, packed in one number,
+    and a bit for each pair in a map of 64."""
+    none = (1 << KEY_BITS) - 1
+    if not len(at):
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    near = np.sort(pairs[at[:, None] + np.arange(CLOSE - 1)], axis=1)
+    bits = np.bitwise_or.reduce(np.uint64(1) << (near & 63).astype(np.uint64), axis=1)
+    near[:, 1:][near[:, 1:] == near[:, :-1]] = none
+    near = np.sort(near, axis=1)[:, :KEYS].astype(np.uint64)
+    return sum((near[:, j] << np.uint64(KEY_BITS * j) for j in range(1, KEYS)), near[:, 0]), bits
+
+
 def text_windows(text: bytes) -> tuple[np.ndarray, ...]:
-    """``sig, at, right, left`` of all windows of a text; ``at`` is the word where the minimal shingle starts."""
+    """``sig, at, right, left, rkeys, lkeys, rbits, lbits`` of all windows of a text; ``at`` is the word where the minimal shingle starts.
+
+    The last four are the word pairs on a side where the window reaches far enough to hold the longer side of a
+    passage, else -1.
+    """
     words = text.lower().split()
     got = []
     for start in range(0, max(1, len(words) - PASSAGE + 1), PIECE):
@@ -113,21 +144,26 @@ def text_windows(text: bytes) -> tuple[np.ndarray, ...]:
         shingles = own.runs(SHINGLE)
         blocks = (own.runs(BLOCK) >> np.uint64(40)) % np.uint64(255) + np.uint64(1)
         hashes = _mix(shingles ^ _SEEDS[:FUNCTIONS, None])
-        minima = [compact_windows(h, LEAST) for h in hashes]
-        c = np.concatenate(minima)
-        sig = np.concatenate([h[m] for h, m in zip(hashes, minima)])
-        got.append((sig, c + start, _side(blocks, c + SHINGLE, BLOCK), _side(blocks, c - BLOCK, -BLOCK)))
+        windows = [bounded_windows(h, LEAST) for h in hashes]
+        c, a, z = np.concatenate(windows).T
+        sig = np.concatenate([h[w[:, 0]] for h, w in zip(hashes, windows)])
+        pairs = (own.runs(2) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+        keys = [np.full(len(c), ~np.uint64(0)) for _ in range(4)]
+        for k, far, first in ((0, z - 1 - c, c + SHINGLE), (1, c - a, c - CLOSE)):
+            keys[k][far >= REACH], keys[k + 2][far >= REACH] = _pair_keys(pairs, first[far >= REACH])
+        got.append((sig, c + start, _side(blocks, c + SHINGLE, BLOCK), _side(blocks, c - BLOCK, -BLOCK), *keys))
     if not got:
-        return tuple(np.empty(0, d) for d in (np.uint64, np.int64, np.uint64, np.uint64))
-    return tuple(np.concatenate([g[i] for g in got]) for i in range(4))
+        return tuple(np.empty(0, d) for d in (np.uint64, np.int64, *[np.uint64] * 6))
+    return tuple(np.concatenate([g[i] for g in got]) for i in range(8))
 
 
-_WINDOW = "sig long, node long, at long, right long, left long"
+_COLUMNS = ["sig", "node", "at", "right", "left", "rkeys", "lkeys", "rbits", "lbits"]
+_WINDOW = ", ".join(f"{c} long" for c in _COLUMNS)
 
 
 def _batch(*columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.astype(np.uint64).view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns],
-                                      names=["sig", "node", "at", "right", "left"])
+                                      names=_COLUMNS)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,14 +176,14 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(done) >= 500_000:
                 done.clear()
             done.add(node)
-            sig, at, right, left = text_windows(text.as_py())
-            rows.append((sig, np.full(len(sig), node), at, right, left))
+            sig, *rest = text_windows(text.as_py())
+            rows.append((sig, np.full(len(sig), node), *rest))
             size += len(sig)
             if size > 100_000:
-                yield _batch(*(np.concatenate([r[i] for r in rows]) for i in range(5)))
+                yield _batch(*(np.concatenate([r[i] for r in rows]) for i in range(len(_COLUMNS))))
                 rows, size = [], 0
         if size:
-            yield _batch(*(np.concatenate([r[i] for r in rows]) for i in range(5)))
+            yield _batch(*(np.concatenate([r[i] for r in rows]) for i in range(len(_COLUMNS))))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,11 +214,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             held_on = []
         keep = np.repeat(many, sizes)
-        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]) | (at[1:] != at[:-1])]
+        # a window in the overlap of two pieces may reach further in one of them: only whole rows are repeats
+        fresh = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols])]
         keep &= fresh
         out = [c[keep] for c in cols]
         if extra:
-            old = [np.array([r[i] for r in extra], np.int64) for i in range(5)]
+            old = [np.array([r[i] for r in extra], np.int64) for i in range(len(cols))]
             out = [np.r_[a, b] for a, b in zip(old, out)]
         if len(out[0]):
             yield _batch(*out)
@@ -287,17 +324,21 @@ def node_of(text_col: str) -> Column:
     return F.xxhash64(text_bytes(text_col))
 
 
-def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(a, at_a, b, at_b, m)``: neighbouring windows of different texts that share m >= MAYBE blocks beside their shingle."""
+def shared_windows(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Stored ``_WINDOW`` rows of the signatures that more than one text has."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     texts = docs.select(node_of(text_col).alias("node"), text_bytes(text_col).alias("text"))
     windows = texts.mapInArrow(_windows, _WINDOW)
     # a probe names the signatures of very common passages; their rows are dealt by text, so no task gets them all
     hot = hot_keys(texts.sample(PROBE, seed=7).mapInArrow(_windows, _WINDOW), "sig").withColumn("hot", F.lit(True))
-    dealt = windows.join(F.broadcast(hot), "sig", "left").select("sig", "node", "at", "right", "left", F.coalesce("hot", F.lit(False)).alias("hot"))
+    dealt = windows.join(F.broadcast(hot), "sig", "left").select(*_COLUMNS, F.coalesce("hot", F.lit(False)).alias("hot"))
     dealt = dealt.repartition(parts, "sig", F.when(F.col("hot"), F.col("node")))
-    alive = stored(dealt.sortWithinPartitions("sig", "node", "at").mapInArrow(_shared, _WINDOW), "windows")
+    return stored(dealt.sortWithinPartitions("sig", "node", "at").mapInArrow(_shared, _WINDOW), "windows")
+
+
+def candidates(alive: DataFrame) -> DataFrame:
+    """``(a, at_a, b, at_b, m)``: neighbouring windows of different texts that share m >= MAYBE blocks beside their shingle."""
     # windows of equal context link to one of them; so a passage in very many texts is one row from here on
     context = ["sig", "right", "left"]
     one = stored(alive.groupBy(*context).agg(F.min(F.struct("node", "at")).alias("rep"), F.count(F.lit(1)).alias("n")), "contexts")
@@ -366,11 +407,109 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
-def passage_links(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Stored ``(a, b)``: distinct pairs of texts (hashes) found to share a passage; they span all classes."""
-    found = stored(candidates(docs, text_col).distinct(), "candidates")
-    sure = found.filter(F.col("m") >= SURE).select("a", "b").distinct()
-    maybe = stored(found.filter(F.col("m") < SURE).join(sure, ["a", "b"], "left_anti").select("a", "at_a", "b", "at_b").distinct(), "maybe")
+def apart(docs: DataFrame, alive: DataFrame, links: DataFrame, text_col: str) -> DataFrame:
+    """``(a, b)``: texts that ``links`` leave apart with alike windows of equal minimum; all that can be alike are compared.
+
+    If two windows hold similar passages at equal offsets, the longer side of these is the same but for one edit (they
+    have 5 shingles each besides the common ones at most): one of the KEYS least word pairs among the CLOSE words there
+    is common, and KEYS - 1 pairs of each text at most are not in the other.
+    """
+    roots = stored(components(links), "roots")
+    degree = alive.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    facts = stored(degree.join(roots.withColumnRenamed("v", "node"), "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")), "facts")
+    rooted = lookup(alive, facts, ["node"], "n", alive.count())
+    none = (1 << KEY_BITS) - 1
+    keys = F.array(*[
+        F.when(F.col(side) != -1, F.struct(F.lit(side).alias("side"), F.col(bits).alias("bits"), F.shiftrightunsigned(side, KEY_BITS * j).bitwiseAND(F.lit(none)).alias("pair")))
+        for side, bits in (("rkeys", "rbits"), ("lkeys", "lbits")) for j in range(KEYS)])
+    keyed = rooted.select("sig", "node", "at", "right", "left", "root", F.explode(keys).alias("k")).filter(F.col("k").isNotNull() & (F.col("k.pair") != none))
+    # windows of equal context in one class: one of them, if no word beyond the last whole block can tell them apart
+    whole = (F.col("right").bitwiseAND(255) != 0) & (F.col("left").bitwiseAND(255) != 0)
+    own = F.when(~whole, F.struct("node", "at")).alias("own")
+    rows = keyed.groupBy(F.xxhash64("sig", "k.side", "k.pair").alias("key"), "root", "right", "left", own).agg(
+        F.min(F.struct("node", "at", "k.bits")).alias("w"))
+    rows = stored(rows.select("key", "root", "w.*"), "keys")
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r"), F.max("root").alias("s"))
+    counts = stored(counts.filter("n > 1"), "counts")
+    least = max(PROBE_ROWS, int(rows.count() * HOT_SHARE))
+    # keys of a HOT_SHARE of the rows are broadcast; those of one class go out before the shuffle
+    hot = counts.filter(F.col("n") >= least).select("key", (F.col("r") < F.col("s")).alias("open"))
+    marked = rows.join(F.broadcast(hot), "key", "left")
+    rest = marked.filter("open is null").join(counts.filter("r < s").select("key"), "key", "left_semi").select("key", F.lit(0).alias("salt"), "root", "node", "at", "bits")
+    common = marked.filter("open").select("key", "root", "node", "at", "bits")
+    part = F.pmod(F.xxhash64("node", "at"), F.lit(SALTS)).cast("int")
+    common = common.withColumn("own", part).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rest.withColumn("asks", F.lit(True)).unionByName(common.withColumn("asks", F.col("own") == F.col("salt")).drop("own"))
+    dealt = stored(dealt.select("key", "salt", "asks", "root", "node", "at", "bits"), "dealt")
+    around = contexts_of(docs, dealt.select("node", "at").distinct(), text_col)
+    full = dealt.join(around, ["node", "at"]).select("key", "salt", "asks", "root", "node", "bits", "h")
+    parts = shuffle_partitions(docs.sparkSession)
+    return full.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "root", "node").mapInArrow(_compare, "a long, b long").distinct()
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Alike pairs of different classes among the rows of each key and salt (sorted); a group waits until it is whole."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([*kept, batch])
+        key, salt = t["key"].to_numpy(), t["salt"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
+        if len(starts) > 1:
+            yield _compared([t.slice(x, y - x) for x, y in zip(starts, starts[1:])])
+        kept = t.slice(starts[-1]).to_batches()
+    if kept:
+        yield _compared([pa.Table.from_batches(kept)])
+
+
+def _compared(groups: list[pa.Table]) -> pa.RecordBatch:
+    a, b = [], []
+    for t in groups:
+        root, node, asks = t["root"].to_numpy(), t["node"].to_numpy(), t["asks"].to_numpy()
+        bits = t["bits"].to_numpy().view(np.uint64)
+        h = np.frombuffer(b"".join(t["h"].to_pylist()), np.uint32).reshape(len(root), -1)
+        row = np.sort(h, axis=1)
+        single = ~((row[:, 1:] == row[:, :-1]) & (row[:, 1:] != 0)).any(axis=1)  # no shingle twice
+        joined: set[tuple[int, int]] = set()
+        for i in np.flatnonzero(asks):
+            # each pair once: an unsplit group and the asking rows of a split one meet all rows of greater classes
+            j = np.arange(np.searchsorted(root, root[i], "right"), len(root))
+            j = j[(np.bitwise_count(bits[i] & ~bits[j]) < KEYS) & (np.bitwise_count(bits[j] & ~bits[i]) < KEYS)]
+            if not len(j):
+                continue
+            # without repeats similar passages have at least this many shingles in common, moved by a word at most
+            x, y = h[i], h[j]
+            hits = (y == x) & (x != 0)
+            hits[:, 1:] |= (y[:, :-1] == x[1:]) & (x[1:] != 0)
+            hits[:, :-1] |= (y[:, 1:] == x[:-1]) & (x[:-1] != 0)
+            j = j[(hits.sum(axis=1) >= COMMON) | ~(single[i] & single[j])]
+            for k in j.tolist():
+                pair = (int(root[i]), int(root[k]))
+                if pair not in joined and alike(h[i].astype(np.uint64).tobytes(), h[k].astype(np.uint64).tobytes()):
+                    joined.add(pair)
+                    a.append(int(node[i]))
+                    b.append(int(node[k]))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def contexts_of(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """Stored ``(node, at, h)`` of the wanted ``(node, at)``: 32 bits of each shingle hash around the word."""
+    asks = stored(wanted.groupBy("node").agg(F.sort_array(F.collect_list("at")).alias("ats")), "asks")
+    size = asks.agg(F.sum(F.size("ats") * 8 + 24)).first()[0] or 0
+    texts = docs.select(node_of(text_col).alias("node"), text_bytes(text_col).alias("text"))
+    got = texts.join(F.broadcast(asks) if size <= BROADCAST_BYTES else asks, "node").select("node", "text", "ats")
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _contexts(batches):
+            h = [np.frombuffer(x, np.uint64).astype(np.uint32).tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h, pa.binary())], names=["node", "at", "h"])
+
+    return stored(got.mapInArrow(short, "node long, at long, h binary").dropDuplicates(["node", "at"]), "near")
+
+
+def verified(docs: DataFrame, maybe: DataFrame, text_col: str) -> DataFrame:
+    """``(a, b)`` of the stored pairs ``(a, at_a, b, at_b)`` whose texts are alike around these words."""
     asks = maybe.select(F.col("a").alias("node"), F.col("at_a").alias("at")).unionByName(
         maybe.select(F.col("b").alias("node"), F.col("at_b").alias("at"))).distinct()
     # a text's requests: at most its windows
@@ -381,8 +520,17 @@ def passage_links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     around = stored(got.select("node", "text", "ats").mapInArrow(_contexts, "node long, at long, h binary").dropDuplicates(["node", "at"]), "around")
     pairs = maybe.join(around.select(F.col("node").alias("a"), F.col("at").alias("at_a"), F.col("h").alias("x")), ["a", "at_a"]).join(
         around.select(F.col("node").alias("b"), F.col("at").alias("at_b"), F.col("h").alias("y")), ["b", "at_b"])
-    checked = pairs.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long").distinct()
-    return stored(sure.unionByName(checked), "links")
+    return pairs.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long").distinct()
+
+
+def passage_links(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Stored ``(a, b)``: distinct pairs of texts (hashes) found to share a passage; they span all classes."""
+    alive = shared_windows(docs, text_col)
+    found = stored(candidates(alive).distinct(), "candidates")
+    sure = found.filter(F.col("m") >= SURE).select("a", "b").distinct()
+    maybe = stored(found.filter(F.col("m") < SURE).join(sure, ["a", "b"], "left_anti").select("a", "at_a", "b", "at_b").distinct(), "maybe")
+    links = stored(sure.unionByName(verified(docs, maybe, text_col)), "links")
+    return stored(links.unionByName(apart(docs, alive, links, text_col)), "links")
 
 
 def passage_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

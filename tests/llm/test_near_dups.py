@@ -133,6 +133,29 @@ def test_passages_of_the_table(spark, groups):
             assert got[first.setdefault(b" ".join(words[j:j + 50]), i)] == got[i]
 
 
+@pytest.mark.parametrize("length", [50, 55, 60])
+def test_one_edit_at_each_position(spark, length):
+    """A passage with a word replaced, inserted or dropped anywhere is linked whenever brute force finds it similar."""
+    rng = random.Random(length)
+    texts = {}
+    for at in range(length):
+        for kind in range(3):
+            x = passages(rng, length)
+            y = x[:at] + [["other"], ["other", x[at]], []][kind] + x[at + 1:]
+            for k, own in enumerate((x, y)):
+                texts[6 * at + 2 * kind + k] = (passages(rng, 30) + own + passages(rng, 30)) if at % 2 else own
+
+    def similar(x, y):
+        u, v = ([hash(tuple(w[i:i + 5])) for i in range(len(w) - 4)] for w in (x, y))
+        return any(len(p & q) >= 0.8 * len(p | q) for p in (set(u[i:i + 46]) for i in range(len(u) - 45)) for q in (set(v[j:j + 46]) for j in range(len(v) - 45)))
+
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in substring.passage_classes(docs).collect()}
+    want = {i: i - i % 2 if similar(texts[i - i % 2], texts[i - i % 2 + 1]) else i for i in texts}
+    assert len(set(want.values())) < 0.6 * len(want)
+    assert got == want
+
+
 def test_substring_edges(spark):
     docs = edge.documents(spark)
     got = substring.passage_classes(docs).collect()
