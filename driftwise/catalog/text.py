@@ -168,13 +168,12 @@ def tag_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("item_id", "doc_id", F.col("rank").cast("int").alias("rank"), "overlap", "score")
 
 
-def _centroid_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[object, list[float]]]]:
+def _centroid_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     emb = table(spark, sf_dir, "embeddings")
-    cents = rt.centroids(emb, "label", "embedding").orderBy("label").collect()  # one row per label (bounded, checked)
-    return emb, [(int(r["label"]), list(r["centroid"])) for r in cents]
+    return emb, rt.centroids(emb, "label", "embedding").select(F.col("label").alias("query_id"), F.col("centroid").alias("q"))
 
 
-def _emb_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list]:
+def _emb_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     emb, queries = _centroid_queries(spark, sf_dir)
     res = rt.embedding_topk(emb, "vec_id", "embedding", queries, EMB_K, EMB_MIN_SIM)
     return emb, res, queries
