@@ -118,10 +118,10 @@ def _add(index: CuckooIndex, digest: bytes, keep, n: int, m: int) -> None:
         index.insert([digest, keep, n, m])
         return
     cell[2] += n
-    if cell[1] is None or (keep is not None and keep > cell[1]):
-        cell[1], cell[3] = keep, m
-    elif keep == cell[1]:
+    if keep == cell[1]:
         cell[3] += m
+    elif cell[1] is None or (keep is not None and keep > cell[1]):
+        cell[1], cell[3] = keep, m
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -103,3 +103,11 @@ def test_mixing_edges(spark):
     assert sum(len((r.text or "").encode().split()) for r in mixed.collect()) == sum(r.taken for r in plan)
     assert mixed.count() == sum(r.copies for r in plan)
     assert mixing.mix(edge.none(spark)).collect() == [] == mixing.mixed_documents(edge.none(spark)).collect()
+
+
+def test_copies_without_an_id_keep_one_row(spark):
+    rows = [(None, "same", "a"), (None, "same", "b"), (None, "same", "c"), (None, "with id", "a"), (None, "with id", "b"), (4, "with id", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for parts in (docs, docs.coalesce(1)):
+        kept = exact_dedup.drop_copies(parts).collect()
+        assert sorted((r.text, r.doc_id) for r in kept) == [("same", None), ("with id", 4)]
