@@ -463,19 +463,41 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _compared([pa.Table.from_batches(kept)])
 
 
+def _within(marks: np.ndarray) -> np.ndarray:
+    """Number of marks in each run of LEAST columns."""
+    total = np.zeros((len(marks), marks.shape[1] + 1), np.int16)
+    np.cumsum(marks, axis=1, out=total[:, 1:])
+    return total[:, LEAST:] - total[:, :-LEAST]
+
+
 def _compared(groups: list[pa.Table]) -> pa.RecordBatch:
     a, b = [], []
     for t in groups:
         root, node, asks = t["root"].to_numpy(), t["node"].to_numpy(), t["asks"].to_numpy()
         bits = t["bits"].to_numpy().view(np.uint64)
         h = np.frombuffer(b"".join(t["h"].to_pylist()), np.uint32).reshape(len(root), -1)
-        row = np.sort(h, axis=1)
-        single = ~((row[:, 1:] == row[:, :-1]) & (row[:, 1:] != 0)).any(axis=1)  # no shingle twice
+        order = np.argsort(h, axis=1, kind="stable")
+        row = np.take_along_axis(h, order, 1)
+        again = np.zeros(h.shape, bool)
+        again[:, 1:] = row[:, 1:] == row[:, :-1]
+        again[:, :-1] |= again[:, 1:]
+        lone = np.empty_like(again)  # shingles that the context holds once
+        np.put_along_axis(lone, order, ~again, 1)
+        single = (lone | (h == 0)).all(axis=1)
+        # equal contexts of a class are compared once
+        whole = np.ascontiguousarray(np.c_[h, root.view(np.uint32).reshape(-1, 2)]).view(f"V{4 * h.shape[1] + 8}").ravel()
+        _, same = np.unique(whole, return_inverse=True)
+        first = np.zeros(len(root), bool)
+        first[np.unique(same, return_index=True)[1]] = True
+        asking = np.flatnonzero(asks)
+        asking = asking[np.unique(same[asking], return_index=True)[1]]
         joined: set[tuple[int, int]] = set()
-        for i in np.flatnonzero(asks):
+        for i in asking:
             # each pair once: an unsplit group and the asking rows of a split one meet all rows of greater classes
             j = np.arange(np.searchsorted(root, root[i], "right"), len(root))
-            j = j[(np.bitwise_count(bits[i] & ~bits[j]) < KEYS) & (np.bitwise_count(bits[j] & ~bits[i]) < KEYS)]
+            j = j[first[j] & (np.bitwise_count(bits[i] & ~bits[j]) < KEYS) & (np.bitwise_count(bits[j] & ~bits[i]) < KEYS)]
+            done = [r for q, r in joined if q == root[i]]
+            j = j[~np.isin(root[j], done)] if done else j
             if not len(j):
                 continue
             # without repeats similar passages have at least this many shingles in common, moved by a word at most
@@ -483,7 +505,13 @@ def _compared(groups: list[pa.Table]) -> pa.RecordBatch:
             hits = (y == x) & (x != 0)
             hits[:, 1:] |= (y[:, :-1] == x[1:]) & (x[1:] != 0)
             hits[:, :-1] |= (y[:, 1:] == x[:-1]) & (x[:-1] != 0)
-            j = j[(hits.sum(axis=1) >= COMMON) | ~(single[i] & single[j])]
+            near = _within(hits).max(axis=1) >= COMMON
+            odd = np.flatnonzero(~near & ~(single[i] & single[j]))
+            if len(odd):  # with repeats: shingles of y alone are at most this many, those it holds once among them
+                alien = _within(lone[j[odd]] & ~np.isin(y[odd], x))
+                inside = (y[odd, :-LEAST + 1] != 0) & (y[odd, LEAST - 1:] != 0) & (x[:-LEAST + 1] != 0) & (x[LEAST - 1:] != 0)
+                near[odd] = (inside & (alien <= (1 - SIMILARITY) * LEAST)).any(axis=1)
+            j = j[near]
             for k in j.tolist():
                 pair = (int(root[i]), int(root[k]))
                 if pair not in joined and alike(h[i].astype(np.uint64).tobytes(), h[k].astype(np.uint64).tobytes()):
