@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwise.llm import ann, bpe, exact_dedup, html_extract, langid, mixing, secret_scan, simhash, substring, toxicity
+from driftwise.llm import ann, bpe, conversation, exact_dedup, html_extract, langid, merkle, mixing, quality, secret_scan, simhash, substring, toxicity
 from driftwise.llm.common import table
+from driftwise.llm.conversation_sql import REPAIR_SQL
+from driftwise.llm.merkle_sql import MANIFEST_SQL
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +80,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_mixing, op3_nearest, op4_exact_dedup, op5_secrets, op6_simhash, op7_substring, op8_langid, op9_toxicity, op10_bpe)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents by language, with proofs and the verdict on tampered texts."""
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by zstandard dictionaries, learnt from the labels outside the held-out fifth."""
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage, audit and repair of all conversations by the persistent audit DP."""
+    return conversation.repair(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html, op2_mixing, op3_nearest, op4_exact_dedup, op5_secrets, op6_simhash, op7_substring, op8_langid, op9_toxicity, op10_bpe,
+                                   op11_merkle, op12_quality, op13_conversation)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
@@ -87,6 +105,8 @@ ORACLE_SQL = {
                coalesce(doc_id = max(doc_id) OVER w, false) AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op11_merkle": MANIFEST_SQL,
+    "op13_conversation": REPAIR_SQL,
 }
 
 
