@@ -1,12 +1,16 @@
 """Substring near-dedup with compact windows: passages of 50 words or more that recur in other texts.
 
 Under one hash function the subsequences of a text that share their minimum form a compact window; the windows are the
-nodes of the Cartesian tree over the shingle hashes.  Windows shorter than a passage are left out, so a text of n
-words has about 2 n / 50 windows per function.  Windows of equal minimum meet in a shuffle; each carries hashed blocks
-of the words to its left and right, so the interval that two windows share can be read off by comparing neighbours in
-sorted order.  Long shared intervals are links; short ones are verified on the texts by Jaccard similarity of 5-word
-shingles.  Windows of equal minimum in texts that are still apart meet again by the word pairs beside it, whatever
-their blocks, and are verified in the same way.  Links join texts into classes.
+nodes of the Cartesian tree over the shingle hashes.  Two passages of 50 words that are similar (Jaccard of 5-word shingles
+0.8) differ by one word at most, so they have a run of 25 words, 21 shingles, in common.  For each function the compact windows
+of 21 shingles or more divide all such runs of a text among their minima; an interval join of the divisions of all
+functions gives cells, runs that share the minima of every function.  Equal runs fall into equal cells, so a
+shuffle on (minima, distance) brings all texts together that may be alike, whatever their number.
+
+Texts of a cell are verified by the words themselves, in two steps and without comparing pairs.  Texts that hold the same
+50 words at the same place of a cell are linked first.  What is left are cells in which several classes meet.  Their
+runs are compared as 25 words; for runs that several classes have, all sequences of 49 words that begin or end with the run and skip one
+word are hashed (``sequences``): texts that differ by one word replaced, inserted or dropped have one in common.  Links join texts into classes.
 """
 
 from __future__ import annotations
@@ -22,28 +26,22 @@ from driftwise.llm.common import HOT_SHARE, lookup, shuffle_partitions, stored,
 from driftwise.llm.components import components
 
 SHINGLE, PASSAGE, SIMILARITY = 5, 50, 0.8
-#: Shingles of a shortest passage, and hash functions.
-LEAST, FUNCTIONS = PASSAGE - SHINGLE + 1, 4
-#: Words in a context block; eight blocks of 8 bits on each side of a window's minimum.
-BLOCK, SIDE = 6, 8
-#: Shared blocks (beside the shingle itself) that make a link, and that neighbours in sorted order need for a look at the
-#: texts; pairs with fewer meet by their word pairs.
-SURE, MAYBE = 8, 4
-#: Blocks next to the shingle that windows of a sorted group share on one side.
-NEAR = 3
-#: Words beside the minimum that a shortest passage has on its longer side; those too far from its end for an edit that
-#: costs fewer than 5 shingles; least word pairs of these that are keys: an edit breaks two, so similar passages share one.
-REACH, CLOSE, KEYS = (LEAST + 1) // 2, (LEAST + 1) // 2 - 4, 3
-#: Bits of a word pair's hash in a key; parts that the rows of a very common key are dealt to.
-KEY_BITS, SALTS = 21, 16
-#: Shingles that similar shortest passages without repeats have in common at least.
+#: Shingles of a shortest passage, and that two similar ones without repeats have in common at least.
+LEAST = PASSAGE - SHINGLE + 1
 COMMON = int(np.ceil(2 * LEAST * SIMILARITY / (1 + SIMILARITY)))
-#: Words of a long text handled at once; pieces overlap by a passage.
+#: Words of the longer side of an edit, and the shingles in them: the shortest run that similar passages share.
+SIDE = PASSAGE // 2
+RUN = SIDE - SHINGLE + 1
+#: Hash functions whose minima a cell shares.
+FUNCTIONS = 2
+#: Shortest run of equal words that makes passages similar by itself: it holds COMMON shingles.
+EXACT = COMMON + SHINGLE - 1
+#: Words of a long text handled at once; pieces overlap by two passages.
 PIECE = 1 << 15
+#: Share of the texts that are read to find very common cells, and the least rows of such a cell among them.
+PROBE, PROBE_ROWS = 1 / 64, 100
 #: Bytes of requests for text up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
-#: Share of the rows that are read to find the keys worth splitting, and the least rows of such a key among them.
-PROBE, PROBE_ROWS = 1 / 64, 100
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
@@ -87,6 +85,11 @@ class Words:
         a, z = self.first[:self.n - k + 1], self.end[k - 1:]
         return _mix((self.sums[z] - self.sums[a]) * self.inverse[a])
 
+    def between(self, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Hash of the words [a, z), one at least."""
+        a, z = self.first[a], self.end[z - 1]
+        return _mix((self.sums[z] - self.sums[a]) * self.inverse[a])
+
 
 def compact_windows(h: np.ndarray, least: int) -> np.ndarray:
     """Positions of the minima of all compact windows of at least ``least`` elements."""
@@ -107,216 +110,245 @@ def bounded_windows(h: np.ndarray, least: int) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 3)
 
 
-def _side(blocks: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
-    """Eight block hashes from word ``at`` on in steps, nearest in the highest byte; 0 beyond the text."""
-    pad = SIDE * BLOCK + SHINGLE
-    padded = np.zeros(len(blocks) + 3 * pad, np.uint8)
-    padded[pad:pad + len(blocks)] = blocks
-    return padded[at[:, None] + pad + step * np.arange(SIDE)].view(">u8").ravel().astype(np.uint64)
-
+def starts_of(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(first, minimum)``: from run ``first`` on (up to the next one) runs of RUN shingles have this minimum.
 
-def _pair_keys(pairs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word pairs among the CLOSE words from word ``at`` on: the KEYS least different hashes, packed in one number,
-    and a bit for each pair in a map of 64."""
-    none = (1 << KEY_BITS) - 1
-    if not len(at):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    near = np.sort(pairs[at[:, None] + np.arange(CLOSE - 1)], axis=1)
-    bits = np.bitwise_or.reduce(np.uint64(1) << (near & 63).astype(np.uint64), axis=1)
-    near[:, 1:][near[:, 1:] == near[:, :-1]] = none
-    near = np.sort(near, axis=1)[:, :KEYS].astype(np.uint64)
-    return sum((near[:, j] << np.uint64(KEY_BITS * j) for j in range(1, KEYS)), near[:, 0]), bits
+    A compact window (minimum c, start a, end z) has the runs from max(a, c - RUN + 1) to min(c, z - RUN); every run has
+    one minimum, so the windows of a function divide the runs of a text.
+    """
+    c, a = windows[:, 0], windows[:, 1]
+    first = np.maximum(a, c - RUN + 1)
+    order = np.argsort(first)
+    return first[order], c[order]
 
 
-def text_windows(text: bytes) -> tuple[np.ndarray, ...]:
-    """``sig, at, right, left, rkeys, lkeys, rbits, lbits`` of all windows of a text; ``at`` is the word where the minimal shingle starts.
+def cells_of(h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``key, at, first, end`` of the cells of a text with shingle hashes ``h``: interval join of the runs of all functions.
 
-    The last four are the word pairs on a side where the window reaches far enough to hold the longer side of a
-    passage, else -1.
+    ``at`` is the minimum of the first function, [first, end) the runs of the cell.
     """
+    hashes = _mix(h ^ _SEEDS[:FUNCTIONS, None])
+    parts = [starts_of(bounded_windows(x, RUN)) for x in hashes]
+    first = np.unique(np.concatenate([p[0] for p in parts]))
+    minima = [c[np.searchsorted(begin, first, "right") - 1] for begin, c in parts]
+    key = hashes[0][minima[0]]
+    for x, c in zip(hashes[1:], minima[1:]):
+        key = _mix(key * _BASE + x[c] + (c - minima[0]).astype(np.uint64))
+    return key, minima[0], first, np.r_[first[1:], len(h) - RUN + 1]
+
+
+def pieces_of(text: bytes) -> Iterator[tuple[int, Words]]:
+    """``(first word, words)`` of a text of PASSAGE words or more, in pieces that overlap by two passages."""
     words = text.lower().split()
-    got = []
-    for start in range(0, max(1, len(words) - PASSAGE + 1), PIECE):
-        piece = words[start:start + PIECE + PASSAGE - 1]
-        if len(piece) < PASSAGE:
-            break
-        own = Words(piece)
-        shingles = own.runs(SHINGLE)
-        blocks = (own.runs(BLOCK) >> np.uint64(40)) % np.uint64(255) + np.uint64(1)
-        hashes = _mix(shingles ^ _SEEDS[:FUNCTIONS, None])
-        windows = [bounded_windows(h, LEAST) for h in hashes]
-        c, a, z = np.concatenate(windows).T
-        sig = np.concatenate([h[w[:, 0]] for h, w in zip(hashes, windows)])
-        pairs = (own.runs(2) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
-        keys = [np.full(len(c), ~np.uint64(0)) for _ in range(4)]
-        for k, far, first in ((0, z - 1 - c, c + SHINGLE), (1, c - a, c - CLOSE)):
-            keys[k][far >= REACH], keys[k + 2][far >= REACH] = _pair_keys(pairs, first[far >= REACH])
-        got.append((sig, c + start, _side(blocks, c + SHINGLE, BLOCK), _side(blocks, c - BLOCK, -BLOCK), *keys))
-    if not got:
-        return tuple(np.empty(0, d) for d in (np.uint64, np.int64, *[np.uint64] * 6))
-    return tuple(np.concatenate([g[i] for g in got]) for i in range(8))
-
-
-_COLUMNS = ["sig", "node", "at", "right", "left", "rkeys", "lkeys", "rbits", "lbits"]
-_WINDOW = ", ".join(f"{c} long" for c in _COLUMNS)
-
-
-def _batch(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.uint64).view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns],
-                                      names=_COLUMNS)
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for start in range(0, max(1, len(words) - 2 * PASSAGE), PIECE):
+        piece = words[start:start + PIECE + 2 * PASSAGE]
+        if len(piece) >= PASSAGE:
+            yield start, Words(piece)
+
+
+def _longs(names: list[str], columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.uint64).view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns], names=names)
+
+
+def _gathered(names: list[str], parts: Iterator[tuple[np.ndarray, ...]], most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+    for part in parts:
+        rows.append(part)
+        size += len(part[0])
+        if size > most:
+            yield _longs(names, (np.concatenate([r[i] for r in rows]) for i in range(len(names))))
+            rows, size = [], 0
+    if size:
+        yield _longs(names, (np.concatenate([r[i] for r in rows]) for i in range(len(names))))
+
+
+#: ``wide``: 56 bits of a hash of all words that the runs of a cell reach, over 8 bits of the number of runs; 0 near an end of a text.
+_CELL = ["key", "node", "first", "wide", "same"]
+_CELLS = ", ".join(f"{c} long" for c in _CELL)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of texts; ``same`` is the hash of the 50 words around the minimum (of those nearest to it at an end of the text)."""
     done: set[int] = set()
-    for batch in batches:
-        rows, size = [], 0
-        for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if node in done:  # a copy in the same task; copies in other tasks fall together later
-                continue
-            if len(done) >= 500_000:
-                done.clear()
-            done.add(node)
-            sig, *rest = text_windows(text.as_py())
-            rows.append((sig, np.full(len(sig), node), *rest))
-            size += len(sig)
-            if size > 100_000:
-                yield _batch(*(np.concatenate([r[i] for r in rows]) for i in range(len(_COLUMNS))))
-                rows, size = [], 0
-        if size:
-            yield _batch(*(np.concatenate([r[i] for r in rows]) for i in range(len(_COLUMNS))))
+
+    def parts() -> Iterator[tuple[np.ndarray, ...]]:
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if node in done:  # a copy in the same task; copies in other tasks make equal rows
+                    continue
+                if len(done) >= 500_000:
+                    done.clear()
+                done.add(node)
+                for start, own in pieces_of(text.as_py()):
+                    key, at, first, end = cells_of(own.runs(SHINGLE))
+                    around = own.runs(PASSAGE)
+                    same = around[np.clip(at - (PASSAGE - SHINGLE) // 2, 0, len(around) - 1)]
+                    # a run of the cell starts RUN - 1 shingles before its minimum at most and is looked at with SIDE words on both sides
+                    back, reach = SIDE + RUN - 1, SIDE + RUN - 1 + PASSAGE
+                    far = own.runs(reach)
+                    inside = (at >= back) & (at - back < len(far))
+                    wide = np.zeros(len(at), np.uint64)
+                    wide[inside] = (_mix(far[at[inside] - back]) << np.uint64(8)) >> np.uint64(1)  # no sign
+                    wide = (wide >> np.uint64(8) << np.uint64(8)) | (end - first).astype(np.uint64)
+                    yield key, np.full(len(key), node), first + start, wide, same
+
+    return _gathered(_CELL, parts())
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by sig and node: those whose sig occurs in more than one text, or is split over tasks (``hot``), without repeats.
+    """Of rows sorted by key and node: those whose key more than one text has, or that are dealt by text (``hot``), without repeats.
 
-    A run that reaches over batches is known by its first row, which waits until a second text comes or the run ends.
+    The last key of a batch waits for the next one; once a second text is seen, its rows go out as they come.
     """
-    last = None  # (first row of the open run, whether it has gone out, last (node, at) of it)
+    held, open_ = None, None  # columns of the key that is not known yet; key known to be shared
     for batch in batches:
-        *cols, hot = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        sig, node, at = cols[:3]
-        n = len(sig)
-        if not n:
-            continue
-        starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        sizes = np.diff(np.r_[starts, n])
-        many = (np.minimum.reduceat(node, starts) != np.maximum.reduceat(node, starts)) | hot[starts]
-        extra = []
-        if last is not None:
-            row, held = last
-            if row[0] == sig[0]:
-                mixed = many[0] or node[0] != row[1] or not held
-                if mixed and held:
-                    extra = held
-                    held = []
-                many[0] = mixed
-            held_on = held if row[0] == sig[0] else []
-        else:
-            held_on = []
-        keep = np.repeat(many, sizes)
-        # a window in the overlap of two pieces may reach further in one of them: only whole rows are repeats
-        fresh = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols])]
-        keep &= fresh
-        out = [c[keep] for c in cols]
-        if extra:
-            old = [np.array([r[i] for r in extra], np.int64) for i in range(len(cols))]
-            out = [np.r_[a, b] for a, b in zip(old, out)]
-        if len(out[0]):
-            yield _batch(*out)
-        a = starts[-1]
-        if many[-1]:
-            held = []
-        else:
-            held = [tuple(int(c[i]) for c in cols) for i in range(a, n) if fresh[i]]
-            if len(starts) == 1 and held_on:
-                held = held_on + held
-        last = ((int(sig[a]), int(node[a])), held)
-
-
-def _blocks_alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Equal blocks from the nearest on (blocks beyond a text are none)."""
-    x, y = x.view(np.uint64), y.view(np.uint64)
-    alike = np.ones(len(x), bool)
-    n = np.zeros(len(x), np.int64)
-    for j in range(SIDE):
-        shift = np.uint64(56 - 8 * j)
-        a = (x >> shift) & np.uint64(255)
-        alike &= (a == (y >> shift) & np.uint64(255)) & (a != 0)
-        n += alike
-    return n
-
-
-_LINK = "a long, at_a long, b long, at_b long, m long"
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare each row with the next one of its group (sorted rows: group, node, at, right, left)."""
-    tail = None
-    for batch in batches:
-        cols = [c.to_numpy() for c in batch.columns]
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            cols = [np.r_[x, y] for x, y in zip(held, cols)]
         if not len(cols[0]):
             continue
-        if tail is not None:
-            cols = [np.r_[t, c] for t, c in zip(tail, cols)]
-        tail = [c[-1:] for c in cols]
-        yield _links(cols)
+        key, node = cols[:2]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        many = np.minimum.reduceat(node, starts) != np.maximum.reduceat(node, starts)
+        many |= cols[-1][starts] | (key[starts] == open_ if open_ is not None else False)
+        fresh = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols])]
+        keep = np.repeat(many, np.diff(np.r_[starts, len(key)])) & fresh
+        open_, held = (key[-1], None) if many[-1] else (None, [c[starts[-1]:][fresh[starts[-1]:]] for c in cols])
+        if keep.any():
+            yield _longs(_CELL, [c[keep] for c in cols[:-1]])
 
 
-def _links(cols: list[np.ndarray]) -> pa.RecordBatch:
-    g, node, at, right, left = cols
-    i = np.flatnonzero((g[1:] == g[:-1]) & (node[1:] != node[:-1]))
-    m = _blocks_alike(right[i], right[i + 1]) + _blocks_alike(left[i], left[i + 1])
-    i, m = i[m >= MAYBE], m[m >= MAYBE]
-    swap = node[i] > node[i + 1]
-    p, q = np.where(swap, i + 1, i), np.where(swap, i, i + 1)
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (node[p], at[p], node[q], at[q], m)], names=["a", "at_a", "b", "at_b", "m"])
+def hot_cells(texts: DataFrame) -> DataFrame:
+    """``key, hot`` of cells with a HOT_SHARE of the rows of a probe: at most 1 / HOT_SHARE of them, so they can be broadcast."""
+    counts = stored(texts.sample(PROBE, seed=7).mapInArrow(_cells, _CELLS).groupBy("key").agg(F.count(F.lit(1)).alias("n")), "probe")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.filter(F.col("n") >= max(PROBE_ROWS, total * HOT_SHARE)).select("key", F.lit(True).alias("hot"))
 
 
-_ROW = "g long, node long, at long, right long, left long"
+def _ranges(starts: list[int], ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers in the ranges, ascending, and nothing beside them."""
+    marks = np.unique(np.concatenate([np.arange(a, z) for a, z in zip(starts, ends)]))
+    return marks, np.zeros(len(marks), np.int64)
 
 
-def _with_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``_neighbours`` of one range of a split group; its first and last row follow, without a link, in ``_ROW``."""
-    first, last = None, None
+def _marked(firsts: list[int], marks: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers, ascending, and the marks beside them."""
+    order = np.argsort(firsts)
+    return np.array(firsts)[order], np.array(marks)[order]
+
+
+def _asked(batches: Iterator[pa.RecordBatch], read) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, Words]]:
+    """``(node, root, first word, runs in the piece, marks, words)`` of the pieces of texts in which runs are asked for."""
+    for batch in batches:
+        for node, root, text, starts, ends in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            wanted, marks = read(starts, ends)
+            for start, own in pieces_of(text.as_py()):
+                here = (wanted >= start) & (wanted + SIDE <= start + own.n)
+                if here.any():
+                    yield node, root, start, wanted[here] - start, marks[here], own
 
-    def seen() -> Iterator[pa.RecordBatch]:
-        nonlocal first, last
-        for batch in batches:
-            if batch.num_rows:
-                first = first or batch.slice(0, 1).to_pylist()
-                last = batch.slice(batch.num_rows - 1).to_pylist()
-                yield batch
 
-    schema = pa.schema([(n, pa.int64()) for n in ("a", "at_a", "b", "at_b", "m", "g", "node", "at", "right", "left")])
-    for links in _neighbours(seen()):
-        none = pa.nulls(links.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([*links.columns, *[none] * 5], schema=schema)
-    if first:
-        yield pa.RecordBatch.from_pylist(first + last, schema=schema)
+_HALVES = ["r1", "r2", "r3", "l1", "l2", "l3"]
+_RUN = ["run", "node", "root", "first", "around", *_HALVES]
 
 
-def neighbour_links(keyed: DataFrame, hot: DataFrame | None, order: list[str | Column]) -> DataFrame:
-    """Links between neighbours of the groups ``g`` of ``keyed`` (``_ROW``) in ``order``, whose last columns are unique.
+def halves(own: Words, at: np.ndarray, run: np.ndarray) -> list[np.ndarray]:
+    """Of the words beside a run: if texts have an equal one of ``sequences`` that begins (ends) with it, one of the first (last) three is equal.
 
-    ``hot`` groups are cut into ranges of the order; the ends of the ranges are compared after that (two rows a
-    partition), so a split group gives the links of an unsplit one.
+    The 24 words beyond the run that are equal are first equal up to the edit: an edit in the second half leaves the
+    nearer 12 words, one in the first half the farther 11, one word farther where a word is skipped.  Beyond a text: 0.
     """
-    parts = shuffle_partitions(keyed.sparkSession)
-    if hot is None:
-        return keyed.repartition(parts, "g").sortWithinPartitions("g", *order).mapInArrow(_neighbours, _LINK)
-    rest = keyed.join(F.broadcast(hot), "g", "left_anti").repartition(parts, "g").sortWithinPartitions("g", *order)
-    split = keyed.join(F.broadcast(hot), "g", "left_semi").repartitionByRange(parts, "g", *order).sortWithinPartitions("g", *order)
-    found = stored(split.mapInArrow(_with_ends, f"{_LINK}, {_ROW}"), "ranges")
-    ends = found.filter("a is null").select("g", "node", "at", "right", "left").repartition(1).sortWithinPartitions("g", *order)
-    inner = found.filter("a is not null").select("a", "at_a", "b", "at_b", "m")
-    return rest.mapInArrow(_neighbours, _LINK).unionByName(inner).unionByName(ends.mapInArrow(_neighbours, _LINK))
-
-
-def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """Keys with a HOT_SHARE of ``rows``: at most 1 / HOT_SHARE of them, so they can be broadcast."""
-    counts = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.filter(F.col("n") >= max(PROBE_ROWS, total * HOT_SHARE)).select(key)
+    half, rest = (SIDE - 1) // 2, SIDE - 2 - (SIDE - 1) // 2
+    out = []
+    for k, (first, length) in enumerate((
+            (SIDE, half), (SIDE + half + 1, rest), (SIDE + half + 2, rest),
+            (-half, half), (-half - 1 - rest, rest), (-half - 2 - rest, rest))):
+        words = own.runs(length)
+        place = at + first
+        inside = (place >= 0) & (place < len(words))
+        x = _mix(run * _BASE + words[np.where(inside, place, 0)] + np.uint64(min(k % 3, 1) + 2 * (k // 3)))
+        out.append(np.where(inside, x, np.uint64(0)))
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash of the SIDE words from each asked run on, of all words that ``sequences`` looks at, and its ``halves``."""
+    def parts() -> Iterator[tuple[np.ndarray, ...]]:
+        for node, root, start, here, _, own in _asked(batches, _ranges):
+            run = own.runs(SIDE)[here]
+            a, z = np.maximum(here - SIDE, 0), np.minimum(here + PASSAGE, own.n)
+            around = _mix(own.between(a, z) + (z - a).astype(np.uint64) + (here - a).astype(np.uint64) * _BASE)
+            yield run, np.full(len(here), node), np.full(len(here), root), here + start, around, *halves(own, here, run)
+
+    return _gathered(_RUN, parts())
+
+
+def repeats(h: np.ndarray) -> np.ndarray:
+    """For each passage of a text: its shingles that stand earlier in it."""
+    order = np.argsort(h, kind="stable")
+    before = np.full(len(h), -len(h) - PASSAGE)
+    again = h[order[1:]] == h[order[:-1]]
+    before[order[1:][again]] = order[:-1][again]
+    near = np.r_[0, np.cumsum(np.arange(len(h)) - before < LEAST)]
+    return near[LEAST:] - near[:-LEAST]
+
+
+def sequences(own: Words, at: np.ndarray, marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``key, plain`` for runs of SIDE words at ``at``: texts are alike if they have a key in common, plain in one of them.
+
+    Plain keys are PASSAGE equal words; EXACT equal words (they hold COMMON shingles, 5 or fewer stand beside them on each
+    side); PASSAGE words that begin or end with the run, but for the word at one place; and PASSAGE - 1 words of that kind
+    that are all there.  The last ones meet the keys that are not plain: PASSAGE words without the one at a place.  So two texts differ
+    by one word, and COMMON shingles or more are equal.  Where shingles repeat, a passage counts by its equal
+    words alone only if two or more of its shingles stand in it before; so every link has the Jaccard similarity.
+
+    ``marks`` are the bits of the ``halves`` that other texts have, by which only some places come into question.
+    """
+    marks = np.full(len(at), 63) if marks is None else marks
+    words = own.runs(1)
+    power, inverse = _powers(len(words) + 1)
+    sums = np.r_[np.uint64(0), np.cumsum(words * power[:len(words)])]
+    plain = np.r_[repeats(own.runs(SHINGLE)) <= 1, np.zeros(1, bool)]  # by the first word of a passage
+    half, last = (SIDE - 1) // 2, own.n - PASSAGE
+    out: list[tuple[np.ndarray, bool]] = []
+
+    def full(first: np.ndarray, length: int, kind: int) -> None:
+        out.append((_mix((sums[first + length] - sums[first]) * inverse[first] + np.uint64(kind)), True))
+
+    def skipping(first: np.ndarray, place: np.ndarray) -> None:
+        """PASSAGE words from ``first`` on without the one at ``place`` of them."""
+        first = first[(first >= 0) & (first <= last)]
+        first = first[plain[first], None]
+        gap = first + place
+        key = (sums[gap] - sums[first]) * inverse[first] + (sums[first + PASSAGE] - sums[gap + 1]) * inverse[first + 1]
+        out.append((_mix(key + np.uint64(3)).ravel(), False))
+        out.append((_mix(_mix(key) + place.astype(np.uint64) + np.uint64(4)).ravel(), True))
+
+    def has(*bits: int) -> np.ndarray:
+        return at[(marks & sum(1 << b for b in bits)) != 0]
+
+    near = has(0)
+    full(near[near <= last], PASSAGE, 1)
+    near = near[near + EXACT <= own.n]
+    full(near[plain[np.minimum(near, last)]], EXACT, 2)
+    skipping(has(0), SIDE + np.arange(half, SIDE))
+    skipping(has(2), SIDE + np.arange(half))
+    skipping(has(3) + SIDE - PASSAGE, np.arange(SIDE - half))
+    skipping(has(5) + SIDE - PASSAGE, np.arange(SIDE - half, SIDE))
+    whole = np.r_[has(0, 1), has(3, 4) + SIDE - PASSAGE + 1]
+    whole = whole[(whole >= 0) & (whole + PASSAGE - 1 <= own.n)]
+    full(whole[plain[np.minimum(whole, last)]], PASSAGE - 1, 3)
+    return np.concatenate([k for k, _ in out]), np.concatenate([np.full(len(k), p) for k, p in out])
+
+
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts() -> Iterator[tuple[np.ndarray, ...]]:
+        for _, root, _, here, marks, own in _asked(batches, _marked):
+            for i in range(0, len(here), 1024):
+                key, plain = sequences(own, here[i:i + 1024], marks[i:i + 1024])
+                yield key, np.full(len(key), root), plain
+
+    return _gathered(["seq", "root", "plain"], parts())
 
 
 def node_of(text_col: str) -> Column:
@@ -324,241 +356,61 @@ def node_of(text_col: str) -> Column:
     return F.xxhash64(text_bytes(text_col))
 
 
-def shared_windows(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Stored ``_WINDOW`` rows of the signatures that more than one text has."""
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    texts = docs.select(node_of(text_col).alias("node"), text_bytes(text_col).alias("text"))
-    windows = texts.mapInArrow(_windows, _WINDOW)
-    # a probe names the signatures of very common passages; their rows are dealt by text, so no task gets them all
-    hot = hot_keys(texts.sample(PROBE, seed=7).mapInArrow(_windows, _WINDOW), "sig").withColumn("hot", F.lit(True))
-    dealt = windows.join(F.broadcast(hot), "sig", "left").select(*_COLUMNS, F.coalesce("hot", F.lit(False)).alias("hot"))
-    dealt = dealt.repartition(parts, "sig", F.when(F.col("hot"), F.col("node")))
-    return stored(dealt.sortWithinPartitions("sig", "node", "at").mapInArrow(_shared, _WINDOW), "windows")
-
-
-def candidates(alive: DataFrame) -> DataFrame:
-    """``(a, at_a, b, at_b, m)``: neighbouring windows of different texts that share m >= MAYBE blocks beside their shingle."""
-    # windows of equal context link to one of them; so a passage in very many texts is one row from here on
-    context = ["sig", "right", "left"]
-    one = stored(alive.groupBy(*context).agg(F.min(F.struct("node", "at")).alias("rep"), F.count(F.lit(1)).alias("n")), "contexts")
-    star = lookup(alive, one.filter("n > 1").select(*context, "rep", "n"), context, "n", alive.count()).filter("node <> rep.node")
-    blocks = sum(((F.shiftrightunsigned(F.col(side), 8 * j).bitwiseAND(F.lit(255)) != 0).cast("long") for side in ("right", "left") for j in range(SIDE)), F.lit(0).cast("long"))
-    links = star.select(F.col("rep.node").alias("a"), F.col("rep.at").alias("at_a"), F.col("node").alias("b"), F.col("at").alias("at_b"), blocks.alias("m")).filter(F.col("m") >= MAYBE)
-    rows = one.select("sig", F.col("rep.node").alias("node"), F.col("rep.at").alias("at"), "right", "left")
-    for near, far in (("right", "left"), ("left", "right")):
-        top = F.shiftrightunsigned(F.col(near), 8 * (SIDE - NEAR))
-        keyed = rows.withColumn("g", F.xxhash64("sig", top, F.lit(near))).select("g", "node", "at", "right", "left")
-        hot = hot_keys(keyed.sample(PROBE, seed=7), "g")
-        hot = None if hot.isEmpty() else hot
-        # unsigned order of the blocks: flip the sign bit
-        order = {s: F.col(s).bitwiseXOR(F.lit(-(2**63)).cast("long")) for s in (near, far)}
-        for first, second in ((near, far), (far, near)):
-            links = links.unionByName(neighbour_links(keyed, hot, [order[first], order[second], "node", "at"]))
-    return links
-
-
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle hashes around each requested word of a text; 0 beyond the text."""
-    pad = LEAST - 1
-    for batch in batches:
-        nodes, ats, out = [], [], []
-        for node, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            words = text.as_py().lower().split()
-            for lo in range(0, len(words), PIECE):  # long texts in pieces with a margin on both sides
-                own = [at for at in wanted if lo <= at < lo + PIECE]
-                if not own:
-                    continue
-                first = max(0, lo - pad)
-                h = Words(words[first:lo + PIECE + pad + SHINGLE]).runs(SHINGLE)
-                padded = np.zeros(len(h) + 2 * pad, np.uint64)
-                padded[pad:pad + len(h)] = h
-                for at in own:
-                    nodes.append(node)
-                    ats.append(at)
-                    out.append(padded[at - first:at - first + 2 * pad + 1].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(ats, pa.int64()), pa.array(out, pa.binary())], names=["node", "at", "h"])
-
-
-def alike(x: bytes, y: bytes) -> bool:
-    """Whether passages of PASSAGE words around the shared shingle, at equal offsets, reach the Jaccard similarity."""
-    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    u, v = p.tolist(), q.tolist()
-    both = (p == q) & (p != 0)
-    if np.convolve(both, np.ones(LEAST, np.int64), "valid").max() == LEAST:
-        return True  # the same words
-    common = set(u) & set(v)
-    shared_p, shared_q = (np.cumsum([0, *(k in common for k in w)]) for w in (u, v))
-    for s in range(LEAST):
-        if not (u[s] and u[s + LEAST - 1] and v[s] and v[s + LEAST - 1]):  # beyond a text
-            continue
-        if shared_p[s + LEAST] - shared_p[s] < LEAST // 2 and shared_q[s + LEAST] - shared_q[s] < LEAST // 2 and \
-                len(set(u[s:s + LEAST])) == LEAST:  # without repeats, too few can be common
-            continue
-        a, b = set(u[s:s + LEAST]), set(v[s:s + LEAST])
-        if len(a & b) >= SIMILARITY * len(a | b):
-            return True
-    return False
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = pa.array([alike(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
+def meeting(rows: DataFrame, key: str, who: str, name: str) -> DataFrame:
+    """Stored ``key, n, least`` of the keys on which several ``who`` meet."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(who).alias("least"), F.max(who).alias("__most"))
+    return stored(counts.filter(F.col("least") < F.col("__most")).drop("__most"), name)
 
-def apart(docs: DataFrame, alive: DataFrame, links: DataFrame, text_col: str) -> DataFrame:
-    """``(a, b)``: texts that ``links`` leave apart with alike windows of equal minimum; all that can be alike are compared.
 
-    If two windows hold similar passages at equal offsets, the longer side of these is the same but for one edit (they
-    have 5 shingles each besides the common ones at most): one of the KEYS least word pairs among the CLOSE words there
-    is common, and KEYS - 1 pairs of each text at most are not in the other.
-    """
-    roots = stored(components(links), "roots")
-    degree = alive.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    facts = stored(degree.join(roots.withColumnRenamed("v", "node"), "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")), "facts")
-    rooted = lookup(alive, facts, ["node"], "n", alive.count())
-    none = (1 << KEY_BITS) - 1
-    keys = F.array(*[
-        F.when(F.col(side) != -1, F.struct(F.lit(side).alias("side"), F.col(bits).alias("bits"), F.shiftrightunsigned(side, KEY_BITS * j).bitwiseAND(F.lit(none)).alias("pair")))
-        for side, bits in (("rkeys", "rbits"), ("lkeys", "lbits")) for j in range(KEYS)])
-    keyed = rooted.select("sig", "node", "at", "right", "left", "root", F.explode(keys).alias("k")).filter(F.col("k").isNotNull() & (F.col("k.pair") != none))
-    # windows of equal context in one class: one of them, if no word beyond the last whole block can tell them apart
-    whole = (F.col("right").bitwiseAND(255) != 0) & (F.col("left").bitwiseAND(255) != 0)
-    own = F.when(~whole, F.struct("node", "at")).alias("own")
-    rows = keyed.groupBy(F.xxhash64("sig", "k.side", "k.pair").alias("key"), "root", "right", "left", own).agg(
-        F.min(F.struct("node", "at", "k.bits")).alias("w"))
-    rows = stored(rows.select("key", "root", "w.*"), "keys")
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r"), F.max("root").alias("s"))
-    counts = stored(counts.filter("n > 1"), "counts")
-    least = max(PROBE_ROWS, int(rows.count() * HOT_SHARE))
-    # keys of a HOT_SHARE of the rows are broadcast; those of one class go out before the shuffle
-    hot = counts.filter(F.col("n") >= least).select("key", (F.col("r") < F.col("s")).alias("open"))
-    marked = rows.join(F.broadcast(hot), "key", "left")
-    rest = marked.filter("open is null").join(counts.filter("r < s").select("key"), "key", "left_semi").select("key", F.lit(0).alias("salt"), "root", "node", "at", "bits")
-    common = marked.filter("open").select("key", "root", "node", "at", "bits")
-    part = F.pmod(F.xxhash64("node", "at"), F.lit(SALTS)).cast("int")
-    common = common.withColumn("own", part).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = rest.withColumn("asks", F.lit(True)).unionByName(common.withColumn("asks", F.col("own") == F.col("salt")).drop("own"))
-    dealt = stored(dealt.select("key", "salt", "asks", "root", "node", "at", "bits"), "dealt")
-    around = contexts_of(docs, dealt.select("node", "at").distinct(), text_col)
-    full = dealt.join(around, ["node", "at"]).select("key", "salt", "asks", "root", "node", "bits", "h")
-    parts = shuffle_partitions(docs.sparkSession)
-    return full.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "root", "node").mapInArrow(_compare, "a long, b long").distinct()
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Alike pairs of different classes among the rows of each key and salt (sorted); a group waits until it is whole."""
-    kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([*kept, batch])
-        key, salt = t["key"].to_numpy(), t["salt"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
-        if len(starts) > 1:
-            yield _compared([t.slice(x, y - x) for x, y in zip(starts, starts[1:])])
-        kept = t.slice(starts[-1]).to_batches()
-    if kept:
-        yield _compared([pa.Table.from_batches(kept)])
-
-
-def _within(marks: np.ndarray) -> np.ndarray:
-    """Number of marks in each run of LEAST columns."""
-    total = np.zeros((len(marks), marks.shape[1] + 1), np.int16)
-    np.cumsum(marks, axis=1, out=total[:, 1:])
-    return total[:, LEAST:] - total[:, :-LEAST]
-
-
-def _compared(groups: list[pa.Table]) -> pa.RecordBatch:
-    a, b = [], []
-    for t in groups:
-        root, node, asks = t["root"].to_numpy(), t["node"].to_numpy(), t["asks"].to_numpy()
-        bits = t["bits"].to_numpy().view(np.uint64)
-        h = np.frombuffer(b"".join(t["h"].to_pylist()), np.uint32).reshape(len(root), -1)
-        order = np.argsort(h, axis=1, kind="stable")
-        row = np.take_along_axis(h, order, 1)
-        again = np.zeros(h.shape, bool)
-        again[:, 1:] = row[:, 1:] == row[:, :-1]
-        again[:, :-1] |= again[:, 1:]
-        lone = np.empty_like(again)  # shingles that the context holds once
-        np.put_along_axis(lone, order, ~again, 1)
-        single = (lone | (h == 0)).all(axis=1)
-        # equal contexts of a class are compared once
-        whole = np.ascontiguousarray(np.c_[h, root.view(np.uint32).reshape(-1, 2)]).view(f"V{4 * h.shape[1] + 8}").ravel()
-        _, same = np.unique(whole, return_inverse=True)
-        first = np.zeros(len(root), bool)
-        first[np.unique(same, return_index=True)[1]] = True
-        asking = np.flatnonzero(asks)
-        asking = asking[np.unique(same[asking], return_index=True)[1]]
-        joined: set[tuple[int, int]] = set()
-        for i in asking:
-            # each pair once: an unsplit group and the asking rows of a split one meet all rows of greater classes
-            j = np.arange(np.searchsorted(root, root[i], "right"), len(root))
-            j = j[first[j] & (np.bitwise_count(bits[i] & ~bits[j]) < KEYS) & (np.bitwise_count(bits[j] & ~bits[i]) < KEYS)]
-            done = [r for q, r in joined if q == root[i]]
-            j = j[~np.isin(root[j], done)] if done else j
-            if not len(j):
-                continue
-            # without repeats similar passages have at least this many shingles in common, moved by a word at most
-            x, y = h[i], h[j]
-            hits = (y == x) & (x != 0)
-            hits[:, 1:] |= (y[:, :-1] == x[1:]) & (x[1:] != 0)
-            hits[:, :-1] |= (y[:, 1:] == x[:-1]) & (x[:-1] != 0)
-            near = _within(hits).max(axis=1) >= COMMON
-            odd = np.flatnonzero(~near & ~(single[i] & single[j]))
-            if len(odd):  # with repeats: shingles of y alone are at most this many, those it holds once among them
-                alien = _within(lone[j[odd]] & ~np.isin(y[odd], x))
-                inside = (y[odd, :-LEAST + 1] != 0) & (y[odd, LEAST - 1:] != 0) & (x[:-LEAST + 1] != 0) & (x[LEAST - 1:] != 0)
-                near[odd] = (inside & (alien <= (1 - SIMILARITY) * LEAST)).any(axis=1)
-            j = j[near]
-            for k in j.tolist():
-                pair = (int(root[i]), int(root[k]))
-                if pair not in joined and alike(h[i].astype(np.uint64).tobytes(), h[k].astype(np.uint64).tobytes()):
-                    joined.add(pair)
-                    a.append(int(node[i]))
-                    b.append(int(node[k]))
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def contexts_of(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
-    """Stored ``(node, at, h)`` of the wanted ``(node, at)``: 32 bits of each shingle hash around the word."""
-    asks = stored(wanted.groupBy("node").agg(F.sort_array(F.collect_list("at")).alias("ats")), "asks")
-    size = asks.agg(F.sum(F.size("ats") * 8 + 24)).first()[0] or 0
+def _with_texts(docs: DataFrame, asks: DataFrame, text_col: str) -> DataFrame:
+    """``node, root, text, starts, ends`` for the asked ranges ``(node, root, first, end)``; a text's ranges are at most its words."""
+    asks = stored(asks.groupBy("node", "root").agg(F.collect_list("first").alias("starts"), F.collect_list("end").alias("ends")), "asks")
+    size = asks.agg(F.sum(F.size("starts") * 16 + 48)).first()[0] or 0
     texts = docs.select(node_of(text_col).alias("node"), text_bytes(text_col).alias("text"))
-    got = texts.join(F.broadcast(asks) if size <= BROADCAST_BYTES else asks, "node").select("node", "text", "ats")
-
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _contexts(batches):
-            h = [np.frombuffer(x, np.uint64).astype(np.uint32).tobytes() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h, pa.binary())], names=["node", "at", "h"])
-
-    return stored(got.mapInArrow(short, "node long, at long, h binary").dropDuplicates(["node", "at"]), "near")
+    if size <= BROADCAST_BYTES:
+        return texts.join(F.broadcast(asks), "node").select("node", "root", "text", "starts", "ends")
+    # one copy of a text: the copies of a very common one are as many rows of one key
+    once = texts.join(asks.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    return once.join(asks, "node").select("node", "root", "text", "starts", "ends")
 
 
-def verified(docs: DataFrame, maybe: DataFrame, text_col: str) -> DataFrame:
-    """``(a, b)`` of the stored pairs ``(a, at_a, b, at_b)`` whose texts are alike around these words."""
-    asks = maybe.select(F.col("a").alias("node"), F.col("at_a").alias("at")).unionByName(
-        maybe.select(F.col("b").alias("node"), F.col("at_b").alias("at"))).distinct()
-    # a text's requests: at most its windows
-    asks = stored(asks.groupBy("node").agg(F.sort_array(F.collect_list("at")).alias("ats")), "asks")
-    size = asks.agg(F.sum(F.size("ats") * 8 + 24)).first()[0] or 0
+def shared_cells(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Stored cells that more than one text has; those of very common cells are dealt by text, so no task gets them all."""
     texts = docs.select(node_of(text_col).alias("node"), text_bytes(text_col).alias("text"))
-    got = texts.join(F.broadcast(asks) if size <= BROADCAST_BYTES else asks, "node")
-    around = stored(got.select("node", "text", "ats").mapInArrow(_contexts, "node long, at long, h binary").dropDuplicates(["node", "at"]), "around")
-    pairs = maybe.join(around.select(F.col("node").alias("a"), F.col("at").alias("at_a"), F.col("h").alias("x")), ["a", "at_a"]).join(
-        around.select(F.col("node").alias("b"), F.col("at").alias("at_b"), F.col("h").alias("y")), ["b", "at_b"])
-    return pairs.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long").distinct()
+    dealt = texts.mapInArrow(_cells, _CELLS).join(F.broadcast(hot_cells(texts)), "key", "left").select(*_CELL, F.coalesce("hot", F.lit(False)).alias("hot"))
+    dealt = dealt.repartition(shuffle_partitions(docs.sparkSession), "key", F.when(F.col("hot"), F.col("node")))
+    return stored(dealt.sortWithinPartitions("key", "node", "first", "wide").mapInArrow(_shared, _CELLS), "shared")
 
 
 def passage_links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Stored ``(a, b)``: distinct pairs of texts (hashes) found to share a passage; they span all classes."""
-    alive = shared_windows(docs, text_col)
-    found = stored(candidates(alive).distinct(), "candidates")
-    sure = found.filter(F.col("m") >= SURE).select("a", "b").distinct()
-    maybe = stored(found.filter(F.col("m") < SURE).join(sure, ["a", "b"], "left_anti").select("a", "at_a", "b", "at_b").distinct(), "maybe")
-    links = stored(sure.unionByName(verified(docs, maybe, text_col)), "links")
-    return stored(links.unionByName(apart(docs, alive, links, text_col)), "links")
+    shared = shared_cells(docs, text_col)
+    total = shared.count()
+    same = lookup(shared.select("node", "same"), meeting(shared, "same", "node", "same"), ["same"], "n", total)
+    sure = stored(same.filter("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "links")
+    # cells in which classes meet
+    roots = components(sure).withColumnRenamed("v", "node")
+    size = shared.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = stored(lookup(shared.drop("same"), stored(size, "sizes"), ["node"], "n", total).drop("n"), "rooted")
+    open_ = lookup(rooted, meeting(rooted, "key", "root", "open"), ["key"], "n", total).filter("least is not null")
+    # of equal cells of a class in equal surroundings one stands for all
+    lone = F.when(F.col("wide") < 256, F.struct("node", "first"))
+    open_ = open_.groupBy("key", "root", "wide", lone).agg(F.min(F.struct("node", "first")).alias("one"))
+    runs_in = F.col("wide").bitwiseAND(F.lit(255))
+    open_ = open_.select("one.node", "root", "one.first", (F.col("one.first") + runs_in).alias("end"))
+    runs = stored(_with_texts(docs, open_, text_col).mapInArrow(_runs, ", ".join(f"{c} long" for c in _RUN)), "runs")
+    met = lookup(runs, meeting(runs, "run", "root", "met"), ["run"], "n", runs.count()).filter("least is not null").drop("n", "least")
+    met = met.groupBy("root", "around").agg(F.min(F.struct("node", "first", *_HALVES)).alias("one")).select("root", "one.*")
+    half = stored(met.select("node", "root", "first", F.posexplode(F.array(*_HALVES)).alias("bit", "half")).filter("half <> 0"), "halves")
+    asked = lookup(half, meeting(half, "half", "root", "open-halves"), ["half"], "n", half.count()).filter("least is not null")
+    asked = asked.groupBy("node", "root", "first").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("end"))
+    found = stored(_with_texts(docs, asked, text_col).mapInArrow(_sequences, "seq long, root long, plain long"), "sequences")
+    alike = found.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("plain") == 1, F.col("root"))).alias("least"),
+                                     F.min("root").alias("__a"), F.max("root").alias("__z"))
+    alike = stored(alike.filter("__a < __z and least is not null").select("seq", "n", "least"), "alike")
+    near = lookup(found.select("seq", "root"), alike, ["seq"], "n", found.count()).filter("least <> root")
+    near = near.select(F.least("least", "root").alias("a"), F.greatest("least", "root").alias("b"))
+    return stored(sure.unionByName(near).distinct(), "links")
 
 
 def passage_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

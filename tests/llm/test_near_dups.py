@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from driftwise.llm import simhash, substring
+from driftwise.llm import common, simhash, substring
 from driftwise.llm.common import table
 from tests.conftest import MEDIUM
 from tests.llm import edge
@@ -97,11 +97,10 @@ def passages(rng, n):
 
 @pytest.fixture(params=["whole", "split"])
 def groups(request, monkeypatch):
-    """As they are, and with every signature and context group of two rows or more split over the tasks."""
+    """As they are, and with every key of two rows or more taken for a hot one, texts in small pieces and requests not broadcast."""
     if request.param == "split":
-        monkeypatch.setattr(substring, "PROBE", 1.0)
-        monkeypatch.setattr(substring, "PROBE_ROWS", 2)
-        monkeypatch.setattr(substring, "HOT_SHARE", 0.0)
+        monkeypatch.setattr(common, "HOT_SHARE", 0.0)
+        monkeypatch.setattr(substring, "BROADCAST_BYTES", 0)
 
 
 def test_passage_classes(spark, groups):
