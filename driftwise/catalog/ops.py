@@ -393,17 +393,16 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     and score the test split with both; exact AUCs and the largest score difference."""
     from pyspark.ml import PipelineModel
 
-    from driftwise.catalog.models import CATEGORICAL, KEY, LABEL, NUMERIC, _splits
+    from driftwise.catalog.models import KEY, LABEL, _splits, prep_stages
 
     s = _splits(spark, sf_dir)
     train, test = s.where("split = 'train'"), s.where("split = 'test'")
-    prep = md.fit_prepare(train, NUMERIC, CATEGORICAL)
-    model = md.fit_pipeline(train, prep, md.baseline_estimator(), [KEY, LABEL])
+    model = md.fit_pipeline(train, prep_stages(), md.baseline_estimator())
     path = fs.scratch_path(spark, "model")
     fs.save_model(model, path)
     loaded = PipelineModel.load(path)
-    a = md.positive_proba(model, test, prep, [KEY, LABEL]).select(KEY, LABEL, F.col("proba").alias("p1"))
-    b = md.positive_proba(loaded, test, prep, [KEY]).select(KEY, F.col("proba").alias("p2"))
+    a = md.positive_proba(model, test, [KEY, LABEL]).select(KEY, LABEL, F.col("proba").alias("p1"))
+    b = md.positive_proba(loaded, test, [KEY]).select(KEY, F.col("proba").alias("p2"))
     j = a.join(b, KEY)
     auc1 = roc_auc(j, "p1", LABEL).first()[0]
     auc2 = roc_auc(j, "p2", LABEL).first()[0]
