@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from driftwise.catalog.base import register, with_bookings
 from driftwise.catalog.decision import _DECIDE_CTES as DECIDE_CTES
 from driftwise.catalog.decision import FLAGSHIP_POLICY
+from driftwise.catalog.drift import _CAT_PSI_CTES, DRIFT_COLS
+from driftwise.catalog.sqlgen import binned_counts_ctes, divergence_select, long_union
 from driftwise.functions.scalar import rnd
 from driftwise.operators.policy import score_and_decide
 from driftwise.sources.files import scratch_path
@@ -149,11 +151,15 @@ def sustained_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wn.sustained(er, "ws", "breach", 3600, SUSTAIN_WINDOWS)
 
 
-_AUC_LOW_SQL = """
+# From the rule text: min(roc_auc) < 0.65 or max(feature_psi) > 0.2.
+_GAUGES_SQL = (
+    binned_counts_ctes(long_union(DRIFT_COLS)) + "," + divergence_select("psi") + "," + _CAT_PSI_CTES + """,
 ob AS (SELECT score AS p, y FROM bookings WHERE period = 'cur'),
 og AS (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM ob GROUP BY p),
 oc AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM og),
-mq AS (SELECT sum(pos * (below + 0.5 * neg)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) < 0.65 AS model_quality_low FROM oc)"""
+mq AS (SELECT (SELECT sum(pos * (below + 0.5 * neg)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) FROM oc) < 0.65 AS auc_low,
+              (SELECT max(v) FROM (SELECT score AS v FROM scores UNION ALL SELECT psi FROM cpsi)) > 0.2 AS psi_high)"""
+)
 
 
 @register(
@@ -161,28 +167,31 @@ mq AS (SELECT sum(pos * (below + 0.5 * neg)) / (CAST(sum(pos) AS DOUBLE) * sum(n
     with_bookings(
         f"""
 SELECT {_FMT.format(x='e.ws')} AS window_start, e.error_ratio > 0.001 AS high_5xx, p.p95_hist > {wn.P95_SLO_SECONDS} AS high_p95,
-       mq.model_quality_low, (e.error_ratio > 0.001) AND (p.p95_hist > {wn.P95_SLO_SECONDS}) AND mq.model_quality_low AS correlated
+       mq.auc_low, mq.psi_high, (e.error_ratio > 0.001) AND (p.p95_hist > {wn.P95_SLO_SECONDS}) AND (mq.auc_low OR mq.psi_high) AS correlated
 FROM er2 e JOIN ph p ON p.ws = e.ws CROSS JOIN mq""",
         _ERR_CTE
         + ","
         + _hist_sql().split("WITH ", 1)[1].split("\nSELECT")[0].replace("q AS (", "ph AS (")
         + ","
-        + _AUC_LOW_SQL,
+        + _GAUGES_SQL,
     ),
 )
 def correlated_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per hour, 5xx breach AND p95 breach AND model quality low (exact AUC of score on the current period
-    < 0.65; the monitoring table's value joins every window as a literal)."""
-    from driftwise.operators.evaluate import roc_auc
+    """Per hour, 5xx breach AND p95 breach AND (AUC of the current period < 0.65 OR largest feature PSI > 0.2); the two
+    gauges of the monitoring table join every window as literals."""
+    from driftwise.catalog.ops import model_health
 
-    cur = bookings(spark, sf_dir).where(F.col("period") == "cur")
-    auc = roc_auc(cur, "score", "y").first()[0]
-    low = bool(auc is not None and auc < 0.65)
-    log = _log(spark, sf_dir)
+    gauges = model_health(spark, sf_dir).groupBy((F.col("signal") == "roc_auc").alias("is_auc")).agg(F.max("breached").alias("b")).collect()
+    state = {r["is_auc"]: bool(r["b"]) for r in gauges}
+    return correlated(_log(spark, sf_dir), state.get(True, False), state.get(False, False))
+
+
+def correlated(log: DataFrame, auc_low: bool, psi_high: bool) -> DataFrame:
+    """R11 for the hours of a request log and the state of the two model gauges."""
     er = wn.error_ratio(log).select("window_start", (F.col("error_ratio") > F.lit(wn.ERROR_BUDGET)).alias("high_5xx"))
     ph = wn.latency_p95(log).select("window_start", (F.col("p95_hist") > F.lit(wn.P95_SLO_SECONDS)).alias("high_p95"))
-    j = er.join(ph, "window_start").withColumn("model_quality_low", F.lit(low))
-    return j.withColumn("correlated", F.col("high_5xx") & F.col("high_p95") & F.col("model_quality_low"))
+    j = er.join(ph, "window_start").withColumns({"auc_low": F.lit(auc_low), "psi_high": F.lit(psi_high)})
+    return j.withColumn("correlated", F.col("high_5xx") & F.col("high_p95") & (F.col("auc_low") | F.col("psi_high")))
 
 
 @register(

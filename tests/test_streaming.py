@@ -79,3 +79,18 @@ def test_windowed_stream_over_several_micro_batches_matches_batch(spark, tmp_pat
     want = sorted(tuple(r) for r in batch.select("window_start", "event_type", "n_requests").collect())
     assert got == want
     assert spark.read.parquet(str(tmp_path / "out")).select("_batch").distinct().count() > 1
+
+
+def test_correlated_alert_has_two_arms(spark):
+    """Either gauge completes the alert; without one, or without both operations breaches, there is none."""
+    from pyspark.sql import functions as F
+
+    from driftwise.catalog.streaming import _log, correlated
+
+    from tests.conftest import SMALL
+
+    log = _log(spark, SMALL)
+    for auc_low, psi_high in ((False, False), (True, False), (False, True), (True, True)):
+        rows = correlated(log, auc_low, psi_high).select("correlated", (F.col("high_5xx") & F.col("high_p95")).alias("ops")).collect()
+        assert any(r.ops for r in rows)
+        assert all(r.correlated == (r.ops and (auc_low or psi_high)) for r in rows)
