@@ -85,11 +85,6 @@ class Words:
         a, z = self.first[:self.n - k + 1], self.end[k - 1:]
         return _mix((self.sums[z] - self.sums[a]) * self.inverse[a])
 
-    def between(self, a: np.ndarray, z: np.ndarray) -> np.ndarray:
-        """Hash of the words [a, z), one at least."""
-        a, z = self.first[a], self.end[z - 1]
-        return _mix((self.sums[z] - self.sums[a]) * self.inverse[a])
-
 
 def compact_windows(h: np.ndarray, least: int) -> np.ndarray:
     """Positions of the minima of all compact windows of at least ``least`` elements."""
@@ -249,7 +244,7 @@ def _asked(batches: Iterator[pa.RecordBatch], read) -> Iterator[tuple[int, int,
 
 
 _HALVES = ["r1", "r2", "r3", "l1", "l2", "l3"]
-_RUN = ["run", "node", "root", "first", "around", *_HALVES]
+_RUN = ["run", "node", "root", "first", *_HALVES]
 
 
 def halves(own: Words, at: np.ndarray, run: np.ndarray) -> list[np.ndarray]:
@@ -272,13 +267,11 @@ def halves(own: Words, at: np.ndarray, run: np.ndarray) -> list[np.ndarray]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash of the SIDE words from each asked run on, of all words that ``sequences`` looks at, and its ``halves``."""
+    """Hash of the SIDE words from each asked run on, with its ``halves``."""
     def parts() -> Iterator[tuple[np.ndarray, ...]]:
         for node, root, start, here, _, own in _asked(batches, _ranges):
             run = own.runs(SIDE)[here]
-            a, z = np.maximum(here - SIDE, 0), np.minimum(here + PASSAGE, own.n)
-            around = _mix(own.between(a, z) + (z - a).astype(np.uint64) + (here - a).astype(np.uint64) * _BASE)
-            yield run, np.full(len(here), node), np.full(len(here), root), here + start, around, *halves(own, here, run)
+            yield run, np.full(len(here), node), np.full(len(here), root), here + start, *halves(own, here, run)
 
     return _gathered(_RUN, parts())
 
@@ -400,7 +393,6 @@ def passage_links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     open_ = open_.select("one.node", "root", "one.first", (F.col("one.first") + runs_in).alias("end"))
     runs = stored(_with_texts(docs, open_, text_col).mapInArrow(_runs, ", ".join(f"{c} long" for c in _RUN)), "runs")
     met = lookup(runs, meeting(runs, "run", "root", "met"), ["run"], "n", runs.count()).filter("least is not null").drop("n", "least")
-    met = met.groupBy("root", "around").agg(F.min(F.struct("node", "first", *_HALVES)).alias("one")).select("root", "one.*")
     half = stored(met.select("node", "root", "first", F.posexplode(F.array(*_HALVES)).alias("bit", "half")).filter("half <> 0"), "halves")
     asked = lookup(half, meeting(half, "half", "root", "open-halves"), ["half"], "n", half.count()).filter("least is not null")
     asked = asked.groupBy("node", "root", "first").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("end"))
