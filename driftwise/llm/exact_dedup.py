@@ -161,35 +161,47 @@ def build_index(rows: DataFrame, total: int) -> DataFrame:
 
 
 def _change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted so that live entries come before removals and removals before additions."""
-    index = CuckooIndex()
+    """Rows sorted so that live entries come before removals and removals before additions; ``lost``: the kept id went."""
+    index, lost = CuckooIndex(), set()
     for batch in batches:
         for digest, keep, n, m, kind in zip(*(c.to_pylist() for c in batch.columns)):
-            if kind == 1:
-                cell = index.get(digest)
-                if cell is not None:
-                    cell[2] -= n
-                    if cell[2] <= 0:
-                        index.delete(digest)
-            else:
+            if kind != 1:
                 _add(index, digest, keep, n, m)
-    yield _emit(list(index.live()))
+                continue
+            cell = index.get(digest)
+            if cell is None:
+                continue
+            cell[2] -= n
+            if cell[2] <= 0:
+                index.delete(digest)
+            elif keep == cell[1]:  # the largest removed id: the kept one, if that is among them
+                cell[3] -= m
+                if cell[3] <= 0:
+                    lost.add(digest)
+    cells = list(index.live())
+    for i in range(0, len(cells), 50_000):
+        part = cells[i:i + 50_000]
+        yield _emit(part).append_column("lost", pa.array([c[0] in lost for c in part]))
 
 
-def update_index(index: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
-    """Apply removed and added ``(__id, __sha)`` rows to an index table.
+def update_index(index: DataFrame, removed: DataFrame, added: DataFrame, live: DataFrame) -> DataFrame:
+    """Apply removed and added ``(__id, __sha)`` rows to an index table; ``live`` are the rows after the change.
 
-    A digest whose last document goes is deleted from its filter.  The kept id of a digest that stays live is not
-    replaced when that very document is removed (the index holds one id per digest); pass the next keeper as added.
+    A digest whose last document goes is deleted from its filter.  Where the kept id of a digest goes but others stay, the
+    largest id among its ``live`` rows takes over; only the rows of such digests are looked at.  Null ids
+    keep a digest alive, and are kept where it has no other.
     """
-    def rows(df, kind):
-        return df.groupBy(F.col("__sha").alias("digest")).agg(
-            F.max("__id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"),
-            F.lit(1).cast("long").alias("id_rows")).withColumn("kind", F.lit(kind))
-
-    both = index.withColumn("kind", F.lit(0)).unionByName(rows(removed, 1)).unionByName(rows(added, 2))
-    dealt = both.repartition(shuffle_partitions(index.sparkSession), "digest").sortWithinPartitions("kind")
-    return dealt.mapInArrow(_change, INDEX_SCHEMA)
+    def keepers(df: DataFrame) -> DataFrame:
+        each = df.groupBy(F.col("__sha").alias("digest"), "__id").agg(F.count(F.lit(1)).alias("m"))
+        return each.groupBy("digest").agg(F.max(F.struct("__id", "m")).alias("k"), F.sum("m").alias("group_size")).select(
+            "digest", F.col("k.__id").alias("keep_id"), "group_size", F.col("k.m").alias("id_rows"))
+
+    both = index.withColumn("kind", F.lit(0)).unionByName(keepers(removed).withColumn("kind", F.lit(1))).unionByName(keepers(added).withColumn("kind", F.lit(2)))
+    dealt = both.repartition(shuffle_partitions(index.sparkSession), "digest").sortWithinPartitions("digest", "kind")
+    new = stored(dealt.mapInArrow(_change, f"{INDEX_SCHEMA}, lost boolean"), "index")
+    lost = new.filter("lost").select("digest")
+    again = keepers(live.join(lost.withColumnRenamed("digest", "__sha"), "__sha", "left_semi"))
+    return new.filter("not lost").drop("lost").unionByName(again)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,12 +9,12 @@ false positives, and the largest share decides.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ LEAST_SHARE, LEAST_RATIO = 2e-6, 0.1
 CHUNK = 1 << 20
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _TABLE = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def normal(text: bytes) -> bytes:
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     kept = share.withColumn("top", top).filter((F.col("share") >= LEAST_SHARE) & (F.col("share") >= LEAST_RATIO * F.col("top")))
     number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1
     words = (len(langs) + 63) // 64
-    parts = kept.select("gram", number.cast("long").alias("number")).coalesce(4).mapInArrow(_fill(words), "word int, bits binary").collect()
+    parts = kept.select("gram", number.cast("long").alias("number")).repartition(4).mapInArrow(_fill(words), "word int, bits binary").collect()
     filters = np.zeros((words, 1 << BITS), np.uint64)
     for r in parts:
         filters[r.word] |= np.frombuffer(bytes(r.bits), np.uint64)

@@ -50,8 +50,27 @@ def test_index_update(spark):
     sha = [hashlib.sha256(str(i).encode()).digest() for i in range(4)]
     make = lambda pairs: spark.createDataFrame([(i, bytearray(sha[s])) for i, s in pairs], "__id long, __sha binary")
     index = exact_dedup.build_index(make([(1, 0), (2, 0), (3, 1), (4, 2)]), 4)
-    got = exact_dedup.update_index(index, make([(3, 1), (2, 0)]), make([(9, 3), (8, 2)])).collect()
-    assert {(bytes(r.digest), r.keep_id, r.group_size) for r in got} == {(sha[0], 2, 1), (sha[2], 8, 2), (sha[3], 9, 1)}
+    live = make([(1, 0), (4, 2), (8, 2), (9, 3)])
+    got = exact_dedup.update_index(index, make([(3, 1), (2, 0)]), make([(9, 3), (8, 2)]), live).collect()
+    assert {(bytes(r.digest), r.keep_id, r.group_size) for r in got} == {(sha[0], 1, 1), (sha[2], 8, 2), (sha[3], 9, 1)}
+
+
+def test_index_updates_equal_an_index_of_the_live_rows(spark):
+    rng = random.Random(3)
+    sha = [hashlib.sha256(str(i).encode()).digest() for i in range(12)]
+    make = lambda pairs: spark.createDataFrame([(i, bytearray(sha[s])) for i, s in pairs], "__id long, __sha binary")
+    now = [(rng.choice([None, *range(30)]), rng.randrange(12)) for _ in range(80)]
+    for _ in range(2):
+        gone = rng.sample(range(len(now)), 40)
+        removed, added = [now[i] for i in gone], [(rng.choice([None, *range(40)]), rng.randrange(12)) for _ in range(15)]
+        after = [r for i, r in enumerate(now) if i not in gone] + added
+        got = exact_dedup.update_index(exact_dedup.build_index(make(now), len(now)), make(removed), make(added), make(after)).collect()
+        want = {}
+        for i, s in after:
+            want.setdefault(sha[s], []).append(i)
+        assert {bytes(r.digest): (r.keep_id, r.group_size) for r in got} == {
+            d: (max((i for i in ids if i is not None), default=None), len(ids)) for d, ids in want.items()}
+        now = after
 
 
 def test_mixing_targets_and_balance(spark):

@@ -34,6 +34,12 @@ def test_language_filters_count_each_text(spark):
         assert k == len(g) and list(h) == [int((mask & np.uint64(1)).sum()), int((mask >> np.uint64(1) & np.uint64(1)).sum())]
 
 
+def test_numbers_are_no_letters(spark):
+    rows = [(i, "the cat sat on the mat", "en") for i in range(9)] + [(20, "² Ⅷ ½ 12", "en"), (21, "ª", "en")]
+    got = {r.doc_id: r.lang_pred for r in langid.language_predictions(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[20] == "und" and got[21] == got[1] == "en"
+
+
 def test_language_edges(spark):
     got = {r.doc_id: r for r in langid.language_predictions(edge.documents(spark)).collect()}
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (3, 4, 5, 8))
