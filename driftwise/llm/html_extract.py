@@ -57,15 +57,18 @@ CONSTANT_SHARE, CONSTANT_PAGES = 0.8, 10
 COUNTERS = 64
 #: A slot of this mean share of link text is a menu.
 LINK_SHARE = 0.6
+#: Levels of a tree.  As in browsers, elements nested deeper become siblings at that level; none of their text is lost.
+DEPTH = 150
 #: Total bytes of templates up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
 
 
 class Node:
-    __slots__ = ("tag", "label", "area", "kids", "parent", "slot")
+    __slots__ = ("tag", "label", "area", "kids", "parent", "slot", "depth")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.kids, self.slot = tag, parent, [], None
+        self.depth = parent.depth + 1 if parent is not None else 0
         self.label, self.area = tag, tag in SKIPPED
         if attrs:
             self._read(attrs)
@@ -90,6 +93,7 @@ def parse(page: str) -> Node:
     """DOM tree of a page, with HTML's implied end tags; texts are decoded strings among the children."""
     root = Node("#root", None)
     now, pos, n = root, 0, len(page)
+    over: list[str] = []  # open elements beyond DEPTH
     while pos < n:
         m = TAG.search(page, pos)
         if m is None:
@@ -103,7 +107,15 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m["end"]:
-            now = _close(now, tag)
+            if tag in over:
+                while over.pop() != tag:
+                    pass
+                now = Node("div", now.parent)  # what follows is a block of its own
+                now.parent.kids.append(now)
+            else:
+                now = _close(now, tag)
+                if now.depth < DEPTH:
+                    over.clear()
             continue
         if tag in CLOSES_P:
             now = _implied(now, ("p",), SCOPE)
@@ -111,13 +123,16 @@ def parse(page: str) -> Node:
             now = _implied(now, SIBLING[tag], SCOPE)
         elif tag in HEADINGS:
             now = _implied(now, tuple(HEADINGS), CLOSES_P - HEADINGS)
-        node = Node(tag, now, m["attrs"] or m["loose"] or "")
-        now.kids.append(node)
+        deep = now.depth >= DEPTH
+        node = Node(tag, now.parent if deep else now, m["attrs"] or m["loose"] or "")
+        node.parent.kids.append(node)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(page, pos)
             pos = end.start() if end else n
         if tag not in VOID:
             now = node
+            if deep:
+                over.append(tag)
     return root
 
 

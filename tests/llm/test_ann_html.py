@@ -109,3 +109,14 @@ def test_tree_matching_brute_force():
     for _ in range(60):
         a, b = tree(2), tree(2)
         assert html_extract.match(a, b, {}) == brute(a, b)
+
+
+def test_deep_nesting_keeps_all_text(spark):
+    """5 000 nested elements, blocks or inline: every text comes out, in order, and what follows them too."""
+    for tag in ("div", "span", "b", "ul"):
+        page = "<html><body><article><h1>Head</h1>" + "".join(f"<{tag}>t{i} " for i in range(5000)) + f"</{tag}>" * 5000 + "<p>After them</p></article><footer>foot</footer></body></html>"
+        got = html_extract.main_text(page)
+        assert got.split() == ["Head", *(f"t{i}" for i in range(5000)), "After", "them"], tag
+    assert html_extract.main_text("<div>" * 5000 + "unclosed") == "unclosed"
+    pages = spark.createDataFrame([(i, "http://h.example/a", "<div>" * 2000 + f"<p>text {i}</p>") for i in range(3)], "page_id long, url string, html string")
+    assert {r.text for r in html_extract.extract(pages).collect()} == {f"text {i}" for i in range(3)}
