@@ -447,7 +447,10 @@ class _Page:
         out: list[tuple[str, bool]] = []
         self.texts(node, out, inside)
         varying = [t for t, same in out if not same]
-        return "\n".join(varying or [t for t, _ in out])  # a page of constants only is a copied page: it keeps them
+        # an article whose blocks are mostly constant is a near copy of others of its host: it keeps them
+        if not varying or inside and 2 * sum(map(len, varying)) < sum(len(t) for t, _ in out):
+            varying = [t for t, _ in out]
+        return "\n".join(varying)
 
 
 def _mass(t: list) -> tuple[int, int]:

@@ -120,3 +120,13 @@ def test_deep_nesting_keeps_all_text(spark):
     assert html_extract.main_text("<div>" * 5000 + "unclosed") == "unclosed"
     pages = spark.createDataFrame([(i, "http://h.example/a", "<div>" * 2000 + f"<p>text {i}</p>") for i in range(3)], "page_id long, url string, html string")
     assert {r.text for r in html_extract.extract(pages).collect()} == {f"text {i}" for i in range(3)}
+
+
+def test_near_copies_of_an_article_keep_it(spark):
+    """Twelve pages of a host share an article but for its date; other hosts' constant blocks in an article still go."""
+    article = "<h1>Shared headline</h1><p>" + "first paragraph of the story " * 5 + "</p><p>" + "second paragraph of it " * 5 + "</p>"
+    copies = [(i, "http://copy.example/" + str(i), f"<nav>menu</nav><article>{article}<p>Updated on day {i}</p></article>") for i in range(12)]
+    own = [(100 + i, "http://own.example/" + str(i), f"<article><p>Share this story with friends</p><p>{' '.join(f'w{i}x{j}' for j in range(60))}</p></article>") for i in range(12)]
+    got = {r.page_id: r.text.split("\n") for r in html_extract.extract(spark.createDataFrame(copies + own, "page_id long, url string, html string")).collect()}
+    assert all(len(got[i]) == 4 and got[i][0] == "Shared headline" and got[i][3] == f"Updated on day {i}" for i in range(12))
+    assert all(got[100 + i] == [" ".join(f"w{i}x{j}" for j in range(60))] for i in range(12))
