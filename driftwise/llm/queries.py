@@ -35,16 +35,17 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in for a review log: values in documents outside the held-out third whose kind is plain from their form.
 
     Label 1: key ids of a public cloud (AKIA...), values assigned to a password or token.  Label 0: telephone numbers,
-    dates, digits only, and identifiers in e-mail or web addresses.
+    dates, digits only, identifiers in e-mail or web addresses, and lower-case words in quotes or after other names.
     """
     text = F.col("text")
     docs = table(spark, sf_dir, "documents").filter(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1, F.lit(False)))
     secret = F.concat(F.regexp_extract_all(text, F.lit("\\b(AKIA[0-9A-Z]{16})\\b"), F.lit(1)),
-                      F.regexp_extract_all(text, F.lit("(?i)\\b(?:password|passwd|secret|token|api_?key)\\s*[=:]\\s*[\"']?([A-Za-z0-9_+/-]{8,})"), F.lit(1)))
+                      F.regexp_extract_all(text, F.lit("(?i)\\b(?:password|passwd|secret|token|api_?key)\\s*[=:]\\s*[\"']?(" + secret_scan.SIGNED + ")"), F.lit(1)))
     other = F.concat(F.regexp_extract_all(text, F.lit("(?<![A-Za-z0-9_+/-])([0-9]{1,4}(?:-[0-9]{2,4})+)(?![A-Za-z0-9_+/-])"), F.lit(1)),
                      F.regexp_extract_all(text, F.lit("(?<![A-Za-z0-9_+/-])([0-9]{8,})(?![A-Za-z0-9_+/-])"), F.lit(1)),
-                     F.regexp_extract_all(text, F.lit("(?:@|://|www\\.)[^\\s]*?([A-Za-z0-9_+/-]{8,})"), F.lit(1)))
-    rows = docs.filter(text.rlike("[0-9]")).select("doc_id", secret.alias("s"), other.alias("o"))
+                     F.regexp_extract_all(text, F.lit("(?:@|://|www\\.)[^\\s]*?([A-Za-z0-9_+/-]{8,})"), F.lit(1)),
+                     F.regexp_extract_all(text, F.lit("(?i)(?<!password|passwd|secret|token|key)(?:[=:][ \\t]{0,2}[\"'`]?|[ \\t][\"'`])([a-z]{8,})(?![^\\s\"'`.,;])"), F.lit(1)))
+    rows = docs.select("doc_id", secret.alias("s"), other.alias("o"))
     each = F.concat(F.transform("s", lambda v: F.struct(v.alias("value"), F.lit(1).alias("label"))),
                     F.transform("o", lambda v: F.struct(v.alias("value"), F.lit(0).alias("label"))))
     return rows.select("doc_id", F.explode_outer(each).alias("f")).filter("f is not null").select("doc_id", "f.value", "f.label")

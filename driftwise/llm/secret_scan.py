@@ -1,7 +1,8 @@
 """Secret scan: broad candidates, then a random forest that removes false positives.
 
-Everything on the main path is DataFrame and Spark ML work inside the JVM.  Candidates are long character runs with a
-digit.  Features: length, character classes and their transitions, the log-probability of letter transitions and the
+Everything on the main path is DataFrame and Spark ML work inside the JVM.  Candidates are values assigned or quoted,
+values after a secret word, long character runs with a digit, and longer ones of mixed case; the forest decides which of
+them are secrets.  Features: length, character classes and their transitions, the log-probability of letter transitions and the
 coverage by a dictionary (both from the words of the whole corpus), the path, and the neighbouring words with their
 log-odds among labelled findings.
 """
@@ -16,9 +17,19 @@ from pyspark.sql import functions as F
 
 from driftwise.llm.common import stored
 
-#: A run of 8 or more of these characters that holds a digit, with up to two padding signs.
 RUN = "[A-Za-z0-9_+/\\-]"
-CANDIDATE = f"(?<!{RUN})(?=[A-Za-z_+/\\-]*+[0-9]){RUN}{{8,}}+={{0,2}}"
+#: What a password may hold beside: any sign but white space, quotes, brackets and list signs; no sentence mark ends it.
+SIGNED = "[^\\s\"'`<>(){}\\[\\],;|]{7,}(?<![.:?])[^\\s\"'`<>(){}\\[\\],;|.:?]"
+#: After an assignment sign, a quote or a secret word: 8 or more signs, none of them needs to be a digit.  Not addresses.
+#: The first look back, at one sign, spares most places the longer one.
+NAMED = ("(?<=[=:\"'` \t])(?=[^\\s\"'`<>(){}\\[\\],;|]{8})"
+         "(?<=[=:][ \t]{0,2}|[=:][ \t]{0,2}[\"'`]|[ \t][\"'`]|(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken)[ \t](?:is[ \t])?)"
+         f"(?![=:/]|[A-Za-z]+://|www[.]){SIGNED}")
+#: A run of 8 or more characters that holds a digit, with up to two padding signs.
+DIGITS = f"(?<!{RUN})(?=[A-Za-z_+/\\-]*+[0-9]){RUN}{{8,}}+={{0,2}}"
+#: A run of 16 or more without a digit that changes from lower to upper case twice or more.
+MIXED = f"(?<!{RUN})(?=(?:[A-Z_+/\\-]*+[a-z]++[a-z_+/\\-]*+[A-Z]){{2}}){RUN}{{16,}}+={{0,2}}"
+CANDIDATE = f"{NAMED}|{DIGITS}|{MIXED}"
 #: Characters kept of the text before and after a candidate.
 CONTEXT = 64
 #: Labelled findings that the forest is fitted on at most, in hash order.
@@ -36,7 +47,6 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``(id, rid, start, value, before, after, path)`` of every candidate of every whole text; ``start`` in code points."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), path.alias("path"), F.col(text_col).alias("t"), F.monotonically_increasing_id().alias("rid"))
-    rows = rows.filter(F.col("t").rlike("[0-9]"))
     rows = rows.select("id", "rid", "path", F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("t", CANDIDATE, -1).alias("gaps"))
     each = F.transform("found", lambda v, i: F.struct(
         v.alias("value"), F.char_length(F.get("gaps", i)).alias("gap"), F.right(F.get("gaps", i), F.lit(CONTEXT)).alias("before"),
@@ -75,7 +85,7 @@ def features(found: DataFrame, words: DataFrame, odds: DataFrame) -> DataFrame:
 
     kinds = ["[0-9]", "[A-Z]", "[a-z]", "[_+/=\\-]"]
     change = "|".join(f"(?<={a})(?={b})" for a in kinds for b in kinds if a != b)
-    found = found.withColumn("cid", F.xxhash64("rid", "start"))
+    found = found.withColumn("cid", F.struct("rid", "start"))
     plain = found.select(
         "*", n.cast("double").alias("length"), share("[0-9]").alias("digits"), share("[A-Z]").alias("uppers"), share("[a-z]").alias("lowers"),
         share("[_+/\\-]").alias("signs"), share(change).alias("switches"),
