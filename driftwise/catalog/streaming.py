@@ -17,10 +17,12 @@ from driftwise.catalog.decision import FLAGSHIP_POLICY
 from driftwise.catalog.drift import _CAT_PSI_CTES, DRIFT_COLS
 from driftwise.catalog.sqlgen import binned_counts_ctes, divergence_select, long_union
 from driftwise.functions.scalar import rnd
+from driftwise.operators.anomaly import tag_row_anomalies
 from driftwise.operators.policy import score_and_decide
 from driftwise.sources.files import scratch_path
 from driftwise.sources.tables import bookings, table
 from driftwise.streaming import stateful as st
+from driftwise.streaming import timers as tm
 from driftwise.streaming import windows as wn
 
 THROTTLE_LIMIT = 2
@@ -28,6 +30,7 @@ THROTTLE_WINDOW_US = 3600 * 1_000_000
 LOGIN_WINDOW_US = 7 * 86400 * 1_000_000
 SUSTAIN_WINDOWS = 3
 DEDUP_HOURS = 6
+LATENESS = "10 minutes"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,20 +226,32 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wn.session_windows(_events(spark, sf_dir), "user_id", "12 hours")
 
 
-@register(
-    "alert_dedup",
-    f"""WITH {_ERR_CTE},
+_ALERTS_CTE = f"""{_ERR_CTE},
 {_hist_sql().split("WITH ", 1)[1].split(chr(10) + "SELECT")[0].replace("q AS (", "ph AS (")},
 al AS (SELECT 'High5xxRate' AS alertname, 'critical' AS severity, ws FROM er2 WHERE error_ratio > 0.001
-       UNION ALL SELECT 'HighP95Latency', 'warning', ws FROM ph WHERE p95_hist > {wn.P95_SLO_SECONDS}),
-g AS (SELECT alertname, 'analytics-api' AS service, floor(epoch(ws) / {3600 * DEDUP_HOURS}) AS b, min(ws) AS ws,
-             any_value(severity) AS severity, count(*) AS n_grouped FROM al GROUP BY ALL)
-SELECT alertname, service, severity, {_FMT.format(x='ws')} AS window_start, n_grouped,
-       CASE severity WHEN 'critical' THEN 'pagerduty-critical' WHEN 'warning' THEN 'slack-warnings' ELSE 'default-receiver' END AS receiver
+       UNION ALL SELECT 'HighP95Latency', 'warning', ws FROM ph WHERE p95_hist > {wn.P95_SLO_SECONDS})"""
+_RECEIVER_SQL = "CASE severity WHEN 'critical' THEN 'pagerduty-critical' WHEN 'warning' THEN 'slack-warnings' ELSE 'default-receiver' END"
+# Each alert sent is the first one at or after the end of the interval of the one sent before.
+_SENT_CTE = f"""al2 AS MATERIALIZED (SELECT * FROM al),
+s(alertname, severity, sent) AS (
+  SELECT alertname, any_value(severity), min(ws) FROM al2 GROUP BY alertname
+  UNION ALL
+  SELECT s.alertname, s.severity, (SELECT min(ws) FROM al2 WHERE al2.alertname = s.alertname AND al2.ws >= s.sent + INTERVAL '{DEDUP_HOURS} hours') AS nx
+  FROM s WHERE nx IS NOT NULL),
+g AS (SELECT s.alertname, 'analytics-api' AS service, s.severity, s.sent, count(*) AS n_grouped
+      FROM s JOIN al2 ON al2.alertname = s.alertname AND al2.ws >= s.sent AND al2.ws < s.sent + INTERVAL '{DEDUP_HOURS} hours' GROUP BY ALL)"""
+
+
+@register(
+    "alert_dedup",
+    f"""WITH RECURSIVE {_ALERTS_CTE},
+{_SENT_CTE}
+SELECT alertname, service, severity, {_FMT.format(x='sent')} AS window_start, n_grouped, {_RECEIVER_SQL} AS receiver
 FROM g""",
 )
 def alert_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly 5xx / p95 alert instances grouped by (alertname, service) per 6-hour repeat interval, routed by severity."""
+    """Hourly 5xx / p95 alert instances grouped by (alertname, service); the 6-hour repeat interval runs
+    from the last alert sent; routed by severity."""
     log = _log(spark, sf_dir)
     alerts = wn.alert_events(wn.error_ratio(log), wn.latency_p95(log))
     return wn.alert_dedup(alerts, DEDUP_HOURS)
@@ -277,9 +292,7 @@ def throttle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(ev, "event_id").select("event_id", "event_type", "allowed")
 
 
-@register(
-    "login_guard",
-    f"""WITH e AS (SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS ip, epoch_us({_TS}) AS t,
+_LOGIN_SQL = f"""WITH e AS (SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS ip, epoch_us({_TS}) AS t,
                   event_type = 'error' AS f, event_type = 'signup' AS s FROM events WHERE event_type IN ('error', 'signup')),
 u AS (SELECT *, sum(CASE WHEN f THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS cumf FROM e),
 u2 AS (SELECT *, coalesce(max(CASE WHEN s THEN cumf END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING), 0) AS last_s,
@@ -299,44 +312,119 @@ p AS (SELECT *, CASE WHEN user_failures >= 8 THEN 'lockout' WHEN user_failures >
 SELECT event_id, user_failures, ip_failures,
        CASE WHEN us = 'lockout' OR iss = 'lockout' THEN 'lockout' WHEN us = 'backoff' OR iss = 'backoff' THEN 'backoff' ELSE 'none' END AS penalty_state,
        CAST(greatest(uw, iw) AS BIGINT) AS retry_after_seconds
-FROM p""",
-)
+FROM p"""
+
+
+@register("login_guard", _LOGIN_SQL)
 def login_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per login failure (error events) the user-scope failures in the last 7 days since the user's last
     success (signup events) and the address-scope failures (props.k), with backoff / lockout state and retry-after."""
-    ev = _events(spark, sf_dir).where(F.col("event_type").isin("error", "signup")).select(
-        "event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("ip"), F.unix_micros("ts").alias("t_us"),
-        (F.col("event_type") == "error").alias("is_failure"), (F.col("event_type") == "signup").alias("is_success"),
-    )
+    ev = _logins(_events(spark, sf_dir)).withColumns({"t_us": F.unix_micros("ts"), "is_success": ~F.col("is_failure")})
     out = st.login_guard(ev, "event_id", "user_id", "ip", "t_us", "is_failure", "is_success", LOGIN_WINDOW_US)
     return out.select("event_id", F.col("user_failures").cast("long").alias("user_failures"), F.col("ip_failures").cast("long").alias("ip_failures"),
                       "penalty_state", "retry_after_seconds")
 
 
+def _logins(events: DataFrame) -> DataFrame:
+    return events.where(F.col("event_type").isin("error", "signup")).select(
+        "event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("ip"), "ts", (F.col("event_type") == "error").alias("is_failure"))
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wn.event_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet")
+
+
+def _streamed(spark: SparkSession, name: str, out: DataFrame, shape=lambda b: b) -> DataFrame:
+    path = scratch_path(spark, name)
+    tm.run_batches(out, path, scratch_path(spark, f"{name}-ckpt"), shape)
+    return spark.read.parquet(path)
+
+
+@register(
+    "login_guard_stream",
+    f"""SELECT l.* FROM ({_LOGIN_SQL}) l JOIN events USING (event_id)
+WHERE {_TS} <= (SELECT max({_TS}) FROM events WHERE event_type IN ('error', 'signup')) - INTERVAL '{LATENESS}'""",
+)
+def login_guard_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R3 as Structured Streaming: failure stamps per user and address in list state, decided by event-time timers once the
+    10-minute watermark has passed an event; the decisions of all events it has passed."""
+    counts = tm.failure_counts(_logins(_event_stream(spark, sf_dir)), LOGIN_WINDOW_US, LATENESS)
+    out = _streamed(spark, "login-guard", counts, lambda b: st.with_penalty(tm.both_scopes(b), "event_id"))
+    return out.select("event_id", "user_failures", "ip_failures", "penalty_state", "retry_after_seconds")
+
+
+@register(
+    "sustained_alert_stream",
+    f"""WITH {_ERR_CTE},
+sp AS (SELECT unnest(range((SELECT min(ws) FROM er2), (SELECT max(ws) FROM er2) + INTERVAL '1 second', INTERVAL '1 hour')) AS ws),
+fl AS (SELECT sp.ws, coalesce(er2.error_ratio > 0.001, false) AS flag FROM sp LEFT JOIN er2 USING (ws)),
+g AS (SELECT ws, flag, row_number() OVER (ORDER BY ws) - row_number() OVER (PARTITION BY flag ORDER BY ws) AS grp FROM fl),
+i AS (SELECT min(ws) AS a, max(ws) AS z, count(*) AS n FROM g WHERE flag GROUP BY grp),
+wm AS (SELECT max({_TS}) - INTERVAL '{LATENESS}' AS t FROM events)
+SELECT 'resolved' AS state, {_FMT.format(x='a')} AS island_start, {_FMT.format(x='z')} AS island_last, n AS n_windows, n >= {SUSTAIN_WINDOWS} AS fired
+FROM i WHERE z + INTERVAL '2 hours' <= (SELECT t FROM wm)
+UNION ALL
+SELECT 'firing', {_FMT.format(x='a')}, {_FMT.format(x=f"a + INTERVAL '{SUSTAIN_WINDOWS - 1} hours'")}, {SUSTAIN_WINDOWS}, true
+FROM i WHERE n >= {SUSTAIN_WINDOWS} AND a + INTERVAL '{SUSTAIN_WINDOWS} hours' <= (SELECT t FROM wm)""",
+)
+def sustained_alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R10 as Structured Streaming: 'firing' when a breach has held for 3 hourly windows, 'resolved' when its run ends at a
+    window without breach or, by an event-time timer, at a silent hour; all runs that the watermark has passed."""
+    out = _streamed(spark, "sustained", tm.sustained_runs(wn.request_log(_event_stream(spark, sf_dir)), "1 hour", SUSTAIN_WINDOWS, LATENESS))
+    return out.select("state", wn.fmt(F.timestamp_micros("start_us")).alias("island_start"), wn.fmt(F.timestamp_micros("last_us")).alias("island_last"),
+                      "n_windows", "fired")
+
+
+@register(
+    "alert_dedup_stream",
+    f"""WITH RECURSIVE {_ALERTS_CTE},
+{_SENT_CTE}
+SELECT alertname, service, severity, {_FMT.format(x='sent')} AS window_start, n_grouped, {_RECEIVER_SQL} AS receiver
+FROM g WHERE sent + INTERVAL '{DEDUP_HOURS} hours' <= (SELECT max({_TS}) - INTERVAL '{LATENESS}' FROM events)""",
+)
+def alert_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R14 as Structured Streaming: alerts of closed windows per (alertname, service); the repeat interval runs from the last
+    alert sent, an event-time timer ends it; all intervals that the watermark has passed."""
+    out = _streamed(spark, "sent-alerts", tm.sent_alerts(wn.request_log(_event_stream(spark, sf_dir)), "1 hour", DEDUP_HOURS, LATENESS))
+    return out.select("alertname", "service", "severity", wn.fmt(F.timestamp_micros("sent_us")).alias("window_start"), "n_grouped",
+                      wn.receiver().alias("receiver"))
+
+
 @register(
     "score_stream",
     with_bookings(
         """
-SELECT booking_id, proba, action FROM a""",
+SELECT booking_id, proba, action, concat_ws('+',
+  CASE WHEN coalesce(adults, 0) = 0 AND coalesce(children, 0) = 0 AND coalesce(babies, 0) = 0 THEN 'zero_guests' END,
+  CASE WHEN adr < -10 THEN 'negative_adr' END,
+  CASE WHEN coalesce(stays_in_weekend_nights, 0) + coalesce(stays_in_week_nights, 0) > 365 THEN 'extreme_stay' END,
+  CASE WHEN lead_time > 800 THEN 'extreme_lead_time' END,
+  CASE WHEN adults > 50 THEN 'extreme_adults' END) AS anomalies
+FROM a""",
         DECIDE_CTES,
     ),
 )
 def score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders arrive as a stream, are enriched by a stream–static join into bookings, scored and decided per
-    micro-batch in foreachBatch (uplift gate and capacity top-k within each batch), written to an actions table."""
+    """Orders arrive as a stream, are enriched by a stream–static join into bookings, tagged with their row anomalies,
+    scored and decided per micro-batch in foreachBatch (uplift gate and capacity top-k within each batch); a batch replaces
+    its own partition of the actions table."""
     schema = table(spark, sf_dir, "orders").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
-    enriched = bookings(spark, sf_dir, orders=stream)
     out_path = scratch_path(spark, "stream-actions")
-    ckpt = scratch_path(spark, "stream-actions-ckpt")
+    score_arrivals(bookings(spark, sf_dir, orders=stream), out_path, scratch_path(spark, "stream-actions-ckpt"))
+    return spark.read.parquet(out_path).select("booking_id", "proba", "action", "anomalies")
+
+
+def decide_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+    """R15 sink: tags, scores and decides one micro-batch and replaces its partition of the actions table."""
+    acts = score_and_decide(tag_row_anomalies(batch), "score", "booking_id", FLAGSHIP_POLICY)
+    wn.write_batch(acts.select("booking_id", "proba", "action", F.array_join("anomaly_types", "+").alias("anomalies")), batch_id, path)
 
-    def decide(batch: DataFrame, batch_id: int) -> None:
-        acts = score_and_decide(batch, "score", "booking_id", FLAGSHIP_POLICY)
-        acts.select("booking_id", "proba", "action", F.lit(batch_id).alias("batch_id")).write.mode("append").parquet(out_path)
 
-    q = enriched.writeStream.foreachBatch(decide).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(out_path).select("booking_id", "proba", "action")
+def score_arrivals(arrivals: DataFrame, path: str, checkpoint: str) -> None:
+    """R15 over all arrivals that the source holds now."""
+    q = arrivals.writeStream.foreachBatch(lambda b, i: decide_batch(b, i, path)).option("checkpointLocation", checkpoint)
+    q.trigger(availableNow=True).start().awaitTermination()
 
 
 @register("throttle_audit_redis", _THROTTLE_REDIS_SQL)

@@ -7,8 +7,7 @@
 * ``throttle_audit`` (R1/R2) is genuinely sequential — whether an event is
   accepted depends on earlier acceptances.  Each key's timeline is cut where
   the idle gap exceeds the window (the limiter state is provably empty there),
-  and the pieces run in parallel through ``applyInPandas``; the streaming twin
-  keeps the ≤ N accepted stamps per key in state (``applyInPandasWithState``).
+  and the pieces run in parallel through ``applyInPandas``.
 """
 
 from __future__ import annotations
@@ -72,11 +71,15 @@ def login_guard(events: DataFrame, id_col: str, user_col: str, ip_col: str, t_co
     penalty state (lockout ≥ 8, backoff ≥ 3 with min(120, 2·2^(n−3)) s) and the retry-after of the worse scope."""
     u = window_failure_counts(events, user_col, t_col, id_col, is_failure, is_success, window_us).select(id_col, F.col("failures").alias("user_failures"))
     i = window_failure_counts(events, ip_col, t_col, id_col, is_failure, None, window_us).select(id_col, F.col("failures").alias("ip_failures"))
-    j = u.join(i, id_col)
+    return with_penalty(u.join(i, id_col), id_col)
+
+
+def with_penalty(counts: DataFrame, id_col: str) -> DataFrame:
+    """Penalty state and retry-after from ``user_failures`` and ``ip_failures``; the worse scope decides."""
     us, uw = penalty(F.col("user_failures"))
     is_, iw = penalty(F.col("ip_failures"))
     state = F.when((us == "lockout") | (is_ == "lockout"), F.lit("lockout")).when((us == "backoff") | (is_ == "backoff"), F.lit("backoff")).otherwise(F.lit("none"))
-    return j.select(id_col, "user_failures", "ip_failures", state.alias("penalty_state"), F.greatest(uw, iw).alias("retry_after_seconds"))
+    return counts.select(id_col, "user_failures", "ip_failures", state.alias("penalty_state"), F.greatest(uw, iw).alias("retry_after_seconds"))
 
 
 # ------------------------------------------------------------------ R1 / R2 throttle

@@ -28,6 +28,10 @@ P95_SLO_SECONDS = 0.3
 RATIO_FLOOR = 0.001
 ACTION_RATE_DEVIATION = 0.15
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
+SERVICE = "analytics-api"
+# Alert receivers by severity.
+RECEIVERS = (("critical", "pagerduty-critical"), ("warning", "slack-warnings"))
+DEFAULT_RECEIVER = "default-receiver"
 
 
 def event_time(df: DataFrame, col: str = "ts") -> DataFrame:
@@ -103,12 +107,17 @@ def latency_p95(log: DataFrame, size: str = "1 hour") -> DataFrame:
     )
 
 
+def ratio_of(errors: Column, requests: Column, secs: float) -> Column:
+    """errors per request, the request rate not below the floor."""
+    return (errors / F.lit(secs)) / F.greatest(requests / F.lit(secs), F.lit(RATIO_FLOOR))
+
+
 def error_ratio(log: DataFrame, size: str = "1 hour") -> DataFrame:
     """5xx ratio per window with the 0.001/s denominator floor; breach above 0.1 %; error rate/s."""
     secs = float(_seconds(size))
     w = F.window("ts", size)
     agg = log.groupBy(w.alias("w")).agg(F.count_if("is_5xx").alias("n_5xx"), F.count(F.lit(1)).alias("n_requests"))
-    ratio = (F.col("n_5xx") / F.lit(secs)) / F.greatest(F.col("n_requests") / F.lit(secs), F.lit(RATIO_FLOOR))
+    ratio = ratio_of(F.col("n_5xx"), F.col("n_requests"), secs)
     return agg.select(
         fmt(F.col("w.start")).alias("window_start"), "n_5xx", "n_requests", ratio.alias("error_ratio"),
         (ratio > F.lit(ERROR_BUDGET)).alias("breach"), (F.col("n_5xx") / F.lit(secs)).alias("error_rate_per_sec"),
@@ -129,7 +138,7 @@ def burn_rate(log: DataFrame, fast: str = "1 hour", slow: str = "6 hours", slide
         secs = float(_seconds(size))
         w = F.window("ts", size, slide)
         a = log.groupBy(w.alias("w")).agg(F.count_if("is_5xx").alias("e"), F.count(F.lit(1)).alias("n"))
-        return a.select(F.col("w.end").alias("window_end"), ((F.col("e") / F.lit(secs)) / F.greatest(F.col("n") / F.lit(secs), F.lit(RATIO_FLOOR))).alias("r"))
+        return a.select(F.col("w.end").alias("window_end"), ratio_of(F.col("e"), F.col("n"), secs).alias("r"))
 
     f = ratios(fast).withColumnRenamed("r", "fast_ratio")
     s = ratios(slow).withColumnRenamed("r", "slow_ratio")
@@ -202,21 +211,37 @@ def action_rate_vs_7d(events: DataFrame, is_action: Column) -> DataFrame:
 
 def alert_events(error_windows: DataFrame, p95_windows: DataFrame) -> DataFrame:
     """Alert instances per window from the 5xx and p95 conditions (alertname, severity, service, ts)."""
-    svc = F.lit("analytics-api")
+    svc = F.lit(SERVICE)
     a = error_windows.where("breach").select(F.lit("High5xxRate").alias("alertname"), F.lit("critical").alias("severity"), svc.alias("service"), "window_start")
     b = p95_windows.where("slo_breach").select(F.lit("HighP95Latency").alias("alertname"), F.lit("warning").alias("severity"), svc.alias("service"), "window_start")
     return a.unionByName(b)
 
 
 def alert_dedup(alerts: DataFrame, repeat_hours: int = 1) -> DataFrame:
-    """Group by (alertname, service) with a repeat interval (fixed hour buckets); route by severity."""
-    ts = F.to_timestamp("window_start", TS_FORMAT)
-    bucket = F.floor(F.unix_seconds(ts) / F.lit(3600 * repeat_hours))
-    first = alerts.withColumn("_b", bucket).groupBy("alertname", "service", "_b").agg(
-        F.min("window_start").alias("window_start"), F.first("severity").alias("severity"), F.count(F.lit(1)).alias("n_grouped")
-    )
-    route = F.when(F.col("severity") == "critical", F.lit("pagerduty-critical")).when(F.col("severity") == "warning", F.lit("slack-warnings")).otherwise(F.lit("default-receiver"))
-    return first.select("alertname", "service", "severity", "window_start", "n_grouped", route.alias("receiver"))
+    """Per (alertname, service) an alert goes out unless one went out less than the repeat interval before; later ones
+    are grouped with it; route by severity.
+
+    The fold runs over the window starts of one alert, at most one per window of the time span, not over events.
+    """
+    at = F.unix_seconds(F.to_timestamp("window_start", TS_FORMAT))
+    one = F.struct(at.alias("at"), F.col("severity").alias("severity"))
+    keyed = alerts.groupBy("alertname", "service").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    group = "array<struct<sent:bigint,severity:string,n_grouped:bigint>>"
+    step = f"""aggregate(all, CAST(array() AS {group}), (acc, x) ->
+        CASE WHEN size(acc) > 0 AND x.at < element_at(acc, -1).sent + {3600 * repeat_hours}
+             THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('sent', element_at(acc, -1).sent,
+                         'severity', element_at(acc, -1).severity, 'n_grouped', element_at(acc, -1).n_grouped + 1L)))
+             ELSE concat(acc, array(named_struct('sent', x.at, 'severity', x.severity, 'n_grouped', 1L))) END)"""
+    sent = keyed.select("alertname", "service", F.explode(F.expr(step)).alias("g")).select("alertname", "service", "g.*")
+    return sent.select("alertname", "service", "severity", fmt(F.timestamp_seconds("sent")).alias("window_start"), "n_grouped", receiver().alias("receiver"))
+
+
+def receiver() -> Column:
+    """Receiver of an alert by its severity."""
+    route = F.lit(DEFAULT_RECEIVER)
+    for severity, name in RECEIVERS:
+        route = F.when(F.col("severity") == severity, F.lit(name)).otherwise(route)
+    return route
 
 
 # ---------------------------------------------------------------- streaming runner
@@ -234,17 +259,22 @@ def event_stream(
     return event_time(r.parquet(folder))
 
 
+def write_batch(batch: DataFrame, batch_id: int, path: str, column: str = "batch_id") -> None:
+    """Sink step that a retry repeats without effect: a micro-batch replaces its own partition of the table."""
+    batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{column}={batch_id}")
+
+
 def run_to_table(
     stream: DataFrame, build: Callable[[DataFrame], DataFrame], keys: Sequence[str], out_path: str, checkpoint: str,
     watermark: str = "10 minutes",
 ) -> DataFrame:
-    """Run ``build`` on a stream with a watermark; each micro-batch's updated rows are appended with their batch
-    id (``foreachBatch``), and the table view keeps the newest version of every key (idempotent upsert, so a
-    retried batch after an executor loss rewrites the same rows).  Returns the latest-version view."""
+    """Run ``build`` on a stream with a watermark; each micro-batch's updated rows replace the partition of their
+    batch id (``foreachBatch``), and the table view keeps the newest version of every key (idempotent upsert: a
+    retried batch rewrites its partition).  Returns the latest-version view."""
     agg = build(stream.withWatermark("ts", watermark))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        write_batch(batch, batch_id, out_path, "_batch")
 
     q = agg.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
