@@ -3,6 +3,7 @@
 Vectors live in hash buckets of bounded size; every step is a join of rows with the bucket that holds what they need.
 The graph starts from the cells of a few random hyperplane trees and improves by NN-descent: the neighbours and
 reverse neighbours of a node are compared with each other, and what beats a member's worst neighbour is offered to it.
+For the search every list takes in nodes that name its own, so far nodes, which few lists hold, can be reached.
 Queries walk the graph best-first with a bounded list of open nodes.  Equal vectors are one node.
 
 Inner products are made a metric for the graph by one extra component, sqrt(M^2 - |x|^2), with M the largest norm;
@@ -23,10 +24,13 @@ from driftwise.llm.common import shuffle_partitions, stored
 #: Nodes that a bucket is planned for, and that a tree cell is planned for.
 BUCKET_ROWS, CELL_ROWS = 4096, 512
 TREES, NEIGHBOURS, FROM_CELL, DESCENTS, OFFERS = 10, 32, 16, 2, 4
+#: Reverse neighbours added to a node's list for the search.
+REVERSE = 32
+LINKS = NEIGHBOURS + REVERSE
 #: Members compared with each other at once; a node with more members is cut into groups.
 JOIN_ROWS = 256
-#: Search: best nodes kept, opened in a round, and rounds at most.
-WIDTH, OPENED, ROUNDS = 160, 64, 6
+#: Search: best nodes kept and opened in a round.
+WIDTH, OPENED = 160, 64
 #: Common start nodes of all queries: so many of largest norm, and so many in hash order.
 ENTRIES = 128
 
@@ -197,8 +201,8 @@ def first_graph(nodes: DataFrame, total: int, buckets: int, dim: int, seed: int)
     return dealt.groupBy("tree", "cell", "salt").applyInArrow(near, _OFFER)
 
 
-def _merge(nodes: DataFrame, offers: DataFrame) -> DataFrame:
-    """Nodes with their lists renewed from offers."""
+def _merge(nodes: DataFrame, offers: DataFrame, keep: int = NEIGHBOURS) -> DataFrame:
+    """Nodes with their lists, of ``keep`` entries at most, renewed from offers."""
     def renew(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left["id"].to_numpy()
         if not len(ids):
@@ -207,7 +211,7 @@ def _merge(nodes: DataFrame, offers: DataFrame) -> DataFrame:
         old = (np.repeat(ids, n), had, _cells(left["sc"], "<f4")[0])
         new = (_cells(right["owner"], "<i8")[0], _cells(right["nbr"], "<i8")[0], _cells(right["sc"], "<f4")[0])
         owner, other, score = (np.concatenate(x) for x in zip(old, new))
-        owner, other, score = _best(owner, other, score, NEIGHBOURS)
+        owner, other, score = _best(owner, other, score, keep)
         got, nbr, sc = _lists(owner, other, score)
         at = np.searchsorted(got, ids)
         hit = (at < len(got)) & (got[np.minimum(at, max(0, len(got) - 1))] == ids) if len(got) else np.zeros(len(ids), bool)
@@ -280,6 +284,19 @@ def descend(nodes: DataFrame, buckets: int, dim: int) -> DataFrame:
     return _merge(nodes, offers)
 
 
+def two_way(nodes: DataFrame, buckets: int) -> DataFrame:
+    """Lists with up to REVERSE more entries: nodes that name this one.  Far nodes are in few lists, so the search would not
+    reach them by forward edges alone."""
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named, n = _cells(batch.column(1), "<i8")
+            by = np.repeat(batch.column(0).to_numpy(), n)
+            rows = _offers(*_best(named, by, _cells(batch.column(2), "<f4")[0], LINKS), buckets)
+            yield from rows.to_batches() if isinstance(rows, pa.Table) else [rows]
+
+    return _merge(nodes, nodes.select("id", "nbr", "sc").mapInArrow(turned, _OFFER), LINKS)
+
+
 def build_graph(distinct: DataFrame, seed: int = 7) -> tuple[DataFrame, int, int]:
     """``(id, key)`` of distinct vectors -> stored nodes ``(b, id, vec, nbr, sc)``, number of buckets, dimension."""
     total = distinct.count()
@@ -291,7 +308,7 @@ def build_graph(distinct: DataFrame, seed: int = 7) -> tuple[DataFrame, int, int
     nodes = stored(_merge(bare.withColumns({"nbr": empty, "sc": empty}), first_graph(bare, total, buckets, dim, seed)), "graph")
     for _ in range(DESCENTS):
         nodes = stored(descend(nodes, buckets, dim), "graph")
-    return nodes, buckets, dim
+    return stored(two_way(nodes, buckets), "graph"), buckets, dim
 
 
 # ---------------------------------------------------------------- search
@@ -332,8 +349,8 @@ def _answers(dim: int):
         flat, n = _cells(right["vec"], "<f4")
         x = flat.reshape(len(n), dim)[order]
         nbr, m = _cells(right["nbr"], "<i8")
-        grid = np.full((len(m), NEIGHBOURS), _PAD)
-        grid[np.arange(NEIGHBOURS) < m[:, None]] = nbr
+        grid = np.full((len(m), LINKS), _PAD)
+        grid[np.arange(LINKS) < m[:, None]] = nbr
         grid = grid[order]
         cands, sizes = _cells(left["cands"], "<i8")
         ends = np.cumsum(sizes)
@@ -352,7 +369,7 @@ def _answers(dim: int):
         lengths = np.array(got_n, np.int64)
         cat = lambda y, d: np.concatenate(y).astype(d) if y else np.empty(0, d)
         return pa.table({"g": left["g"], "q": left["q"], "ids": _pack(cat(got_id, "<i8"), lengths), "sc": _pack(cat(got_sc, "<f4"), lengths),
-                         "nbrs": _pack(cat(got_nbr, "<i8"), lengths * NEIGHBOURS)})
+                         "nbrs": _pack(cat(got_nbr, "<i8"), lengths * LINKS)})
 
     return run
 
@@ -361,13 +378,13 @@ def _advance(state: pa.Table, answers: pa.Table) -> pa.Table:
     """Merge the answers into each query's list, open its best nodes and name their neighbours as next candidates."""
     news: dict[int, list[tuple]] = {}
     for q, i, s, n in zip(answers["q"].to_pylist(), *(answers[c].to_pylist() for c in ("ids", "sc", "nbrs"))):
-        news.setdefault(q, []).append((np.frombuffer(i, "<i8"), np.frombuffer(s, "<f4"), np.frombuffer(n, "<i8").reshape(-1, NEIGHBOURS)))
+        news.setdefault(q, []).append((np.frombuffer(i, "<i8"), np.frombuffer(s, "<f4"), np.frombuffer(n, "<i8").reshape(-1, LINKS)))
     out = {k: [] for k in ("ids", "sc", "opened", "nbrs", "cands")}
     rows = zip(state["q"].to_pylist(), *(state[c].to_pylist() for c in ("ids", "sc", "opened", "nbrs", "cands")))
     for q, i, s, o, n, c in rows:
         opened = np.frombuffer(o, np.uint8)
-        grid = np.full((len(opened), NEIGHBOURS), _PAD)
-        grid[opened == 0] = np.frombuffer(n, "<i8").reshape(-1, NEIGHBOURS)  # only open nodes still need their lists
+        grid = np.full((len(opened), LINKS), _PAD)
+        grid[opened == 0] = np.frombuffer(n, "<i8").reshape(-1, LINKS)  # only open nodes still need their lists
         parts = [(np.frombuffer(i, "<i8"), np.frombuffer(s, "<f4"), opened, grid)]
         parts += [(a, b, np.zeros(len(a), np.uint8), g) for a, b, g in news.get(q, ())]
         ids, sc, opened, grid = (np.concatenate([p[j] for p in parts]) for j in range(4))
@@ -399,19 +416,19 @@ def entry_points(nodes: DataFrame, dim: int) -> np.ndarray:
 
 def search(nodes: DataFrame, buckets: int, dim: int, queries: DataFrame) -> DataFrame:
     """``queries(q, vec, cands)``: id, 32-bit vector with a zero extra component, packed start nodes ->
-    ``(g, q, vec, ids, sc)`` with the best WIDTH nodes found of each query, best first."""
+    ``(g, q, vec, ids, sc)`` with the best WIDTH nodes found of each query, best first.
+
+    It ends when no query has an open node left: each is opened once a query at most, and only while it is among its best."""
     spark = nodes.sparkSession
     groups = F.pmod(F.xxhash64("q"), F.lit(4 * shuffle_partitions(spark))).alias("g")
     empty = F.lit(b"")
     state = queries.select(groups, "q", "vec", empty.alias("ids"), empty.alias("sc"), empty.alias("opened"), empty.alias("nbrs"), "cands")
     state = stored(state, "search")
-    for _ in range(ROUNDS):
+    while not state.filter(F.octet_length("cands") > 0).isEmpty():
         asks = state.filter(F.octet_length("cands") > 0).select("g", "q", "vec", "sc", "cands").mapInArrow(
             _asks(buckets), "b long, g long, q long, vec binary, least double, cands binary")
         answers = asks.groupBy("b").cogroup(nodes.groupBy("b")).applyInArrow(_answers(dim), "g long, q long, ids binary, sc binary, nbrs binary")
         state = stored(state.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_advance, _STATE), "search")
-        if state.filter(F.octet_length("cands") > 0).isEmpty():
-            break
     return state.select("g", "q", "vec", "ids", "sc")
 
 
@@ -483,12 +500,13 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
     return final.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def recall(found: DataFrame, spark: SparkSession, df: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> float:
-    """Share of the true k nearest that ``found`` holds, against brute force over blocks of queries (for tests)."""
+def recall(found: DataFrame, spark: SparkSession, df: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
+           every: int = 20) -> float:
+    """Share of the true k nearest that ``found`` holds, against brute force over all queries, lost ones too (for tests)."""
     rows = valid_vectors(df, id_col, vec_col).collect()
     ids = np.array([r.id for r in rows])
     x = np.stack([np.frombuffer(bytes(r.key), "<f8") for r in rows])
-    got: dict[int, set[int]] = {}
+    got: dict[int, set[int]] = {int(i): set() for i in ids if i % every == 0}
     for r in found.collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hit = all_ = 0

@@ -36,6 +36,24 @@ def test_many_buckets_and_unequal_norms(spark, monkeypatch):
     assert ann.recall(ann.nearest(df, every=20, k=10), spark, df, k=10) >= 0.9
 
 
+def test_recall_with_a_third_in_one_tight_cluster(spark):
+    """Recall of the cluster's queries and of the others, each; those others have far neighbours, which few lists hold."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((6000, 48))
+    x[::3] = rng.standard_normal(48) + 0.05 * x[::3]
+    df = vectors(spark, [(i, [float(v) for v in row], 1, "k", 2) for i, row in enumerate(x)]).cache()
+    got = ann.nearest(df).cache()
+    assert ann.recall(got, spark, df) >= 0.95
+    assert ann.recall(got.where("query_id % 3 = 0"), spark, df, every=60) >= 0.95
+
+
+def test_recall_counts_lost_queries(spark):
+    df = vectors(spark, [(i, [1.0, float(i)], 1, "k", 2) for i in range(60)])
+    got = ann.nearest(df, every=20, k=5)
+    assert ann.recall(got, spark, df, k=5) == 1
+    assert ann.recall(got.where("query_id <> 20"), spark, df, k=5) < 0.7
+
+
 def test_vector_edges(spark):
     same = [1.0, 0.0]
     rows = [(i, same, 0, "", 0) for i in range(0, 60)]  # a group of copies larger than a result
