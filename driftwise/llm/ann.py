@@ -25,7 +25,7 @@ from driftwise.llm.common import shuffle_partitions, stored
 BUCKET_ROWS, CELL_ROWS = 4096, 512
 TREES, NEIGHBOURS, FROM_CELL, DESCENTS, OFFERS = 10, 32, 16, 2, 4
 #: Reverse neighbours added to a node's list for the search.
-REVERSE = 32
+REVERSE = 16
 LINKS = NEIGHBOURS + REVERSE
 #: Members compared with each other at once; a node with more members is cut into groups.
 JOIN_ROWS = 256
@@ -361,11 +361,13 @@ def _answers(dim: int):
         got_id, got_sc, got_nbr, got_n = [], [], [], []
         for i, (a, z) in enumerate(zip(ends - sizes, ends)):
             s = x[at[a:z]] @ vecs[i]
-            keep = s > least[i]
+            keep = np.flatnonzero(s > least[i])
+            if len(keep) > WIDTH:  # the best WIDTH of this bucket hold all that can be among the best WIDTH of all
+                keep = keep[np.lexsort((cands[a:z][keep], -s[keep]))[:WIDTH]]
             got_id.append(cands[a:z][keep])
             got_sc.append(s[keep])
             got_nbr.append(grid[at[a:z][keep]].ravel())
-            got_n.append(int(keep.sum()))
+            got_n.append(len(keep))
         lengths = np.array(got_n, np.int64)
         cat = lambda y, d: np.concatenate(y).astype(d) if y else np.empty(0, d)
         return pa.table({"g": left["g"], "q": left["q"], "ids": _pack(cat(got_id, "<i8"), lengths), "sc": _pack(cat(got_sc, "<f4"), lengths),
