@@ -313,29 +313,74 @@ def build_graph(distinct: DataFrame, seed: int = 7) -> tuple[DataFrame, int, int
 
 # ---------------------------------------------------------------- search
 
-_STATE = "g long, q long, vec binary, ids binary, sc binary, opened binary, nbrs binary, cands binary"
-_PAD = np.int64(-(2**63))
+_STATE = "g long, q long, vec binary, ids binary, sc binary, opened binary, pick binary"
+_ASK = "b long, g long, q long, vec binary, least double, cands binary"
 
 
-def _asks(buckets: int):
-    """A row for each query and bucket that holds some of its candidates."""
+def _by_bucket(values: np.ndarray, sizes: np.ndarray, buckets: int):
+    """Rows of ids cut by the bucket of each id: bucket and row of every piece, and the pieces as a binary column."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    b = bucket_of(values, buckets)
+    order = np.lexsort((b, row))
+    values, row, b = values[order], row[order], b[order]
+    starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (b[1:] != b[:-1])][:len(row)])
+    return b[starts], row[starts], _pack(values.astype("<i8"), np.diff(np.r_[starts, len(row)]))
+
+
+def _asks(t: pa.Table | pa.RecordBatch, cands: np.ndarray, sizes: np.ndarray, buckets: int) -> pa.Table:
+    """A row for each query of ``t`` and each bucket that holds some of its candidates."""
+    b, row, pieces = _by_bucket(cands, sizes, buckets)
+    score, m = _cells(t.column("sc"), "<f4")
+    least = np.full(len(m), -np.inf)
+    full = m >= WIDTH
+    least[full] = score[np.cumsum(m)[full] - 1]
+    at = pa.array(row)
+    return pa.table({"b": _ints(b), "g": t.column("g").take(at), "q": t.column("q").take(at), "vec": t.column("vec").take(at),
+                     "least": pa.array(least[row]), "cands": pieces})
+
+
+def _first_asks(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            cands, n = _cells(col["cands"], "<i8")
-            row = np.repeat(np.arange(len(n)), n)
-            b = bucket_of(cands, buckets)
-            order = np.lexsort((b, row))
-            cands, row, b = cands[order], row[order], b[order]
-            starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (b[1:] != b[:-1])][:len(row)])
-            sizes = np.diff(np.r_[starts, len(row)])
-            score, m = _cells(col["sc"], "<f4")
-            least = np.full(len(m), -np.inf)
-            full = m >= WIDTH
-            least[full] = score[np.cumsum(m)[full] - 1]
-            at = pa.array(row[starts])
-            yield pa.RecordBatch.from_arrays([_ints(b[starts]), col["g"].take(at), col["q"].take(at), col["vec"].take(at),
-                                              pa.array(least[row[starts]]), _pack(cands, sizes)], names=["b", "g", "q", "vec", "least", "cands"])
+            yield from _asks(batch, *_cells(batch.column(batch.schema.get_field_index("cands")), "<i8"), buckets).to_batches()
+
+    return run
+
+
+def _list_asks(buckets: int):
+    """A row for each query and bucket that holds some of the nodes it opens; the query's vector stays behind."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, row, pieces = _by_bucket(*_cells(batch.column(2), "<i8"), buckets)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([_ints(b), batch.column(0).take(at), batch.column(1).take(at), pieces], names=["b", "g", "q", "pick"])
+
+    return run
+
+
+def _opened_lists(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The distinct neighbours of the nodes that a query opens in this bucket."""
+    ids = right["id"].to_numpy()
+    order = np.argsort(ids)
+    nbr, m = _cells(right["nbr"], "<i8")
+    begin = (np.cumsum(m) - m)[order]
+    m, ids = m[order], ids[order]
+    pick, sizes = _cells(left["pick"], "<i8")
+    at = np.searchsorted(ids, pick)
+    ends = np.cumsum(sizes)
+    out = [np.unique(np.concatenate([nbr[begin[j]:begin[j] + m[j]] for j in at[a:z]])) for a, z in zip(ends - sizes, ends)]
+    return pa.table({"g": left["g"], "q": left["q"], "cands": _pack(np.concatenate(out) if out else nbr[:0], np.array([len(x) for x in out], np.int64))})
+
+
+def _next_asks(buckets: int):
+    """The neighbours of opened nodes that are not on the query's list yet, as asks to the buckets that hold them."""
+    def run(state: pa.Table, lists: pa.Table) -> pa.Table:
+        news: dict[int, list[np.ndarray]] = {}
+        for q, c in zip(lists["q"].to_pylist(), lists["cands"].to_pylist()):
+            news.setdefault(q, []).append(np.frombuffer(c, "<i8"))
+        cands = [np.setdiff1d(np.concatenate(news[q]), np.frombuffer(i, "<i8")) if q in news else np.empty(0, np.int64)
+                 for q, i in zip(state["q"].to_pylist(), state["ids"].to_pylist())]
+        return _asks(state, np.concatenate([np.empty(0, np.int64), *cands]), np.array([len(c) for c in cands], np.int64), buckets)
 
     return run
 
@@ -348,17 +393,13 @@ def _answers(dim: int):
         ids = ids[order]
         flat, n = _cells(right["vec"], "<f4")
         x = flat.reshape(len(n), dim)[order]
-        nbr, m = _cells(right["nbr"], "<i8")
-        grid = np.full((len(m), LINKS), _PAD)
-        grid[np.arange(LINKS) < m[:, None]] = nbr
-        grid = grid[order]
         cands, sizes = _cells(left["cands"], "<i8")
         ends = np.cumsum(sizes)
         vecs, _ = _cells(left["vec"], "<f4")
         vecs = vecs.reshape(len(sizes), dim)
         least = left["least"].to_numpy()
         at = np.searchsorted(ids, cands)
-        got_id, got_sc, got_nbr, got_n = [], [], [], []
+        got_id, got_sc, got_n = [], [], []
         for i, (a, z) in enumerate(zip(ends - sizes, ends)):
             s = x[at[a:z]] @ vecs[i]
             keep = np.flatnonzero(s > least[i])
@@ -366,45 +407,39 @@ def _answers(dim: int):
                 keep = keep[np.lexsort((cands[a:z][keep], -s[keep]))[:WIDTH]]
             got_id.append(cands[a:z][keep])
             got_sc.append(s[keep])
-            got_nbr.append(grid[at[a:z][keep]].ravel())
             got_n.append(len(keep))
         lengths = np.array(got_n, np.int64)
         cat = lambda y, d: np.concatenate(y).astype(d) if y else np.empty(0, d)
-        return pa.table({"g": left["g"], "q": left["q"], "ids": _pack(cat(got_id, "<i8"), lengths), "sc": _pack(cat(got_sc, "<f4"), lengths),
-                         "nbrs": _pack(cat(got_nbr, "<i8"), lengths * LINKS)})
+        return pa.table({"g": left["g"], "q": left["q"], "ids": _pack(cat(got_id, "<i8"), lengths), "sc": _pack(cat(got_sc, "<f4"), lengths)})
 
     return run
 
 
 def _advance(state: pa.Table, answers: pa.Table) -> pa.Table:
-    """Merge the answers into each query's list, open its best nodes and name their neighbours as next candidates."""
+    """Merge the answers into each query's list and pick its best nodes not opened yet."""
     news: dict[int, list[tuple]] = {}
-    for q, i, s, n in zip(answers["q"].to_pylist(), *(answers[c].to_pylist() for c in ("ids", "sc", "nbrs"))):
-        news.setdefault(q, []).append((np.frombuffer(i, "<i8"), np.frombuffer(s, "<f4"), np.frombuffer(n, "<i8").reshape(-1, LINKS)))
-    out = {k: [] for k in ("ids", "sc", "opened", "nbrs", "cands")}
-    rows = zip(state["q"].to_pylist(), *(state[c].to_pylist() for c in ("ids", "sc", "opened", "nbrs", "cands")))
-    for q, i, s, o, n, c in rows:
-        opened = np.frombuffer(o, np.uint8)
-        grid = np.full((len(opened), LINKS), _PAD)
-        grid[opened == 0] = np.frombuffer(n, "<i8").reshape(-1, LINKS)  # only open nodes still need their lists
-        parts = [(np.frombuffer(i, "<i8"), np.frombuffer(s, "<f4"), opened, grid)]
-        parts += [(a, b, np.zeros(len(a), np.uint8), g) for a, b, g in news.get(q, ())]
-        ids, sc, opened, grid = (np.concatenate([p[j] for p in parts]) for j in range(4))
+    for q, i, s in zip(answers["q"].to_pylist(), *(answers[c].to_pylist() for c in ("ids", "sc"))):
+        news.setdefault(q, []).append((np.frombuffer(i, "<i8"), np.frombuffer(s, "<f4")))
+    out = {k: [] for k in ("ids", "sc", "opened", "pick")}
+    for q, i, s, o in zip(state["q"].to_pylist(), *(state[c].to_pylist() for c in ("ids", "sc", "opened"))):
+        parts = [(np.frombuffer(i, "<i8"), np.frombuffer(s, "<f4"), np.frombuffer(o, np.uint8))]
+        parts += [(a, b, np.zeros(len(a), np.uint8)) for a, b in news.get(q, ())]
+        ids, sc, opened = (np.concatenate([p[j] for p in parts]) for j in range(3))
         order = np.lexsort((1 - opened, ids))  # an opened entry wins over the same node found anew
         first = np.r_[True, ids[order][1:] != ids[order][:-1]][:len(ids)]
         order = order[first]
         order = order[np.lexsort((ids[order], -sc[order]))][:WIDTH]
-        ids, sc, opened, grid = ids[order], sc[order], opened[order].copy(), grid[order]
+        ids, sc, opened = ids[order], sc[order], opened[order].copy()
         pick = np.flatnonzero(opened == 0)[:OPENED]
-        cands = np.setdiff1d(grid[pick].ravel(), np.r_[ids, _PAD])
         opened[pick] = 1
-        for key, value in (("ids", ids.astype("<i8")), ("sc", sc.astype("<f4")), ("opened", opened), ("nbrs", grid[opened == 0].ravel().astype("<i8")), ("cands", cands.astype("<i8"))):
+        for key, value in (("ids", ids.astype("<i8")), ("sc", sc.astype("<f4")), ("opened", opened), ("pick", ids[pick].astype("<i8"))):
             out[key].append(value.tobytes())
     return pa.table({"g": state["g"], "q": state["q"], "vec": state["vec"], **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
 
 
-def entry_points(nodes: DataFrame, dim: int) -> np.ndarray:
-    """Ids of 2 x ENTRIES nodes at most.  Large vectors win inner products, whatever lies near the query's own node."""
+def entry_points(nodes: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Ids, vectors and lists of 2 x ENTRIES nodes at most.  Large vectors win inner products, whatever lies near the
+    query's own node.  They travel with the job, so the buckets that hold them are not asked by every query."""
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, n = _cells(batch.column(1), "<f4")
@@ -413,25 +448,35 @@ def entry_points(nodes: DataFrame, dim: int) -> np.ndarray:
     rows = nodes.select("id", "vec").mapInArrow(norms, "id long, extra double")
     large = rows.orderBy("extra", F.xxhash64("id")).limit(ENTRIES).collect()
     spread = rows.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(ENTRIES).collect()
-    return np.unique(np.array([r.id for r in [*large, *spread]], np.int64))
+    chosen = sorted({r.id for r in [*large, *spread]})
+    held = nodes.filter(F.col("id").isin(chosen)).select("id", "vec", "nbr").orderBy("id").collect()
+    vecs = np.array([np.frombuffer(bytes(r.vec), "<f4") for r in held], np.float32).reshape(-1, dim)
+    return np.array([r.id for r in held], np.int64), vecs, [np.frombuffer(bytes(r.nbr), "<i8") for r in held]
 
 
 def search(nodes: DataFrame, buckets: int, dim: int, queries: DataFrame) -> DataFrame:
-    """``queries(q, vec, cands)``: id, 32-bit vector with a zero extra component, packed start nodes ->
-    ``(g, q, vec, ids, sc)`` with the best WIDTH nodes found of each query, best first.
+    """``queries(q, vec, ids, sc, opened, cands)``: id, 32-bit vector with a zero extra component, nodes scored so far
+    (best first, those opened marked 1) and packed start candidates -> ``(g, q, vec, ids, sc)`` with the best WIDTH nodes
+    found of each query, best first.
 
-    It ends when no query has an open node left: each is opened once a query at most, and only while it is among its best."""
+    A round has two joins: the buckets of opened nodes send their neighbours, the buckets of the neighbours send scores.
+    So lists never travel with nodes that are not opened.  It ends when no query has an open node left: each is opened
+    once a query at most, and only while it is among its best."""
     spark = nodes.sparkSession
     groups = F.pmod(F.xxhash64("q"), F.lit(4 * shuffle_partitions(spark))).alias("g")
-    empty = F.lit(b"")
-    state = queries.select(groups, "q", "vec", empty.alias("ids"), empty.alias("sc"), empty.alias("opened"), empty.alias("nbrs"), "cands")
-    state = stored(state, "search")
-    while not state.filter(F.octet_length("cands") > 0).isEmpty():
-        asks = state.filter(F.octet_length("cands") > 0).select("g", "q", "vec", "sc", "cands").mapInArrow(
-            _asks(buckets), "b long, g long, q long, vec binary, least double, cands binary")
-        answers = asks.groupBy("b").cogroup(nodes.groupBy("b")).applyInArrow(_answers(dim), "g long, q long, ids binary, sc binary, nbrs binary")
+    first = stored(queries.select(groups, "q", "vec", "ids", "sc", "opened", "cands"), "search")
+    state = first.drop("cands").withColumn("pick", F.lit(b""))
+    asks = first.select("g", "q", "vec", "sc", "cands").mapInArrow(_first_asks(buckets), _ASK)
+    vectors, lists = nodes.select("b", "id", "vec"), nodes.select("b", "id", "nbr")
+    while True:
+        answers = asks.groupBy("b").cogroup(vectors.groupBy("b")).applyInArrow(_answers(dim), "g long, q long, ids binary, sc binary")
         state = stored(state.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_advance, _STATE), "search")
-    return state.select("g", "q", "vec", "ids", "sc")
+        open_ = state.filter(F.octet_length("pick") > 0)
+        if open_.isEmpty():
+            return state.select("g", "q", "vec", "ids", "sc")
+        found = open_.select("g", "q", "pick").mapInArrow(_list_asks(buckets), "b long, g long, q long, pick binary").groupBy("b").cogroup(
+            lists.groupBy("b")).applyInArrow(_opened_lists, "g long, q long, cands binary")
+        asks = open_.select("g", "q", "vec", "ids", "sc").groupBy("g").cogroup(found.groupBy("g")).applyInArrow(_next_asks(buckets), _ASK)
 
 
 def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -447,26 +492,35 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
     asked = rows.filter(F.col("id") % every == 0).join(distinct.withColumnRenamed("id", "rep"), "key").select("id", "rep")
     asked = stored(asked, "asked")
 
-    entries = entry_points(nodes, dim)
+    entry_ids, entry_vecs, entry_lists = entry_points(nodes, dim)
 
     def starts(left: pa.Table, right: pa.Table) -> pa.Table:
-        """A query starts from its own node, that node's neighbours and the entry points."""
+        """A query starts from its own node and the best entry points, all opened."""
         ids = right["id"].to_numpy()
-        want = np.unique(left["rep"].to_numpy())
-        at = np.flatnonzero(np.isin(ids, want))
-        own = right.take(pa.array(at))
+        own = right.take(pa.array(np.flatnonzero(np.isin(ids, left["rep"].to_numpy()))))
         vec, n = _cells(own["vec"], "<f4")
         x = vec.reshape(len(n), dim).copy()
         x[:, -1] = 0
-        cands = [np.union1d(np.r_[np.frombuffer(b, "<i8"), i], entries).astype("<i8").tobytes() for b, i in zip(own["nbr"].to_pylist(), own["id"].to_pylist())]
-        return pa.table({"q": own["id"], "vec": _pack(x.ravel(), np.full(len(n), dim)), "cands": pa.array(cands, pa.binary())})
+        out = {c: [] for c in ("ids", "sc", "opened", "cands")}
+        for i, b, v in zip(own["id"].to_pylist(), own["nbr"].to_pylist(), x):
+            s = entry_vecs @ v
+            best = np.lexsort((entry_ids, -s))[:WIDTH - 1]
+            best = best[entry_ids[best] != i]
+            held, score = np.r_[i, entry_ids[best]], np.r_[v @ v, s[best]]
+            opened = (np.arange(len(held)) < OPENED).astype(np.uint8)
+            cands = np.setdiff1d(np.concatenate([np.frombuffer(b, "<i8"), *(entry_lists[j] for j in best[:OPENED - 1])]), held)
+            order = np.lexsort((held, -score))
+            for c, value in (("ids", held[order].astype("<i8")), ("sc", score[order].astype("<f4")), ("opened", opened[order]), ("cands", cands.astype("<i8"))):
+                out[c].append(value.tobytes())
+        return pa.table({"q": own["id"], "vec": _pack(x.ravel(), np.full(len(n), dim)), **{c: pa.array(v, pa.binary()) for c, v in out.items()}})
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([_ints(bucket_of(batch.column(0).to_numpy(), buckets)), batch.column(0)], names=["b", "rep"])
 
     reps = asked.select("rep").distinct().mapInArrow(put, "b long, rep long")
-    queries = reps.groupBy("b").cogroup(nodes.groupBy("b")).applyInArrow(starts, "q long, vec binary, cands binary")
+    queries = reps.groupBy("b").cogroup(nodes.groupBy("b")).applyInArrow(
+        starts, "q long, vec binary, ids binary, sc binary, opened binary, cands binary")
     found = search(nodes, buckets, dim, queries)
 
     # exact scores: the vectors of a query and of what it found meet by joins on their nodes
