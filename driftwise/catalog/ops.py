@@ -20,6 +20,7 @@ from driftwise.operators import models as md
 from driftwise.operators import text as tx
 from driftwise.operators.evaluate import roc_auc
 from driftwise.sources import files as fs
+from driftwise.sources import versions as vs
 from driftwise.sources.tables import TABLES, bookings, table
 from driftwise.streaming import windows as wn
 
@@ -301,6 +302,43 @@ def knowledge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _knowledge_changes(spark: SparkSession, sf_dir: str, base: DataFrame) -> DataFrame:
+    """Change set from the tables: repeated contents are deleted, chunks of documents labelled bad get the category
+    ``review`` and a new title, and every benchmark passage becomes a chunk."""
+    cols = ["chunk_id", "op", F.lit(1).alias("seq"), "category", "title", "content"]
+    none = F.lit(None).cast("string")
+    hashed = base.select("chunk_id", F.md5("content").alias("_h"))
+    first = hashed.groupBy("_h").agg(F.min("chunk_id").alias("_first"))
+    gone = hashed.join(first, "_h").where(F.col("chunk_id") != F.col("_first")).withColumns(
+        {"op": F.lit("delete"), "category": none, "title": none, "content": none})
+    bad = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct()
+    review = base.select("chunk_id", "doc_id", F.col("title").alias("_title")).join(bad, "doc_id").withColumns(
+        {"op": F.lit("update"), "category": F.lit("review"), "title": F.concat(F.lit("Review: "), "_title"), "content": none})
+    new = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("benchmark-"), F.col("item_id").cast("string")).alias("chunk_id"), F.lit("insert").alias("op"),
+        F.lit("benchmark").alias("category"), none.alias("title"), F.col("text").alias("content"))
+    return gone.select(*cols).unionByName(review.select(*cols)).unionByName(new.select("chunk_id", "op", F.lit(1).alias("seq"), "category", "title", "content"))
+
+
+@register(
+    "knowledge_merge",
+    _MERGED_SQL
+    + """,
+b AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0)
+SELECT chunk_id, CASE WHEN b.doc_id IS NULL THEN category ELSE 'review' END AS category,
+       CASE WHEN b.doc_id IS NULL THEN title ELSE 'Review: ' || title END AS title, md5(content) AS content_md5, is_active
+FROM m LEFT JOIN b USING (doc_id)
+UNION ALL SELECT 'benchmark-' || CAST(item_id AS VARCHAR), 'benchmark', NULL, md5(text), true FROM benchmark""",
+)
+def knowledge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The knowledge chunks as a versioned table; one change set inserts, updates and soft-deletes rows, and the
+    merged version comes into force by a switched pointer.  The result is the version then in force."""
+    root = fs.scratch_path(spark, "knowledge")
+    vs.write_version(_chunks(spark, sf_dir), root)
+    vs.merge_version(spark, root, _knowledge_changes(spark, sf_dir, vs.read_version(spark, root)), "chunk_id", stale={"embedding": ("title", "content")})
+    return vs.read_version(spark, root).select("chunk_id", "category", "title", F.md5("content").alias("content_md5"), "is_active")
+
+
 @register(
     "embed_missing",
     _MERGED_SQL
