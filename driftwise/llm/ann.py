@@ -71,10 +71,6 @@ def _ints(x) -> pa.Array:
     return pa.array(np.asarray(x, np.int64))
 
 
-def _table(**columns) -> pa.Table:
-    return pa.table({k: _ints(v) if isinstance(v, np.ndarray) else v for k, v in columns.items()})
-
-
 # ---------------------------------------------------------------- vectors
 
 
