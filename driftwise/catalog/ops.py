@@ -270,7 +270,9 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _merged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change set = soft-delete every chunk whose content repeats an earlier chunk (by chunk id);
     full outer merge base ⟗ changes, new non-NULL values win."""
-    base = _chunks(spark, sf_dir)
+    path = fs.scratch_path(spark, "chunks")
+    _chunks(spark, sf_dir).write.parquet(path)  # chunked once, read three times
+    base = spark.read.parquet(path)
     hashed = base.select("chunk_id", F.md5("content").alias("_h"))
     first = hashed.groupBy("_h").agg(F.min("chunk_id").alias("_first"))
     dups = hashed.join(first, "_h").where(F.col("chunk_id") != F.col("_first"))
@@ -441,7 +443,9 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     loaded = PipelineModel.load(path)
     a = md.positive_proba(model, test, [KEY, LABEL]).select(KEY, LABEL, F.col("proba").alias("p1"))
     b = md.positive_proba(loaded, test, [KEY]).select(KEY, F.col("proba").alias("p2"))
-    j = a.join(b, KEY)
+    scored = fs.scratch_path(spark, "scored")
+    a.join(b, KEY).write.parquet(scored)  # scored once, read by every figure
+    j = spark.read.parquet(scored)
     auc1 = roc_auc(j, "p1", LABEL).first()[0]
     auc2 = roc_auc(j, "p2", LABEL).first()[0]
     diff = j.agg(F.max(F.abs(F.col("p1") - F.col("p2")))).first()[0]
