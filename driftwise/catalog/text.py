@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,7 +136,7 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = table(spark, sf_dir, "benchmark")
     hits = rt.tfidf_topk(docs, "doc_id", queries, "item_id", "text", TOP_K).select(
         "item_id", "doc_id", F.col("rank").cast("int").alias("rank"), rnd(F.col("similarity")).alias("similarity")
-    )
+    ).persist(StorageLevel.MEMORY_AND_DISK)  # k rows a query; the fallback reads them too
     prio = docs.select("doc_id", map_lookup(LANG_PRIORITY, F.col("lang")).alias("_p")).select(
         "doc_id", F.coalesce("_p", F.lit(5)).alias("priority")
     )
@@ -160,7 +161,7 @@ def tag_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     queries = table(spark, sf_dir, "benchmark")
     qt = queries.select("item_id", F.explode_outer(rt.tokens(F.col("text"))).alias("tag")).where(F.col("tag").isNotNull())
-    dt = docs.select(
+    dt = rt.dealt_by_key(docs.select("doc_id", "lang", "text"), "doc_id", "text").select(
         "doc_id", F.explode_outer(rt.tokens(F.col("text"))).alias("tag"),
         F.coalesce(map_lookup(LANG_PRIORITY, F.col("lang")), F.lit(5)).alias("priority"),
     ).where(F.col("tag").isNotNull())
