@@ -73,7 +73,8 @@ def _alerts(spark: SparkSession, sf_dir: str) -> dict[str, object]:
     num = dr.divergence(dr.binned_counts(ref, cur, DRIFT_COLS, 10), 10, "psi").select("score")
     cat = dr.categorical_psi(ref, cur, CATEGORY_COLS).select(F.col("psi").alias("score"))
     max_psi = num.unionByName(cat).agg(F.max("score")).first()[0]
-    pred_psi = dr.prediction_drift(ref, cur, "score", 10).first()["psi"]
+    pred = dr.prediction_drift(ref, cur, "score", 10).first()
+    pred_psi = pred["psi"]
     outcome = mon.outcome_report(_actions(cur), b.select("booking_id", "y"), "booking_id", "y", COSTS).first()
     # expectation from the reference period under the same rule, scaled to the current row count
     exp = mon.outcome_report(_actions(ref), ref.select("booking_id", "y"), "booking_id", "y", COSTS).first()
@@ -82,7 +83,7 @@ def _alerts(spark: SparkSession, sf_dir: str) -> dict[str, object]:
     alerts = mon.build_alerts(
         max_psi, pred_psi, outcome["realized_profit"], outcome["action_rate"], expected_profit, exp["action_rate"], vol
     )
-    alerts.update(max_psi=max_psi, prediction_psi=pred_psi)
+    alerts.update(max_psi=max_psi, prediction_psi=pred_psi, ks_stat=pred["ks_stat"])
     return alerts
 
 
@@ -236,11 +237,9 @@ def monitoring_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     d2 = label_drift(spark, sf_dir).first()
     d4 = correlation_drift(spark, sf_dir).where("drifted").count()
     d6 = importance_drift(spark, sf_dir).where("changed").count()
-    _, ref, cur = _periods(spark, sf_dir)
-    ks = dr.prediction_drift(ref, cur, "score", 10).first()["ks_stat"]
     row = (
         int(d1), bool(d2["is_drifted"]), float(d2["drift_magnitude"]), int(d4), int(d6), pround(a["max_psi"]),
-        pround(a["prediction_psi"]), pround(ks), bool(a["data_volume_anomaly"]), bool(a["any_alert"]),
+        pround(a["prediction_psi"]), pround(a["ks_stat"]), bool(a["data_volume_anomaly"]), bool(a["any_alert"]),
     )
     return spark.createDataFrame(
         [row],

@@ -23,11 +23,17 @@ PSI_EPS = 1e-8
 SHARE_EPS = 1e-9
 
 
+_EXACT_TYPES = {"tinyint", "smallint", "int", "bigint", "double"}
+
+
 def _sided_long(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFrame:
     def one(df: DataFrame, side: str) -> DataFrame:
-        casts = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
-        long = df.selectExpr(f"stack({len(cols)}, {casts}) AS (column_name, raw)")
-        return long.select("column_name", F.lit(side).alias("side"), to_double(F.col("raw")).alias("value")).where(
+        types = dict(df.dtypes)
+        # whole numbers and doubles are what their text would parse to
+        parsed = df.select(*[to_double(F.col(f"`{c}`") if types[c] in _EXACT_TYPES else F.col(f"`{c}`").cast("string")).alias(c) for c in cols])
+        casts = ", ".join(f"'{c}', `{c}`" for c in cols)
+        long = parsed.selectExpr(f"stack({len(cols)}, {casts}) AS (column_name, value)")
+        return long.select("column_name", F.lit(side).alias("side"), "value").where(
             F.col("value").isNotNull()
         )
 
