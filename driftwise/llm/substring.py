@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from driftwise.llm.common import HOT_SHARE, lookup, shuffle_partitions, stored, text_bytes
 from driftwise.llm.components import components
@@ -38,9 +39,9 @@ FUNCTIONS = 2
 EXACT = COMMON + SHINGLE - 1
 #: Words of a long text handled at once; pieces overlap by two passages.
 PIECE = 1 << 15
-#: Share of the texts that are read to find very common cells, and the least rows of such a cell among them.
-PROBE, PROBE_ROWS = 1 / 64, 100
-#: Bytes of requests for text up to which they are broadcast.
+#: Shares of the texts and of stored rows that are read to find very common keys, and the least rows of such a key among them.
+PROBE, PROBE_STORED, PROBE_ROWS = 1 / 64, 1 / 16, 100
+#: Bytes of requests for text, and of classes of texts, up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -85,6 +86,11 @@ class Words:
         a, z = self.first[:self.n - k + 1], self.end[k - 1:]
         return _mix((self.sums[z] - self.sums[a]) * self.inverse[a])
 
+    def runs_at(self, place: np.ndarray, k: int) -> np.ndarray:
+        """``runs(k)[place]``, of these places alone."""
+        a, z = self.first[place], self.end[place + k - 1]
+        return _mix((self.sums[z] - self.sums[a]) * self.inverse[a])
+
 
 def compact_windows(h: np.ndarray, least: int) -> np.ndarray:
     """Positions of the minima of all compact windows of at least ``least`` elements."""
@@ -176,14 +182,12 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 done.add(node)
                 for start, own in pieces_of(text.as_py()):
                     key, at, first, end = cells_of(own.runs(SHINGLE))
-                    around = own.runs(PASSAGE)
-                    same = around[np.clip(at - (PASSAGE - SHINGLE) // 2, 0, len(around) - 1)]
+                    same = own.runs_at(np.clip(at - (PASSAGE - SHINGLE) // 2, 0, own.n - PASSAGE), PASSAGE)
                     # a run of the cell starts RUN - 1 shingles before its minimum at most and is looked at with SIDE words on both sides
                     back, reach = SIDE + RUN - 1, SIDE + RUN - 1 + PASSAGE
-                    far = own.runs(reach)
-                    inside = (at >= back) & (at - back < len(far))
+                    inside = (at >= back) & (at - back + reach <= own.n)
                     wide = np.zeros(len(at), np.uint64)
-                    wide[inside] = (_mix(far[at[inside] - back]) << np.uint64(8)) >> np.uint64(1)  # no sign
+                    wide[inside] = (_mix(own.runs_at(at[inside] - back, reach)) << np.uint64(8)) >> np.uint64(1)  # no sign
                     wide = (wide >> np.uint64(8) << np.uint64(8)) | (end - first).astype(np.uint64)
                     yield key, np.full(len(key), node), first + start, wide, same
 
@@ -213,11 +217,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _longs(_CELL, [c[keep] for c in cols[:-1]])
 
 
-def hot_cells(texts: DataFrame) -> DataFrame:
-    """``key, hot`` of cells with a HOT_SHARE of the rows of a probe: at most 1 / HOT_SHARE of them, so they can be broadcast."""
-    counts = stored(texts.sample(PROBE, seed=7).mapInArrow(_cells, _CELLS).groupBy("key").agg(F.count(F.lit(1)).alias("n")), "probe")
+def hot_keys(probe: DataFrame, key: str) -> DataFrame:
+    """``key, hot`` of keys with a HOT_SHARE of the rows of a probe: at most 1 / HOT_SHARE of them, so they can be broadcast."""
+    counts = stored(probe.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "probe")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.filter(F.col("n") >= max(PROBE_ROWS, total * HOT_SHARE)).select("key", F.lit(True).alias("hot"))
+    return counts.filter(F.col("n") >= max(PROBE_ROWS, total * HOT_SHARE)).select(key, F.lit(True).alias("hot"))
 
 
 def _ranges(starts: list[int], ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -258,11 +262,11 @@ def halves(own: Words, at: np.ndarray, run: np.ndarray) -> list[np.ndarray]:
     for k, (first, length) in enumerate((
             (SIDE, half), (SIDE + half + 1, rest), (SIDE + half + 2, rest),
             (-half, half), (-half - 1 - rest, rest), (-half - 2 - rest, rest))):
-        words = own.runs(length)
         place = at + first
-        inside = (place >= 0) & (place < len(words))
-        x = _mix(run * _BASE + words[np.where(inside, place, 0)] + np.uint64(min(k % 3, 1) + 2 * (k // 3)))
-        out.append(np.where(inside, x, np.uint64(0)))
+        inside = (place >= 0) & (place + length <= own.n)
+        x = np.zeros(len(at), np.uint64)
+        x[inside] = _mix(run[inside] * _BASE + own.runs_at(place[inside], length) + np.uint64(min(k % 3, 1) + 2 * (k // 3)))
+        out.append(x)
     return out
 
 
@@ -270,7 +274,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hash of the SIDE words from each asked run on, with its ``halves``."""
     def parts() -> Iterator[tuple[np.ndarray, ...]]:
         for node, root, start, here, _, own in _asked(batches, _ranges):
-            run = own.runs(SIDE)[here]
+            run = own.runs_at(here, SIDE)
             yield run, np.full(len(here), node), np.full(len(here), root), here + start, *halves(own, here, run)
 
     return _gathered(_RUN, parts())
@@ -334,14 +338,36 @@ def sequences(own: Words, at: np.ndarray, marks: np.ndarray | None = None) -> tu
     return np.concatenate([k for k, _ in out]), np.concatenate([np.full(len(k), p) for k, p in out])
 
 
+def _once(parts: Iterator[tuple[np.ndarray, ...]], most: int = 1_000_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """The rows ordered by their first column, some at a time, without those that repeat the one before."""
+    rows, size = [], 0
+
+    def ordered() -> tuple[np.ndarray, ...]:
+        cols = [np.concatenate(c) for c in zip(*rows)]
+        order = np.argsort(cols[0])
+        cols = [c[order] for c in cols]
+        fresh = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols])]
+        return tuple(c[fresh] for c in cols)
+
+    for part in parts:
+        rows.append(part)
+        size += len(part[0])
+        if size > most:
+            yield ordered()
+            rows, size = [], 0
+    if size:
+        yield ordered()
+
+
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the ``sequences`` of asked runs; texts of a class have many in common."""
     def parts() -> Iterator[tuple[np.ndarray, ...]]:
         for _, root, _, here, marks, own in _asked(batches, _marked):
             for i in range(0, len(here), 1024):
                 key, plain = sequences(own, here[i:i + 1024], marks[i:i + 1024])
                 yield key, np.full(len(key), root), plain
 
-    return _gathered(["seq", "root", "plain"], parts())
+    return _gathered(["seq", "root", "plain"], _once(parts()))
 
 
 def node_of(text_col: str) -> Column:
@@ -349,10 +375,20 @@ def node_of(text_col: str) -> Column:
     return F.xxhash64(text_bytes(text_col))
 
 
-def meeting(rows: DataFrame, key: str, who: str, name: str) -> DataFrame:
-    """Stored ``key, n, least`` of the keys on which several ``who`` meet."""
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(who).alias("least"), F.max(who).alias("__most"))
-    return stored(counts.filter(F.col("least") < F.col("__most")).drop("__most"), name)
+def meeting(rows: DataFrame, key: str, who: str, named: Column | None = None) -> DataFrame:
+    """The (stored) rows whose key several ``who`` have, with ``least``: the least of them (of those that ``named`` holds for, if any).
+
+    Rows are shuffled once, by key, and no table of keys is joined to them.  Very common keys are not dealt: what is known of
+    them is broadcast.
+    """
+    facts = {"least": F.min(F.col(who) if named is None else F.when(named, F.col(who))), "__a": F.min(who), "__z": F.max(who)}
+    hot = hot_keys(rows.sample(PROBE_STORED, seed=7), key)
+    marked = rows.join(F.broadcast(hot), key, "left")
+    common = marked.filter("hot").drop("hot")
+    common = common.join(F.broadcast(common.groupBy(key).agg(*[f.alias(n) for n, f in facts.items()])), key)
+    by_key = Window.partitionBy(key)
+    rest = marked.filter("hot is null").drop("hot").select("*", *[f.over(by_key).alias(n) for n, f in facts.items()])
+    return rest.unionByName(common).filter("__a < __z and least is not null").drop("__a", "__z")
 
 
 def _with_texts(docs: DataFrame, asks: DataFrame, text_col: str) -> DataFrame:
@@ -370,7 +406,7 @@ def _with_texts(docs: DataFrame, asks: DataFrame, text_col: str) -> DataFrame:
 def shared_cells(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Stored cells that more than one text has; those of very common cells are dealt by text, so no task gets them all."""
     texts = docs.select(node_of(text_col).alias("node"), text_bytes(text_col).alias("text"))
-    dealt = texts.mapInArrow(_cells, _CELLS).join(F.broadcast(hot_cells(texts)), "key", "left").select(*_CELL, F.coalesce("hot", F.lit(False)).alias("hot"))
+    dealt = texts.mapInArrow(_cells, _CELLS).join(F.broadcast(hot_keys(texts.sample(PROBE, seed=7).mapInArrow(_cells, _CELLS), "key")), "key", "left").select(*_CELL, F.coalesce("hot", F.lit(False)).alias("hot"))
     dealt = dealt.repartition(shuffle_partitions(docs.sparkSession), "key", F.when(F.col("hot"), F.col("node")))
     return stored(dealt.sortWithinPartitions("key", "node", "first", "wide").mapInArrow(_shared, _CELLS), "shared")
 
@@ -378,29 +414,29 @@ def shared_cells(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def passage_links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Stored ``(a, b)``: distinct pairs of texts (hashes) found to share a passage; they span all classes."""
     shared = shared_cells(docs, text_col)
-    total = shared.count()
-    same = lookup(shared.select("node", "same"), meeting(shared, "same", "node", "same"), ["same"], "n", total)
+    same = meeting(shared.select("node", "same"), "same", "node")
     sure = stored(same.filter("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "links")
     # cells in which classes meet
-    roots = components(sure).withColumnRenamed("v", "node")
-    size = shared.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = stored(lookup(shared.drop("same"), stored(size, "sizes"), ["node"], "n", total).drop("n"), "rooted")
-    open_ = lookup(rooted, meeting(rooted, "key", "root", "open"), ["key"], "n", total).filter("least is not null")
+    roots = stored(components(sure).withColumnRenamed("v", "node"), "roots")
+    cells = shared.drop("same")
+    if roots.count() * 16 <= BROADCAST_BYTES:
+        rooted = cells.join(F.broadcast(roots), "node", "left")
+    else:
+        size = cells.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(roots, "node", "left")
+        rooted = lookup(cells, stored(size, "sizes"), ["node"], "n", cells.count()).drop("n")
+    rooted = stored(rooted.withColumn("root", F.coalesce("root", "node")), "rooted")
+    open_ = meeting(rooted, "key", "root")
     # of equal cells of a class in equal surroundings one stands for all
     lone = F.when(F.col("wide") < 256, F.struct("node", "first"))
     open_ = open_.groupBy("key", "root", "wide", lone).agg(F.min(F.struct("node", "first")).alias("one"))
     runs_in = F.col("wide").bitwiseAND(F.lit(255))
     open_ = open_.select("one.node", "root", "one.first", (F.col("one.first") + runs_in).alias("end"))
     runs = stored(_with_texts(docs, open_, text_col).mapInArrow(_runs, ", ".join(f"{c} long" for c in _RUN)), "runs")
-    met = lookup(runs, meeting(runs, "run", "root", "met"), ["run"], "n", runs.count()).filter("least is not null").drop("n", "least")
+    met = meeting(runs, "run", "root")
     half = stored(met.select("node", "root", "first", F.posexplode(F.array(*_HALVES)).alias("bit", "half")).filter("half <> 0"), "halves")
-    asked = lookup(half, meeting(half, "half", "root", "open-halves"), ["half"], "n", half.count()).filter("least is not null")
-    asked = asked.groupBy("node", "root", "first").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("end"))
+    asked = meeting(half, "half", "root").groupBy("node", "root", "first").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("end"))
     found = stored(_with_texts(docs, asked, text_col).mapInArrow(_sequences, "seq long, root long, plain long"), "sequences")
-    alike = found.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("plain") == 1, F.col("root"))).alias("least"),
-                                     F.min("root").alias("__a"), F.max("root").alias("__z"))
-    alike = stored(alike.filter("__a < __z and least is not null").select("seq", "n", "least"), "alike")
-    near = lookup(found.select("seq", "root"), alike, ["seq"], "n", found.count()).filter("least <> root")
+    near = meeting(found, "seq", "root", F.col("plain") == 1).filter("least <> root")
     near = near.select(F.least("least", "root").alias("a"), F.greatest("least", "root").alias("b"))
     return stored(sure.unionByName(near).distinct(), "links")
 
@@ -422,8 +458,8 @@ def passage_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links).withColumnRenamed("v", "node")
     facts = long_.join(degree, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     facts = stored(facts, "facts")
-    classes = facts.groupBy("root").agg(F.min("least").alias("class_id"))
-    facts = stored(facts.join(classes, "root").select("node", "n", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
+    classes = stored(facts.groupBy("root").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("texts")), "roots")
+    facts = stored(lookup(facts, classes, ["root"], "texts", facts.count()).select("node", "n", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
     out = lookup(rows.filter("passage"), facts, ["node"], "n", rows.count())
     alone = rows.filter(~F.col("passage")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
     return out.select("doc_id", "class_id", "n_links", (F.col("n") - 1).alias("n_copies")).unionByName(alone)

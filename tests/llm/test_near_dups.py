@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from driftwise.llm import common, simhash, substring
 from driftwise.llm.common import table
@@ -163,6 +164,63 @@ def test_substring_edges(spark):
     assert substring.passage_classes(edge.none(spark)).collect() == []
 
 
+@pytest.mark.parametrize("probe", [100, 1])
+def test_meeting(spark, monkeypatch, probe):
+    """Rows of keys that several have, repeats included; the same when every key is taken for a hot one."""
+    monkeypatch.setattr(substring, "PROBE_ROWS", probe)
+    monkeypatch.setattr(substring, "PROBE_STORED", 1.0)
+    monkeypatch.setattr(common, "HOT_SHARE", 0.0)
+    monkeypatch.setattr(substring, "HOT_SHARE", 0.0)
+    rng = random.Random(8)
+    rows = [(rng.randrange(60), rng.randrange(9), rng.randrange(2)) for _ in range(150)]
+    df = spark.createDataFrame(rows, "key long, root long, plain long")
+    have, named = {}, {}
+    for key, root, plain in rows:
+        have.setdefault(key, set()).add(root)
+        named.setdefault(key, set()).update({root} if plain else ())
+    got = sorted(map(tuple, substring.meeting(df, "key", "root").collect()))
+    assert got == sorted((*r, min(have[r[0]])) for r in rows if len(have[r[0]]) > 1)
+    got = sorted(map(tuple, substring.meeting(df, "key", "root", F.col("plain") == 1).collect()))
+    assert got == sorted((*r, min(named[r[0]])) for r in rows if len(have[r[0]]) > 1 and named[r[0]])
+
+
+def test_links_shuffle_rows_once(spark, monkeypatch):
+    """No step before the classes sorts rows for a join with a table of their keys, however large that is."""
+    plans, write = [], common.stored
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(substring, "stored", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rng = random.Random(2)
+        x = passages(rng, 60)
+        y = x[:30] + ["other"] + x[31:]
+        docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((x, y, x + passages(rng, 9)))], "doc_id long, text string")
+        assert {r.class_id for r in substring.passage_classes(docs).collect()} == {0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {"links", "asks", "halves", "sequences"} <= {name for name, _ in plans}
+    assert not [name for name, plan in plans if "SortMergeJoin" in plan and name in ("shared", "links", "rooted", "asks", "runs", "halves", "sequences")]
+
+
+def test_sequences_of_a_task_come_once():
+    key, root, plain = np.array([5, 7, 5, 5, 7], np.uint64), np.array([1, 1, 1, 2, 1]), np.array([True, False, True, True, True])
+    got = [tuple(c.tolist() for c in part) for part in substring._once(iter([(key, root, plain)] * 2), most=100)]
+    rows = [r for part in got for r in zip(*part)]
+    assert set(rows) == {(5, 1, True), (7, 1, False), (5, 2, True), (7, 1, True)}
+    assert len(rows) < 10
+
+
+def test_runs_at():
+    own = substring.Words([str(i).encode() for i in range(40)])
+    place = np.array([0, 3, 3, 15])
+    assert own.runs_at(place, 25).tolist() == own.runs(25)[place].tolist()
+
+
 def test_compact_windows_cover_every_passage():
     rng = np.random.default_rng(3)
     h = rng.integers(0, 1000, 400).astype(np.uint64)
