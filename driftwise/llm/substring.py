@@ -99,15 +99,15 @@ def compact_windows(h: np.ndarray, least: int) -> np.ndarray:
 
 def bounded_windows(h: np.ndarray, least: int) -> np.ndarray:
     """``minimum, start, end`` of all compact windows of at least ``least`` elements (Cartesian tree, top down)."""
-    out, stack = [], [(0, len(h))]
+    out, stack = [], [(0, len(h))] if len(h) >= least else []
     while stack:
         a, z = stack.pop()
-        if z - a < least:
-            continue
         c = a + int(h[a:z].argmin())
         out.append((c, a, z))
-        stack.append((a, c))
-        stack.append((c + 1, z))
+        if c - a >= least:
+            stack.append((a, c))
+        if z - c > least:
+            stack.append((c + 1, z))
     return np.array(out, np.int64).reshape(-1, 3)
 
 
@@ -381,14 +381,16 @@ def meeting(rows: DataFrame, key: str, who: str, named: Column | None = None) ->
     Rows are shuffled once, by key, and no table of keys is joined to them.  Very common keys are not dealt: what is known of
     them is broadcast.
     """
-    facts = {"least": F.min(F.col(who) if named is None else F.when(named, F.col(who))), "__a": F.min(who), "__z": F.max(who)}
+    facts = {"__a": F.min(who), "__z": F.max(who)} | ({} if named is None else {"least": F.min(F.when(named, F.col(who)))})
     hot = hot_keys(rows.sample(PROBE_STORED, seed=7), key)
     marked = rows.join(F.broadcast(hot), key, "left")
     common = marked.filter("hot").drop("hot")
     common = common.join(F.broadcast(common.groupBy(key).agg(*[f.alias(n) for n, f in facts.items()])), key)
     by_key = Window.partitionBy(key)
     rest = marked.filter("hot is null").drop("hot").select("*", *[f.over(by_key).alias(n) for n, f in facts.items()])
-    return rest.unionByName(common).filter("__a < __z and least is not null").drop("__a", "__z")
+    met = rest.unionByName(common).filter("__a < __z")
+    met = met.withColumnRenamed("__a", "least") if named is None else met.filter("least is not null").drop("__a")
+    return met.drop("__z")
 
 
 def _with_texts(docs: DataFrame, asks: DataFrame, text_col: str) -> DataFrame:
