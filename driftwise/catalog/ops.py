@@ -137,7 +137,7 @@ def dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("file_checksums")
 def file_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SHA-256 and size of every input table file, computed on executors from ``binaryFile``."""
+    """SHA-256 and size of every input table file, computed on executors."""
     out = fs.file_checksums(spark, f"{sf_dir.rstrip('/')}/*.parquet")
     return out.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "length", "sha256")
 
